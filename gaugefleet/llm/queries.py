@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op6_decontaminate
+from .pack import op1_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pack": op1_pack,
         "op6_decontaminate": op6_decontaminate,
     }
 
