@@ -17,6 +17,7 @@ import pickle
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -37,8 +38,10 @@ Bins = dict[Pattern, int]
 # --- token ids -----------------------------------------------------------------------------------
 
 _SPACE = re.compile(r"[ \n]")
+#: How the tokenizer splits lower-case printable ASCII before it merges bytes.
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
 _CHUNK_CHARS = 64
-_MEMO_ENTRIES = 400_000
+_MEMO_ENTRIES = 700_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -61,24 +64,31 @@ def encoder(path: str | None = None) -> Callable[[list[str]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer, {"": b""}
-    tokenizer, memo = _loaded[path]
+        _loaded[path] = tokenizer, {"": b""}, {}
+    tokenizer, memo, pieces = _loaded[path]
+    merge = tokenizer.model.tokenize
+
+    def piece_ids(piece: str) -> bytes:
+        ids = array("I", [t.id for t in merge(piece)]).tobytes()
+        if len(pieces) < _MEMO_ENTRIES:
+            pieces[piece] = ids
+        return ids
+
+    def ascii_ids(chunk: str) -> bytes:
+        return b"".join([pieces.get(x) or piece_ids(x) for x in _ASCII_PIECE.findall(chunk.lower())])
 
     def encode(texts: list[str]) -> list[bytes]:
         chunks = [_SPACE.split(t) for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in memo})
-        now = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                now[c] = np.array(e.ids, "<u4").tobytes()
-        if len(memo) + len(now) > _MEMO_ENTRIES:
-            look = {**{c: memo[c] for cs in chunks for c in cs if c in memo}, **now}
-        else:
-            look = memo
-        if len(memo) < _MEMO_ENTRIES:
-            memo.update((c, b) for c, b in now.items() if len(c) <= _CHUNK_CHARS or look is memo)
-        return [b"".join(map(look.__getitem__, cs)) for cs in chunks]
+        new = set().union(*chunks).difference(memo)
+        now = {c: ascii_ids(c) for c in new if len(c) <= _CHUNK_CHARS and c.isascii() and c.isprintable()}
+        rest = list(new.difference(now))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            now.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        if len(memo) + len(now) <= _MEMO_ENTRIES and all(len(c) <= _CHUNK_CHARS for c in rest):
+            memo.update(now)
+            return [b"".join(map(memo.__getitem__, cs)) for cs in chunks]
+        return [b"".join([now.get(c) or memo.get(c, b"") for c in cs]) for cs in chunks]
 
     return encode
 
