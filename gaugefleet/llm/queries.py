@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op6_decontaminate
+from .neardup import op9_near_duplicates
 from .pack import op1_pack
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
         "op6_decontaminate": op6_decontaminate,
+        "op9_near_duplicates": op9_near_duplicates,
     }
 
 
