@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op6_decontaminate
 from .neardup import op9_near_duplicates
 from .pack import op1_pack
+from .warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op6_decontaminate": op6_decontaminate,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_warc": op10_warc,
     }
 
 
