@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op6_decontaminate
 from .neardup import op9_near_duplicates
+from .ngram_quality import op3_quality_rules
 from .pack import op1_pack
 from .warc import op10_warc
 
@@ -15,6 +16,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op3_quality_rules": op3_quality_rules,
         "op6_decontaminate": op6_decontaminate,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_warc": op10_warc,
