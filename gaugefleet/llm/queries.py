@@ -10,6 +10,7 @@ from .decontaminate import op6_decontaminate
 from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
 from .pack import op1_pack
+from .pu_quality import op7_quality
 from .warc import op10_warc
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op3_quality_rules": op3_quality_rules,
         "op6_decontaminate": op6_decontaminate,
+        "op7_quality": op7_quality,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_warc": op10_warc,
     }
