@@ -11,6 +11,7 @@ from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
 from .pack import op1_pack
 from .pu_quality import op7_quality
+from .sanitise import op5_personal_data
 from .site_tree import op4_extract
 from .warc import op10_warc
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op3_quality_rules": op3_quality_rules,
         "op4_extract": op4_extract,
+        "op5_personal_data": op5_personal_data,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op9_near_duplicates": op9_near_duplicates,
