@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -39,3 +40,8 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A staged table of few narrow columns, marked for broadcast only if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df

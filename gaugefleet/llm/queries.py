@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op6_decontaminate
+from .line_dedup import op2_line_dedup
 from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
 from .pack import op1_pack
@@ -19,6 +20,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_extract": op4_extract,
         "op5_personal_data": op5_personal_data,
