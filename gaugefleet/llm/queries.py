@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .decontaminate import op6_decontaminate
+from .licences import op8_licences
 from .line_dedup import op2_line_dedup
 from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
@@ -26,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal_data": op5_personal_data,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
+        "op8_licences": op8_licences,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_warc": op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
