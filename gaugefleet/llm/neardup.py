@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._tables import read, staged
 
 BANDS, ROWS = 32, 4
-BITMAP_LONGS = 32
+BITMAP_LONGS = 16
 _SEED = 20_241
 
 
@@ -127,16 +127,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _can_reach(percent: int) -> Column:
-    """Whether sets o and y can be as similar as asked, from sizes and bitmaps alone."""
+    """Whether sets o and y can be as similar as asked, from sizes and then bitmaps."""
 
-    def only(x: str, y: str) -> Column:  # a bit of x that y lacks is a shingle that y lacks
-        out = F.lit(0)
-        for i in range(BITMAP_LONGS):
-            out = out + F.bit_count(F.col(f"{x}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[i])))
-        return out
+    def reach(common: Column) -> Column:  # 100 c >= percent (n + m - c)
+        return (100 + percent) * common >= percent * (F.col("o.n") + F.col("y.n"))
 
-    common = F.least(F.col("o.n") - only("o", "y"), F.col("y.n") - only("y", "o"))
-    return 100 * common >= percent * (F.col("o.n") + F.col("y.n") - common)
+    both = [F.bit_count(F.col(f"o.w{i}").bitwiseAND(F.col(f"y.w{i}"))) for i in range(BITMAP_LONGS)]
+    shared = sum(both[1:], both[0])  # a bit of one set that the other lacks is a shingle that the other lacks
+    return reach(F.least(F.col("o.n"), F.col("y.n"))) & reach(F.least(F.col("o.spare"), F.col("y.spare")) + shared)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -161,7 +159,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = staged(members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("c")))
     sizes = labelled.groupBy("h", "c").agg(F.count("*").alias("k"))
     several = sizes.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    bits = reps.select(F.col("doc_id").alias("rep"), "n", "bits")
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP_LONGS)]
+    spare = F.col("n") - F.aggregate("bits", F.lit(0), lambda a, b: a + F.bit_count(b))  # shingles that share a bit with another
+    bits = reps.select(F.col("doc_id").alias("rep"), "n", spare.alias("spare"), *words)
     open_ = staged(labelled.join(several.select("h", "main"), "h").join(bits, "rep"))
     odd = open_.where("c <> main").alias("o")
     across = F.expr("o.h = y.h and o.c <> y.c and (y.c = y.main or o.rep < y.rep)") & _can_reach(percent)
