@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gaugefleet.plans import telemetry
+from gaugefleet.plans import profiling, telemetry
 
-_MODULES = (telemetry,)
+_MODULES = (telemetry, profiling)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
