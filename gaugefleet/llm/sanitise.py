@@ -86,20 +86,19 @@ def _with_contexts(docs: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs over the disclosure threshold; ``found`` is the staged table of entities."""
-    met = found.select("sig", F.explode("entities").alias("e")).select("sig", "e.entity", "e.context", F.explode("e.terms").alias("term")).distinct()
-    pairs = met.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("sig").alias("c_et")).where(F.col("contexts") >= support)
-    pairs = staged(pairs)
+    met = staged(found.select("sig", F.explode("entities").alias("e")).select("sig", "e.entity", "e.context", F.explode("e.terms").alias("term")).distinct())
+    pairs = staged(met.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support))
     if pairs.isEmpty():
         return pairs.select("entity", "term")
-    entity_docs = found.select("sig", F.explode("entities.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    wanted = staged(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_WORD), F.lit(0)), term))).alias("term"), F.xxhash64("__text").alias("sig"))
-    term_docs = words.join(wanted, "term").groupBy("term").agg(F.approx_count_distinct("sig", 0.01).alias("c_t"))
-    n = docs.count()
-    scored = pairs.join(entity_docs, "entity").join(term_docs, "term")
-    c_t = F.greatest("c_t", "c_et")
-    gain = F.log(F.lit(float(n)) * F.col("c_et") / (F.col("c_e") * c_t))
-    return scored.where(gain >= disclosure * F.log(F.lit(float(n)) / F.col("c_e"))).where(F.col("c_e") < n).select("entity", "term")
+    copies = found.where(F.size("entities") > 0).groupBy("sig").agg(F.count("*").alias("k"))
+    both = met.select("entity", "term", "sig").distinct().join(pairs, ["entity", "term"]).join(copies, "sig").groupBy("entity", "term").agg(F.sum("k").alias("c_et"))
+    held = found.select("sig", F.explode("entities.entity").alias("entity")).distinct().join(copies, "sig").groupBy("entity").agg(F.sum("k").alias("c_e"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_WORD), F.lit(0)), term))
+    term_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    n = float(docs.count())
+    scored = both.join(held, "entity").join(term_docs, "term")
+    gain = F.log(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    return scored.where((gain >= disclosure * F.log(n / F.col("c_e"))) & (F.col("c_e") < n)).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
