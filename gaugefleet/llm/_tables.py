@@ -42,6 +42,7 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A staged table of few narrow columns, marked for broadcast only if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 500_000, weight: str = "1") -> DataFrame:
+    """A staged table, marked for broadcast only if its ``weight`` (rows, or what they hold) sums to at most ``rows``."""
+    total = df.agg(F.sum(F.expr(weight))).first()[0] or 0
+    return F.broadcast(df) if total <= rows else df

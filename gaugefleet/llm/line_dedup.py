@@ -112,7 +112,8 @@ def drop_duplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
     near = _near(lines, distinct)
     marked = seen.select("doc_id", "line_no", "place", "h").join(distinct.select("h", F.col("place").alias("first")), "h").join(near.withColumn("near", F.lit(True)), "h", "left")
     dropped = marked.where("near or place <> first").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
-    out = docs.join(staged(dropped), "doc_id", "left").withColumn("__lines", F.split("text", "\n"))
+    dropped = broadcast_if_small(staged(dropped), 2_000_000, "2 + size(dropped)")  # else texts are shuffled once
+    out = docs.join(dropped, "doc_id", "left").withColumn("__lines", F.split("text", "\n"))
     kept = F.filter("__lines", lambda x, i: ~F.coalesce(F.array_contains("dropped", i), F.lit(False)))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
