@@ -72,7 +72,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for j in range(width):
         at = np.zeros(n, np.int64)
-        at[: n - j] = symbols[j:]
+        at[: max(0, n - j)] = symbols[j:]
         alive &= at > 0
         key = (key << bits) | np.where(alive, at, 0)
     order = np.argsort(key, kind="stable")
