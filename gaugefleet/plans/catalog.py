@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gaugefleet.plans import experiments, profiling, telemetry
+from gaugefleet.plans import advice, experiments, profiling, telemetry
 
-_MODULES = (telemetry, profiling, experiments)
+_MODULES = (telemetry, profiling, experiments, advice)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

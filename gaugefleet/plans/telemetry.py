@@ -95,7 +95,7 @@ QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.s
 
 
 def _r(expression: str, digits: int = 4) -> str:
-    return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"
+    return f"floor(({expression}) * 1e{digits} + 0.500000001) / 1e{digits}"
 
 
 def _summary(steps: str, scope: str) -> str:
