@@ -1 +1,82 @@
+"""Readers of traces, samples and profiler files, and writers of run summaries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EVENT_SCHEMA = (
+    "schema_version string, event_id string, timestamp_ns long, pid long, tid long, job_id string, run_id string, event_type string, event_source string, gpu_id int, "
+    "step_id long, span_id string, parent_span_id string, duration_ns long, level string, payload map<string,string>, _corrupt string"
+)
+TRACE_SCHEMA = "traceEvents array<struct<name:string,cat:string,ph:string,ts:double,dur:double,pid:string,tid:string,args:map<string,string>>>"
+MIB = 1024 * 1024
+
+
+def read_trace_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Events of JSON-lines traces. Blank and malformed lines are dropped; payload values become text.
+
+    ``seq`` orders the events of a run as they were written: by time, then event id.
+    """
+    raw = spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    events = raw.where("_corrupt is null and event_type is not null").drop("_corrupt")
+    return events.withColumn("seq", F.col("timestamp_ns"))
+
+
+def _first(df: DataFrame, *names: str) -> Column:
+    have = {c.strip().lower(): c for c in df.columns}
+    found = [F.regexp_replace(F.trim(F.col(f"`{have[n]}`")), r"[^0-9.eE+-]", "").try_cast("double") for n in names if n in have]
+    return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+
+def read_gpu_csv(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """Device samples of a monitor's CSV, alternative headers allowed; rows without utilisation and memory are dropped."""
+    df = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    out = df.select(
+        F.lit(run_id).alias("run_id"),
+        _first(df, "index", "gpu").cast("int").alias("gpu_id"),
+        _first(df, "utilization.gpu", "utilization.gpu [%]", "utilization_gpu_pct").alias("utilization_gpu_pct"),
+        _first(df, "utilization.memory", "utilization.memory [%]", "utilization_mem_pct").alias("utilization_mem_pct"),
+        (_first(df, "memory.used", "memory.used [mib]") * MIB).alias("memory_used_bytes"),
+        (_first(df, "memory.total", "memory.total [mib]") * MIB).alias("memory_total_bytes"),
+    )
+    return out.where("utilization_gpu_pct is not null or memory_used_bytes is not null")
+
+
+def read_chrome_trace(spark: SparkSession, path: str) -> DataFrame:
+    """One row per event of Chrome trace files: file, idx, name, cat, ph, ts_us, dur_us, pid, tid, args."""
+    df = spark.read.schema(TRACE_SCHEMA).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("traceEvents").alias("idx", "e"))
+    return df.select("file", "idx", *[F.coalesce(f"e.{c}", F.lit("")).alias(c) for c in ("name", "cat", "ph")], F.col("e.ts").alias("ts_us"), F.col("e.dur").alias("dur_us"), "e.pid", "e.tid", "e.args")
+
+
+def read_eval_rows(spark: SparkSession, path: str, schema: str, level: int | None = None) -> DataFrame:
+    """Evaluation rows of JSON lines, of one level if asked."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if level is None else rows.where(F.col("Level_ID") == level)
+
+
+def read_variants_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Variants of a results CSV, and the rows set aside because a name or a number is missing."""
+    df = spark.read.option("header", True).csv(path)
+    for c in ("variant", "throughput_gflops"):
+        if c not in df.columns:
+            raise ValueError(f"{path} has no column {c}")
+    parsed = df.withColumn("throughput", F.trim("throughput_gflops").try_cast("double"))
+    good = (F.coalesce(F.trim("variant"), F.lit("")) != "") & F.col("throughput").isNotNull()
+    return parsed.where(good), parsed.where(~good)
+
+
+def route_artifacts(files: DataFrame) -> DataFrame:
+    """Adds kind to (path, text): by suffix, else by content."""
+    path, text = F.lower("path"), F.col("text")
+    kind = (
+        F.when(path.endswith(".ptx"), "ptx").when(path.endswith(".cu") | path.endswith(".cuh"), "cuda_source").when(path.endswith(".csv"), "kernel_csv")
+        .when(text.contains(".entry") & text.contains(".version"), "ptx").when(text.contains("__global__"), "cuda_source").when(text.contains("Kernel Name"), "kernel_csv").otherwise("unknown")
+    )
+    return files.withColumn("kind", kind)
+
+
+def write_run_summary(summaries: DataFrame, path: str, by: str | None = None) -> None:
+    """Summaries as Parquet, partitioned if asked."""
+    writer = summaries.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)

@@ -1,0 +1,50 @@
+"""Readers on small files; streams against the batch result."""
+
+import json
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from gaugefleet import sources as SO
+from gaugefleet import streaming as SM
+
+
+def test_trace_lines_tolerate_noise(spark, tmp_path):
+    good = {"event_id": "a", "run_id": "r", "event_type": "step_end", "timestamp_ns": 5, "step_id": 1, "payload": {"status": "ok", "loss": 1.5, "flag": True}}
+    (tmp_path / "t.jsonl").write_text(json.dumps(good) + "\n\n{broken\n")
+    (row,) = SO.read_trace_jsonl(spark, str(tmp_path / "t.jsonl")).collect()
+    assert (row.event_id, row.payload["status"], row.payload["loss"], row.seq) == ("a", "ok", "1.5", 5)
+
+
+def test_gpu_csv(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("timestamp, index, utilization.gpu [%], memory.used [MiB], memory.total [MiB]\nx, 0, 50 %, 2 MiB, 4 MiB\nx, 1, , , \n")
+    (row,) = SO.read_gpu_csv(spark, str(tmp_path / "g.csv"), "r").collect()
+    assert (row.gpu_id, row.utilization_gpu_pct, row.memory_used_bytes) == (0, 50.0, 2.0 * SO.MIB)
+
+
+def test_chrome_trace(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"traceEvents": [{"name": "k", "cat": "kernel", "ph": "X", "ts": 1.5, "dur": 2, "args": {"a": 1}}, {"ph": "M"}]}))
+    a, b = SO.read_chrome_trace(spark, str(tmp_path / "c.json")).orderBy("idx").collect()
+    assert (a.name, a.ts_us, a.dur_us, a.args["a"], b.name) == ("k", 1.5, 2.0, "1", "")
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [(i % 3, f"e{i % 40}", t + timedelta(seconds=7 * i), "dataloader_span" if i % 2 else "step_end", i // 6, f"s{i // 2}", i * (i % 2), {"stage": "next", "utilization_gpu_pct": str(i), "memory_used_bytes": str(i), "memory_total_bytes": "50", "temperature_c": str(2 * i)}) for i in range(48)]
+    spark.createDataFrame(rows, SM.STREAM_SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(SM.STREAM_SCHEMA).json(str(tmp_path / "in"))
+    batch = spark.read.schema(SM.STREAM_SCHEMA).json(str(tmp_path / "in"))
+    run = lambda df, name, mode="append": SM.run_available(df, name, str(tmp_path / name), mode)
+    assert run(SM.stream_ingest(stream()), "ingest").count() == 40
+    steps = lambda df: sorted(map(tuple, df.collect()))
+    assert steps(run(SM.stream_step_metrics(stream()), "steps", "update")) == steps(SM.stream_step_metrics(batch))
+    assert steps(run(SM.stream_span_pairing(stream()), "spans", "update")) == steps(SM.stream_span_pairing(batch))
+    fields = ("utilization_gpu_pct", "memory_used_bytes", "memory_total_bytes", "temperature_c")
+    alerts = SM.stream_health_alerts(SM.numbers(stream(), *fields))
+    assert run(alerts, "alerts").groupBy("label").count().count() == 2
+    windows = SM.stream_gpu_windows(SM.numbers(stream(), *fields), "1 minute", delay="1 second")
+    done = run(windows, "windows")
+    full = SM.stream_gpu_windows(SM.numbers(batch, *fields), "1 minute")
+    assert done.count() > 0 and done.join(full, ["run_id", "start", "n", "avg_util"], "left_anti").count() == 0
+    sessions = SM.stream_run_sessions(batch, "30 seconds")
+    assert sessions.agg(F.sum("events")).first()[0] == 48
