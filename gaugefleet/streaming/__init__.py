@@ -63,3 +63,14 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a streaming frame over what is there now into Parquet under ``path``; complete mode rewrites it."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
