@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gaugefleet.plans import advice, experiments, live, profiling, telemetry
+from gaugefleet.plans import advice, checks, experiments, live, profiling, telemetry
 
-_MODULES = (telemetry, profiling, experiments, advice, live)
+_MODULES = (telemetry, profiling, experiments, advice, live, checks)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
