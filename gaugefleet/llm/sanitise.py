@@ -32,9 +32,9 @@ _WORD = r"[\p{L}][\p{L}\p{N}_'-]*+"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of a pattern with their places in code points, end exclusive."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def matches(text: Column, pattern: Column, kind: str) -> Column:
+    """Matches of a pattern with their places in code points, end exclusive. For patterns with few matches."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
@@ -61,7 +61,7 @@ def _valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     sign = text.contains(SIGNS[kind]) if kind == "email" else text.rlike(SIGNS[kind])
     none = F.array().cast(_SPAN)
-    return F.when(sign, F.filter(matches(text, PATTERNS[kind], kind), lambda s: _valid(kind, s["value"]))).otherwise(none)
+    return F.when(sign, F.filter(matches(text, F.lit(PATTERNS[kind]), kind), lambda s: _valid(kind, s["value"]))).otherwise(none)
 
 
 def term(word: Column) -> Column:
@@ -116,7 +116,9 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     held = found.select("sig", F.explode("entities.entity").alias("entity")).distinct().join(risky, "entity")
     held = staged(held.groupBy("sig").agg(F.collect_set("term").alias("terms")))
     hit = given.withColumn("sig", F.xxhash64("__text")).join(held, "sig").dropDuplicates(["sig"])
-    spans = hit.select("sig", F.filter(matches(F.col("__text"), _WORD, "term"), lambda s: F.array_contains(F.col("terms"), term(s["value"]))).alias("term"))
+    # Terms hold letters, digits and _'- only, so they stand in the pattern as they are.
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_'-])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}_'-])"))
+    spans = hit.select("sig", matches(F.col("__text"), pattern, "term").alias("term"))
     out = base.join(staged(spans), "sig", "left")
     return out.select("doc_id", *KINDS, F.coalesce("term", F.array().cast(_SPAN)).alias("term"))
 
