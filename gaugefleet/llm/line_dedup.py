@@ -67,12 +67,14 @@ def _variants(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return deleted.drop("whole"), deleted.where("at = 0").select("h", "place", F.col("whole").alias("key"))
 
 
-def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h of the classes that an earlier class comes within one word of."""
     keys = distinct.where("halves is not null").select("h", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     open_ = staged(keys.join(shared, "key", "left_semi").select("h").distinct())
     first = staged(distinct.select("h", "place").join(open_, "h", "left_semi"))
+    holders = staged(first.select(F.floor(F.col("place") / F.lit(1 << 32).cast("decimal(11,0)")).cast("long").alias("doc_id")).distinct())
+    lines = _lines(docs.join(broadcast_if_small(holders), "doc_id", "left_semi"))  # only documents with such lines are read again
     texts = staged(lines.select("h", "place", "n", "words").join(broadcast_if_small(first), ["h", "place"], "left_semi").dropDuplicates(["h"]))
     deleted, whole = _variants(texts)
     groups = deleted.groupBy("key", "at").agg(F.min("place").alias("other"), F.max("place").alias("last")).where("other <> last")
@@ -109,7 +111,7 @@ def drop_duplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
     lines = _lines(docs)
     seen = staged(lines.select("doc_id", "line_no", "place", "n", "h", _halves(F.col("words"), F.col("n")).alias("halves")))
     distinct = staged(seen.groupBy("h").agg(F.min("place").alias("place"), F.any_value("halves", True).alias("halves")))
-    near = _near(lines, distinct)
+    near = _near(docs, distinct)
     marked = seen.select("doc_id", "line_no", "place", "h").join(distinct.select("h", F.col("place").alias("first")), "h").join(near.withColumn("near", F.lit(True)), "h", "left")
     dropped = marked.where("near or place <> first").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
     dropped = broadcast_if_small(staged(dropped), 2_000_000, "2 + size(dropped)")  # else texts are shuffled once
