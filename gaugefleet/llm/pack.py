@@ -41,7 +41,7 @@ _SPACE = re.compile(r"[ \n]")
 #: How the tokenizer splits lower-case printable ASCII before it merges bytes.
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
 _CHUNK_CHARS = 64
-_MEMO_ENTRIES = 700_000
+_MEMO_ENTRIES = 250_000
 _loaded: dict[str, tuple] = {}
 
 
