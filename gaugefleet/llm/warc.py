@@ -47,6 +47,11 @@ def digests(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]
     return all_, staged(revisits.select("page_id", F.col("first").alias("refers_to")).distinct())
 
 
+def _target(url: str) -> Column:
+    """A url as a header field: no line breaks, and a blank where its end and the break after it would be a magic."""
+    return F.regexp_replace(F.regexp_replace(url, r"[\r\n]", ""), r"WARC/1\.0\z", "WARC/1.0 ")
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
     """One WARC record per row of ``pages`` (page_id, url, html), in plain .txt part files.
 
@@ -61,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.when(F.col("refers_to").isNull(), "WARC-Type: response").otherwise("WARC-Type: revisit"),
         F.concat(F.lit(f"WARC-Record-ID: <{_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.lit(f"WARC-Date: {_DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit(""))),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(_target("url"), F.lit(""))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("WARC-Payload-Length: "), F.octet_length(payload)),
         F.concat(F.lit(f"WARC-Refers-To: <{_ID}"), F.col("refers_to").cast("string"), F.lit(">")),
@@ -84,7 +89,7 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 def _parsed(raw: bytes) -> tuple[int, dict[str, str]] | None:
     """Bytes up to the block's start (magic not counted) and the headers; none if it is no record."""
-    at = raw.find(b"\r\n\r\n", 0, 65_536)
+    at = raw.find(b"\r\n\r\n")
     fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(raw[:at])} if at >= 0 else {}
     return (at + 4, fields) if fields.get("content-length", "").isdigit() else None
 
@@ -154,14 +159,25 @@ def reachable(found: DataFrame) -> DataFrame:
     return on
 
 
+def _check_ends(found: DataFrame, chain: DataFrame) -> None:
+    """Raise if the chain of some file does not end at its last byte, so that records would be missing."""
+    reached = found.join(chain.withColumn("on", F.lit(True)), ["file", "offset"], "left")
+    ends = reached.groupBy("file").agg(F.max(F.col("offset") + len(MAGIC) + F.col("bytes")).alias("end"), F.max(F.when(F.col("on"), F.col("successor"))).alias("reached"))
+    short = ends.where(~F.col("end").eqNullSafe(F.col("reached"))).limit(3).collect()
+    if short:
+        raise ValueError("no whole chain of records: " + ", ".join(f"{r.file} ends at {r.end}, its chain at {r.reached}" for r in short))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of plain archives under ``path``: page_id, n, digest, type, refers_to, intact.
 
     n and digest are those of the full payload; a revisit declares them. ``intact`` tells whether the
-    block has the declared digest. Empty files have no records.
+    block has the declared digest. Empty files have no records; a file whose records do not follow one
+    another to its last byte raises ValueError.
     """
     found = candidates(spark, path)
     chain = reachable(found)
+    _check_ends(found, chain)
     mine = found.join(chain, ["file", "offset"])
     plain = mine.where("type is not null").select(*_FACTS)
     # Blocks with magic inside: their segments are read again and put together, record by record.

@@ -333,6 +333,23 @@ def test_archives_survive_magic_in_payloads(spark, tmp_path):
         assert (r.type, r.refers_to) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
 
 
+def test_archives_with_long_urls(spark, tmp_path):
+    urls = ["u", "http://x.example/" + "a" * 70_000, "http://x.example/" + "\u00e9" * 300_000, "http://x.example/WARC/1.0", "WARC/1.0\r\n", None]
+    rows = [(i, urls[i % 6], f"page {i}") for i in range(30)]
+    WA.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = {r.page_id: r for r in WA.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert set(got) == set(range(30)) and all(got[i].n == len(h) and got[i].intact for i, _, h in rows)
+
+
+def test_broken_archives_raise(spark, tmp_path):
+    WA.write_archives(spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    part = next((tmp_path / "w").glob("part-*"))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.txt").write_bytes(part.read_bytes().replace(b"Content-Length: 6\r\n\r\npage 4", b"Content-Length: 9\r\n\r\npage 4"))
+    with pytest.raises(ValueError, match="no whole chain"):
+        WA.read_archives(spark, str(tmp_path / "cut"))
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline as P
 
