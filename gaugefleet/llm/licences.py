@@ -68,7 +68,8 @@ RULES = [
     ("CC0-1.0", "cc0"),
     ("All-Rights-Reserved", "reserved"),
 ]
-_HINT = re.compile(r"licen[sc]e|copyright|redistribution|permission is|rights reserved|public domain|free software|as is|except in compliance|endorse or promote", re.I)
+# In lower-case text; each known sentence holds one of these, and so does each licence-like one.
+_HINT = re.compile(r"licen[sc]e|copyright|redistribution|permission|warrant|endorse|reserved|(?:released|distributed|available|dedicated|subject)[^a-z0-9]+(?:under|to)")
 _END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES.items()]
@@ -108,7 +109,7 @@ _RULES = [(name, _pattern(sequence)) for name, sequence in RULES]
 
 def scan(text: str | None) -> tuple[list[str], list[str], int]:
     """Sentence ids in order, licences in order, and licence-like sentences that are not known."""
-    if not text or not _HINT.search(text):
+    if not text or not _HINT.search(text.lower()):
         return [], [], 0
     ids, unknown = [], 0
     for plain in map(normalised, sentences(text)):

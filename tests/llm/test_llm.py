@@ -313,6 +313,48 @@ def test_licences(text, ids, found):
     assert (",".join(got[0]), ",".join(got[1])) == (ids, found)
 
 
+def expansions(pattern, rng):
+    """One random text that a pattern of SENTENCES describes."""
+    out = []
+    for op, x in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(x))
+        elif name == "IN":
+            kind, value = x[rng.integers(len(x))]
+            out.append({"CATEGORY_DIGIT": "2", "CATEGORY_WORD": "x"}[str(value)] if str(kind) == "CATEGORY" else chr(value))
+        elif name == "ANY":
+            out.append("x")
+        elif name == "BRANCH":
+            out += expansions(x[1][rng.integers(len(x[1]))], rng)
+        elif name == "SUBPATTERN":
+            out += expansions(x[3], rng)
+        else:
+            low, high, part = x
+            low = max(low, int(str(part[0][0]) == "ANY"))  # a word at least, since blanks are single
+            for _ in range(int(rng.integers(low, min(int(high), low + 2) + 1))):
+                out += expansions(part, rng)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("name", LI.SENTENCES)
+def test_each_known_sentence_is_found_alone(name):
+    rng = np.random.default_rng(1)
+    parsed = re._parser.parse(LI.SENTENCES[name])
+    for k in range(60):
+        plain = LI.normalised(expansions(parsed, rng))
+        text = (plain.upper() if k % 3 == 0 else plain.capitalize()).replace(" ", ["\n", " - ", "  ", " "][k % 4]) + "."
+        known = LI.sentence_id(plain)
+        if k % 4:  # a line break may end a sentence before its end
+            assert LI.scan(text)[0] == [known] and known, text
+        assert LI._HINT.search(text.lower()), text
+
+
+def test_licences_without_the_word():
+    for text, found in (("Released under the GPL v3.", "GPL"), ("Available under the MIT.", "MIT"), ("Available under CC BY 4.0.", "CC-BY"), ("Released under CC0 1.0.", "CC0-1.0")):
+        assert LI.scan(text)[1] == [found]
+
+
 def test_archives_survive_magic_in_payloads(spark, tmp_path):
     evil = "x" * 900 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nzz"
     rows = [(i, f"u{i}", [None, "", evil, evil + str(i), "é" * i, "WARC/1.0\r\n", "\r\n\r\n", "a\r\n\r\nWARC/1.0\r\n" * i][i % 8]) for i in range(40)]
