@@ -5,14 +5,15 @@ classes. A node's presentation importance is the entropy of its child layouts ov
 pages; its content importance falls with the entropy of its texts over them, so texts that many
 pages share count little. Both are sums that Spark adds up over (node, layout or text), so a host
 with a third of all pages is spread like any other. Landmarks that authors declare (article, main,
-nav, class names) shift the importance; branches of low importance are removed from each page.
+nav, class names) shift the importance by less than its range; branches of low importance are removed
+from each page. Blocks of a declared nav, aside, form or listed class name are never main text.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -21,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import read, staged
+from ._tables import broadcast_if_small, read, staged
 
 DECAY = 0.9
 LEAST = 0.3
+SHIFT = 0.2
 # HTML elements that break lines, that hold no text, and that close one another.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -50,6 +52,7 @@ class Node:
     comment: bool
     layout: list[str] = field(default_factory=list)
     up: Node | None = None
+    holds: bool = False  # an article stands in it
 
 
 @dataclass
@@ -184,19 +187,21 @@ def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
     ``pages`` needs page_id, url and html; other columns are ignored. A null or empty html has the
-    text "". A host with one page, or a null url, has nothing to compare: declared landmarks decide
-    there. Repeated rows each get their row. Equal pages of a host count as pages like any other;
-    texts inside a declared article are kept however often they recur.
+    text "". A branch of one page only, or a null url, has nothing to compare: declared landmarks
+    decide there. Elsewhere a branch needs the importance ``least``, ``SHIFT`` less in a declared
+    article, and ``SHIFT`` more outside one on pages that declare one. Repeated rows each get their
+    row. Equal pages of a host count as one page.
     """
-    low = node_importance(pages).where((F.col("importance") < least) & (F.col("pages") > 1))
-    low = staged(low.groupBy("host").agg(F.collect_list("node").alias("low")))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     given = pages.select("page_id", "url", "html").withColumn("host", host)
+    known = node_importance(_distinct_pages(given)).where("pages > 1")
+    level = F.when(F.col("importance") < least - SHIFT, 0).when(F.col("importance") < least, 1).when(F.col("importance") < least + SHIFT, 2).otherwise(3)
+    low = staged(known.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", level.alias("level")))).alias("low")))
     fields = {f.name: f.dataType.simpleString() for f in given.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(u, h, set() if x is None else set(x)) for u, h, x in zip(pdf["url"], pdf["html"], pdf["low"], strict=True)]
+            texts = [main_text(u, h, {} if x is None else dict(x)) for u, h, x in zip(pdf["url"], pdf["html"], pdf["low"], strict=True)]
             out = pdf[["page_id", "url"]].astype(object).where(pdf[["page_id", "url"]].notna(), None)
             yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
@@ -204,22 +209,38 @@ def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     return joined.mapInPandas(run, f"page_id {fields['page_id']}, url string, text string, n_chars long")
 
 
-def main_text(url: str | None, page: str | None, low: set[int]) -> str:
-    """Blocks whose branch is important: style tree plus 1 inside an article, minus 1 outside one."""
+def _distinct_pages(given: DataFrame) -> DataFrame:
+    """Equal pages of a host once, that of the smallest page_id."""
+    given = given.withColumn("__h", F.xxhash64("html"))
+    copies = given.groupBy("host", "__h").agg(F.min("page_id").alias("__first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return given.join(broadcast_if_small(staged(copies)), ["host", "__h"], "left").where("__first is null or page_id = __first")
+
+
+def main_text(url: str | None, page: str | None, low: Mapping[int, int] | set[int]) -> str:
+    """Blocks whose branch is important. ``low`` has the level of each branch that several pages of the host have:
+    0 too low even in an article, 1 anywhere else, 2 outside the article of a page that declares one, 3 important."""
     blocks, nodes = parse(page)
     declared, host = any(n.inside == 1 for n in nodes), host_of(url)
+    for n in nodes:
+        while n.inside == 1 and n.up is not None and not n.up.holds:
+            n = n.up
+            n.holds = True
     doomed: dict[int, bool] = {}
 
     def removed(n: Node | None) -> bool:
         if n is None or not n.path:
             return False
         if id(n) not in doomed:
-            doomed[id(n)] = removed(n.up) or (bool(low) and _key(host, n.path) in low)
+            doomed[id(n)] = removed(n.up) or level(n) < (1 if n.inside == 1 or n.holds else 3 if declared else 2)
         return doomed[id(n)]
 
+    def level(n: Node) -> int:
+        return low.get(_key(host, n.path), 3) if low else 3
+
     def kept(b: Block) -> bool:
-        shift = b.node.inside if b.node.inside or not declared else -1
-        return shift > 0 or (shift == 0 and not removed(b.node))
+        if b.node.inside < 0 or removed(b.node):
+            return False
+        return b.node.inside > 0 or not declared or (bool(low) and _key(host, b.node.path) in low)
 
     return "\n\n".join(b.text for b in blocks if b.node.tag != "head" and kept(b))
 

@@ -262,6 +262,17 @@ def test_site_tree_removes_what_pages_share(spark):
     assert (8, "", 0) in got and len(got) == 11
 
 
+def test_importance_decides_in_and_around_articles(spark):
+    """Shared branches go from declared articles, real text beside one stays, and equal pages are one page."""
+    page = "<body><nav>Menu {i}</nav><div class=lead><p>Lead of page {i}</p></div><div class=strip><p>Same strip</p></div><article><div class=row><p>Share this</p></div><p>Own words {i}</p><p class=fine>Fine print of all</p></article><aside>Aside {i}</aside>"
+    rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(8)]
+    twin = "<article><p>Twin text</p></article>"
+    rows += [(20, "http://t.example/a", twin), (21, "http://t.example/b", twin), (30, "http://one.example/", page)]
+    got = {r.page_id: r.text for r in ST.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Lead of page {i}\n\nOwn words {i}" for i in range(8))
+    assert got[20] == got[21] == "Twin text" and got[30] == "Share this\n\nOwn words {i}\n\nFine print of all"
+
+
 def test_personal_data_spans(spark, no_docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
