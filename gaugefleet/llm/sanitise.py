@@ -32,15 +32,17 @@ _WORD = r"[\p{L}][\p{L}\p{N}_'-]*+"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: Column, kind: str) -> Column:
-    """Matches of a pattern with their places in code points, end exclusive. For patterns with few matches."""
+def matches(text: Column, pattern: Column, kind: str, group: int = 0) -> Column:
+    """Matches of a pattern (or of the group at its end) with their places in code points, end exclusive. For patterns with few matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    values = F.regexp_extract_all(text, pattern, F.lit(group)) if group else found
+    steps = F.zip_with(lengths, values, lambda n, m: F.struct(n.alias("n"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        b = acc["at"] + x["gap"]
-        e = b + F.length(x["m"])
+        e = acc["at"] + x["n"]
+        b = e - F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), b.alias("start"), e.alias("end"), x["m"].alias("value")))).alias("out"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
@@ -116,9 +118,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     held = found.select("sig", F.explode("entities.entity").alias("entity")).distinct().join(risky, "entity")
     held = staged(held.groupBy("sig").agg(F.collect_set("term").alias("terms")))
     hit = given.withColumn("sig", F.xxhash64("__text")).join(held, "sig").dropDuplicates(["sig"])
-    # Terms hold letters, digits and _'- only, so they stand in the pattern as they are.
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_'-])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}_'-])"))
-    spans = hit.select("sig", matches(F.col("__text"), pattern, "term").alias("term"))
+    # A word is a run of letters, digits and _'- from its first letter on. Terms hold only these, and the dotted i of a lower-case \u0130.
+    either = F.replace(F.array_join("terms", "|"), F.lit("i\u0307"), F.lit("\u0130"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_'-])[\p{N}_'-]*+((?iu:"), either, F.lit(r"))(?![\p{L}\p{N}_'-])"))
+    spans = hit.select("sig", F.filter(matches(F.col("__text"), pattern, "term", 1), lambda s: F.array_contains("terms", term(s["value"]))).alias("term"))
     out = base.join(staged(spans), "sig", "left")
     return out.select("doc_id", *KINDS, F.coalesce("term", F.array().cast(_SPAN)).alias("term"))
 

@@ -295,6 +295,17 @@ def test_terms_that_disclose_are_removed(spark):
     assert got[2].text == "w2 hello  agent mail [EMAIL] thanks v2" and got[103].text == rows[9][1]
 
 
+def test_terms_are_found_where_words_are(spark):
+    """Quoted, hyphenated and digit-led occurrences, and a name whose lower case is longer, as the words of a text have them."""
+    odd = "'Zorblax 'Zorblax' -Zorblax _Zorblax 7Zorblax 4'-_9Zorblax. Zorblax Zorblax-x aZorblax xx-Zorblax a7Zorblax ZORBLAX,zorblax;\u0130zmir \u0130ZMIR i\u0307zmir \u00e9Zorblax"
+    rows = [(i, f"w{i} hello Zorblax \u0130zmir agent mail joe@corp.example.com thanks v{i}") for i in range(6)] + [(50, odd + " | joe@corp.example.com")]
+    rows += [(100 + i, f"hello agent mail thanks f{i}") for i in range(600)]
+    got = unique(SA.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    words = re.finditer(r"[^\W\d_](?:[^\W_]|[_'-])*", odd)
+    expected = [(m.start(), m.end(), m[0]) for m in words if m[0].lower() in ("zorblax", "\u0130zmir".lower())]
+    assert len(expected) == 10 and [(s.start, s.end, s.value) for s in got[50].term if s.value.lower() in ("zorblax", "\u0130zmir".lower())] == expected
+
+
 def test_copies_are_one_witness(spark):
     rows = [(i, "hello Zorblax mail joe@corp.example.com") for i in range(9)] + [(100 + i, f"other words f{i}") for i in range(9)]
     assert SA.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("term") > 0).count() == 0
