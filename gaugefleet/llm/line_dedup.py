@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._tables import broadcast_if_small, read, staged
 
-LEAST_WORDS = 5
-NEAR_WORDS = 10
+LEAST_WORDS = 1
+NEAR_WORDS = 5  # one word is at most a fifth of such lines
 _PRIME = (1 << 31) - 1
 _SPACE = " \t\n\x0b\f\r"
 
@@ -31,7 +31,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """place, line_no, n and words of every line of at least ``LEAST_WORDS`` words."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.split(F.lower(F.btrim(F.col("line"), F.lit(_SPACE))), r"[\x20\x09-\x0D]+")
-    lines = lines.select("doc_id", "line_no", words.alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= LEAST_WORDS)
+    lines = lines.select("doc_id", "line_no", words.alias("words")).withColumn("n", F.size("words")).where((F.col("n") >= LEAST_WORDS) & (F.col("words")[0] != ""))
     return lines.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", F.xxhash64("words").alias("h"), "words")
 
 
@@ -101,8 +101,7 @@ def drop_duplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
     """Drop each line that equals an earlier line, or comes within one word of one.
 
     ``docs`` needs doc_id, text and the columns of ``keep``; other columns are ignored. Earlier means
-    a smaller doc_id, then a smaller line number. Lines of fewer than ``LEAST_WORDS`` words stay;
-    those below ``NEAR_WORDS`` words are dropped only for an equal line. Returns the columns of
+    a smaller doc_id, then a smaller line number. Lines without a word stay; those below ``NEAR_WORDS`` words are dropped only for an equal line. Returns the columns of
     ``keep``, text (the kept lines), n_lines and n_dropped. A null text stays null and has no lines;
     rows without doc_id keep all lines and count for none; rows with one doc_id are one document, so
     repeated rows all keep their lines.

@@ -223,6 +223,13 @@ def test_line_dedup_without_ids(spark):
     assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 0), (1, 0), (2, 1)]
 
 
+def test_short_lines_are_lines_too(spark):
+    rows = [(1, "All rights reserved.\n\nMenu\nseven words stand in this short line\n  "), (2, "menu\n\nALL  rights reserved.\nseven words stood in this short line\nAll rights observed.\n  ")]
+    got = unique(LD.drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[1].text == rows[0][1] and got[1].n_dropped == 0
+    assert (got[2].text, got[2].n_dropped) == ("\nAll rights observed.\n  ", 3)
+
+
 def test_quality_base_counts(spark, docs, no_docs):
     target = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
     got = NQ.quality_rules(docs, target).collect()
