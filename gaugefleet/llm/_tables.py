@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000, weight: str = "1") ->
     """A staged table, marked for broadcast only if its ``weight`` (rows, or what they hold) sums to at most ``rows``."""
     total = df.agg(F.sum(F.expr(weight))).first()[0] or 0
     return F.broadcast(df) if total <= rows else df
+
+
+def slices(batch: pa.RecordBatch | pa.Array, rows: int = 256) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Views of a few rows, so that few texts are Python objects at a time."""
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)

@@ -12,6 +12,7 @@ one length in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import pickle
 import random
@@ -23,11 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import read, staged
+from ._tables import read, record_batch, slices, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -37,12 +39,22 @@ Bins = dict[Pattern, int]
 
 # --- token ids -----------------------------------------------------------------------------------
 
-_SPACE = re.compile(r"[ \n]")
-#: How the tokenizer splits lower-case printable ASCII before it merges bytes.
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
-_CHUNK_CHARS = 64
-_MEMO_ENTRIES = 250_000
-_loaded: dict[str, tuple] = {}
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Texts of visible ASCII, white space, Latin letters and common marks: their lower case and normal form need no context.
+_PLAIN = re.compile(rf"[\x09-\x0D\x20-\x7E\u00a1-\u00a9\u00ab-\u00ac\u00ae-\u00b1\u00b6\u00b7\u00bb\u00bf\u2010-\u2027\u20ac{_LETTERS}]*")
+#: How the tokenizer splits such texts, in lower case, before it merges bytes.
+_PIECE = re.compile(rf"[a-z{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x09-\x0D\x20a-z0-9{_LETTERS}]+")
+#: Bytes as the characters that stand for them: visible Latin-1 as it is, the others in order from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+_BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+#: The splitting rule and normalizers of the tokenizer for which the patterns hold.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECE_CHARS = 64
+_MEMO_ENTRIES = 200_000
+_MET = 1 << 22
+_PART_ROWS, _PART_CHARS = 256, 1_000_000
+_loaded: dict[str, Callable] = {}
 
 
 def tokenizer_file() -> str:
@@ -52,11 +64,7 @@ def tokenizer_file() -> str:
 
 
 def encoder(path: str | None = None) -> Callable[[list[str]], list[bytes]]:
-    """Texts to their ids as little-endian unsigned 32-bit bytes.
-
-    Spaces and newlines always end a token of this tokenizer, so a text is the concatenation of its
-    chunks between them, and ids of short chunks are remembered (up to a bound) per worker.
-    """
+    """Texts to their ids as little-endian unsigned 32-bit bytes; one encoder per worker and file."""
     path = path or tokenizer_file()
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,60 +72,128 @@ def encoder(path: str | None = None) -> Callable[[list[str]], list[bytes]]:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer, {"": b""}, {}
-    tokenizer, memo, pieces = _loaded[path]
-    merge = tokenizer.model.tokenize
-
-    def piece_ids(piece: str) -> bytes:
-        ids = array("I", [t.id for t in merge(piece)]).tobytes()
-        if len(pieces) < _MEMO_ENTRIES:
-            pieces[piece] = ids
+        _loaded[path] = _by_pieces(tokenizer) if _known(path) else _whole(tokenizer)
+    return _loaded[path]
+
+
+def _known(path: str) -> bool:
+    """Whether the file has the rules that ``_PIECE`` states."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, split = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    names = [x.get("type") for x in normal.get("normalizers", [])]
+    patterns = [x.get("pattern", {}).get("Regex") for x in split.get("pretokenizers", [])]
+    return names == _NORMALIZERS and patterns[:1] == [_RULE]
+
+
+def _whole(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    return lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class _Ids(dict):
+    """Ids of pieces that recur. A piece is remembered when it is met again, in two generations: what is asked for
+    after the younger was full moves up, the rest is forgotten."""
+
+    def __init__(self, merge: Callable) -> None:
+        super().__init__()
+        self.merge, self.old, self.met, self.n_met = merge, {}, bytearray(_MET), 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = array("I", [t.id for t in self.merge(raw)]).tobytes()
+        place = hash(piece) % _MET
+        if not self.met[place]:
+            self.met[place] = 1
+            self.n_met += 1
+        elif len(piece) <= _PIECE_CHARS:
+            self[piece] = ids
         return ids
 
-    def ascii_ids(chunk: str) -> bytes:
-        return b"".join([pieces.get(x) or piece_ids(x) for x in _ASCII_PIECE.findall(chunk.lower())])
+    def age(self) -> None:
+        if len(self) > _MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        if self.n_met > _MET // 4:
+            self.met, self.n_met = bytearray(_MET), 0
+
+
+def _by_pieces(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """White space ends every token, so a text is the concatenation of its pieces; each is merged once and remembered.
+
+    Other texts are cut at blanks and newlines, and chunks that aren't plain go to the tokenizer.
+    """
+    ids = _Ids(tokenizer.model.tokenize)
+    of = ids.__getitem__
+
+    def plain(text: str) -> bytes:
+        return b"".join(map(of, _PIECE.findall(text.lower())))
 
     def encode(texts: list[str]) -> list[bytes]:
-        chunks = [_SPACE.split(t) for t in texts]
-        new = set().union(*chunks).difference(memo)
-        now = {c: ascii_ids(c) for c in new if len(c) <= _CHUNK_CHARS and c.isascii() and c.isprintable()}
-        rest = list(new.difference(now))
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            now.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        if len(memo) + len(now) <= _MEMO_ENTRIES and all(len(c) <= _CHUNK_CHARS for c in rest):
-            memo.update(now)
-            return [b"".join(map(memo.__getitem__, cs)) for cs in chunks]
-        return [b"".join([now.get(c) or memo.get(c, b"") for c in cs]) for cs in chunks]
+        odd: dict[int, list[str]] = {}
+        out = []
+        for i, t in enumerate(texts):
+            if _PLAIN.fullmatch(t):
+                out.append(plain(t))
+            else:
+                odd[i] = t.replace("\n", " ").split(" ")
+                out.append(b"")
+        strange = {c: b"" for cs in odd.values() for c in cs if not _PLAIN.fullmatch(c)}
+        chunks = list(strange)
+        for k in range(0, len(chunks), 4096):
+            part = chunks[k : k + 4096]
+            for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                strange[c] = array("I", e.ids).tobytes()
+        for i, cs in odd.items():
+            out[i] = b"".join([strange[c] if c in strange else plain(c) for c in cs])
+        ids.age()
+        return out
 
     return encode
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of a few rows and characters (a longer text is a part of its own)."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first >= _PART_ROWS or held + len(t) > _PART_CHARS):
+            yield first, i
+            first, held = i, 0
+        held += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, and task and nth.
 
     ``nth`` counts the pieces of one length within the task that made them.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4").tobytes()
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part, rows = pdf.iloc[at : at + 512], []
-                for doc, raw in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
-                    raw += end
-                    for piece, b in enumerate(range(0, len(raw), 4 * capacity)):
-                        ids = raw[b : b + 4 * capacity]
-                        n = len(ids) // 4
-                        rows.append((None if pd.isna(doc) else doc, piece, b // 4, n, zlib.crc32(ids), task, seen[n]))
-                        seen[n] += 1
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+        for batch in batches:
+            for part in slices(batch, _PART_ROWS):
+                ids, texts, rows = part[0].to_pylist(), part[1].to_pylist(), []
+                for a, b in _parts(texts):
+                    for doc, raw in zip(ids[a:b], encode(texts[a:b]), strict=True):
+                        raw += end
+                        for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                            cut = raw[at : at + 4 * capacity]
+                            n = len(cut) // 4
+                            rows.append((doc, piece, at // 4, n, zlib.crc32(cut), task, seen[n]))
+                            seen[n] += 1
+                yield record_batch(rows, _PIECES)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return given.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+
+
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
 
 # --- the grouping genetic algorithm ---------------------------------------------------------------
