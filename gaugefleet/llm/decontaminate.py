@@ -7,25 +7,29 @@ walking to sampled positions, and merged into removal spans. Words that no test
 be part of an occurrence, nor can runs of known words shorter than the shortest phrase; both
 become separators, which keeps the index small and loses nothing.
 
-Documents are never shuffled. Phrases go to the tasks in blocks of at most ``block_bytes`` of item
-text, so what is broadcast is bounded whatever the size of the benchmark.
+Only texts go to Python, and documents are not shuffled for it. Phrases go to the tasks in blocks of
+at most ``block_bytes`` of item text, one block in one pass, so what is broadcast is bounded whatever
+the size of the benchmark.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import read
+from ._tables import broadcast_if_small, read, slices, staged
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words of a text that is not lower-cased yet, for the JVM.
+WORD_TEXT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 SAMPLE_EVERY = 16
 SHARD_WORDS = 2_000_000
@@ -189,43 +193,34 @@ def occurrences(codes: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.nda
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (none, none, none)
 
 
-def _shard(docs: list[tuple], codes: list[list[np.ndarray]], blocks: list[Phrases], clean: bool) -> pd.DataFrame:
-    """Results of the documents of one shard."""
-    size = np.array([x[2] for x in docs], np.int64)
+def _shard(docs: list[list[bytes]], phrases: Phrases) -> list[dict]:
+    """Spans (merged, in words) and items of the documents of one shard."""
+    size = np.array([len(x) for x in docs], np.int64)
     start = np.concatenate([[0], np.cumsum(size + 1)])  # a gap after each document
+    whole = np.zeros(start[-1], np.int64)
+    for s, words in zip(start, docs, strict=False):
+        whole[s : s + len(words)] = np.fromiter(map(phrases.codes.get, words, repeat(0)), np.int32, len(words))
+    phrase, place, length = occurrences(whole, phrases)
     mark = np.zeros(start[-1] + 1, np.int64)
-    pairs = []
-    for k, phrases in enumerate(blocks):
-        whole = np.zeros(start[-1], np.int64)
-        for s, c in zip(start, codes[k], strict=False):
-            whole[s : s + len(c)] = c
-        phrase, place, length = occurrences(whole, phrases)
-        np.add.at(mark, place, 1)
-        np.add.at(mark, place + length, -1)
-        doc = np.searchsorted(start, place, side="right") - 1
-        n = phrases.owner_start[phrase + 1] - phrases.owner_start[phrase]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(phrases.owner_start[phrase], n)
-        pairs.append(np.stack([np.repeat(doc, n), phrases.owners[at]], axis=1))
-    hit = np.cumsum(mark[:-1]) > 0
-    hits_before = np.concatenate([[0], np.cumsum(hit)])
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    np.add.at(mark, place, 1)
+    np.add.at(mark, place + length, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark[:-1]) > 0, [False]]).astype(np.int8)))
     begins, ends = edges[::2], edges[1::2]
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1))
-    spans_cut = np.searchsorted(begins, start)
+    doc = np.searchsorted(start, place, side="right") - 1
+    n = phrases.owner_start[phrase + 1] - phrases.owner_start[phrase]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(phrases.owner_start[phrase], n)
+    pairs = np.unique(np.stack([np.repeat(doc, n), phrases.owners[at]], axis=1), axis=0)
+    cut, spans_cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1)), np.searchsorted(begins, start)
     rows = []
-    for i, (row, text, n, *_) in enumerate(docs):
-        items = sorted(map(str, pairs[cut[i] : cut[i + 1], 1]))
-        spans = [(int(b - start[i]), int(e - start[i])) for b, e in zip(begins[spans_cut[i] : spans_cut[i + 1]], ends[spans_cut[i] : spans_cut[i + 1]], strict=True)]
-        n_hit = int(hits_before[start[i] + n] - hits_before[start[i]])
-        rows.append((*row, n, n_hit, len(items), ",".join(items), [list(s) for s in spans], _without(text, spans) if clean else None))
-    return pd.DataFrame(rows)
+    for i, words in enumerate(docs):
+        of = slice(spans_cut[i], spans_cut[i + 1])
+        spans = np.stack([begins[of], ends[of]], axis=1) - start[i]
+        rows.append({"n_words": len(words), "spans": spans.tolist(), "items": pairs[cut[i] : cut[i + 1], 1].tolist()})
+    return rows
 
 
-def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+def _without(text: str, spans: list[list[int]]) -> str:
     """The text without the words of the spans and what stands between them."""
-    if not spans:
-        return text
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in WORD.finditer(raw.lower())]
     out, done = [], 0
@@ -235,17 +230,58 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[done:]]).decode()
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of phrases, each built from at most about ``block_bytes`` of text."""
+_FOUND = "n_words long, spans array<array<long>>, items array<long>"
+_FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
+
+
+def _search(phrases: Broadcast, shard_words: int) -> Callable:
+    """A column function: what a block of phrases finds in each text. A shard never spans Arrow batches."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows, shard, held = [], [], 0
+            for part in slices(batch):
+                for text in part.to_pylist():
+                    shard.append(words_of(text))
+                    held += len(shard[-1]) + 1
+                    if held >= shard_words:
+                        rows += _shard(shard, phrases.value)
+                        shard, held = [], 0
+            if shard:
+                rows += _shard(shard, phrases.value)
+            yield pa.array(rows, _FOUND_TYPE)
+
+    return F.arrow_udf(run, _FOUND).asNondeterministic()
+
+
+def _cut(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts of documents with spans, without them; null for the others."""
+    for text, spans in texts:
+        yield pa.array([_without(t, s) if s else None for a, b in zip(slices(text), slices(spans), strict=True) for t, s in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[int, Broadcast]]:
+    """The number of blocks with each: phrases of at most about ``block_bytes`` of text, ready for the tasks."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
-    out = []
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        out.append(spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window)))
-    return out
+        yield n, spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, overlapping and touching ones as one."""
+    none = F.array().cast("array<array<bigint>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joins = F.coalesce(x[0] <= last[1], F.lit(False))
+        longer = F.array(last[0], F.greatest(last[1], x[1]))
+        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), none, step)
 
 
 def find_contamination(
@@ -260,50 +296,41 @@ def find_contamination(
     """Occurrences of benchmark windows in every document.
 
     ``docs`` needs ``text`` and the columns of ``keep``; ``benchmark`` needs item_id and text. Other
-    columns are ignored, so clashing names do no harm. Returns the columns of ``keep``, n_words,
-    n_hit, n_items, items (sorted as strings, comma-joined), spans (merged, in words, end exclusive)
-    and clean_text (the text without the spans when ``clean``, else null). A null text has no words
-    and its clean_text is null; an empty benchmark hits nothing; repeated rows each get their row;
-    an item without id or words is no item. A shard holds whole documents: one more than
-    ``shard_words`` long is a shard of its own.
+    columns are ignored, and columns of ``keep`` that are named like a result give way. Returns the
+    columns of ``keep``, n_words, n_hit, n_items, items (sorted as strings, comma-joined), spans
+    (merged, in words, end exclusive) and clean_text (the text without the spans when ``clean``, else
+    null). A null text has no words and its clean_text is null; an empty benchmark hits nothing;
+    repeated rows each get their row; an item without id or words is no item. A shard holds whole
+    documents: one more than ``shard_words`` long is a shard of its own.
+
+    A benchmark of several blocks takes one pass over the documents for each. Passes keep what they
+    find by the text's SHA-256, so that equal texts share it, and one join brings it together.
     """
-    blocks = _blocks(benchmark, window, block_bytes)
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    names = [*keep, "n_words", "n_hit", "n_items", "items", "spans", "clean_text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = [b.value for b in blocks]
-        docs_, codes, words_held = [], [[] for _ in mine], 0
-
-        def flush() -> pd.DataFrame:
-            out = _shard(docs_, codes, mine, clean)
-            out.columns = names
-            return out
-
-        for pdf in batches:
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in keep]
-            for *row, text in zip(*columns, pdf["__text"], strict=True):
-                words = words_of(text)
-                for k, p in enumerate(mine):
-                    codes[k].append(np.fromiter(map(p.codes.get, words, repeat(0)), np.int32, len(words)))
-                docs_.append((row, text if clean else None, len(words)))
-                words_held += len(words) + 1
-                if words_held >= shard_words:
-                    yield flush()
-                    docs_, codes, words_held = [], [[] for _ in mine], 0
-        if docs_:
-            yield flush()
-
-    given = docs.select(*keep, F.col("text").alias("__text"))
-    return given.mapInPandas(run, f"{schema}, n_words long, n_hit long, n_items long, items string, spans array<array<long>>, clean_text string")
+    names = [c for c in keep if c not in ("n_words", "n_hit", "n_items", "items", "spans", "clean_text")]
+    given = docs.select(*names, F.col("text").alias("__text"))
+    passes = []
+    for n, block in _blocks(benchmark, window, block_bytes):
+        found = _search(block, shard_words)(F.col("__text"))
+        if n == 1:
+            marked = given.withColumn("__f", found)
+            break
+        texts = given.select("__text").where("__text is not null")
+        part = texts.select(F.sha2("__text", 256).alias("__sha"), found.alias("f")).where(F.size("f.spans") > 0)
+        passes.append(staged(part.select("__sha", "f.spans", "f.items").dropDuplicates(["__sha"])))
+        block.destroy()
+    else:
+        union = reduce(DataFrame.unionByName, passes).groupBy("__sha").agg(_merged(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+        n_words = F.when(F.col("__text").isNull(), 0).otherwise(F.regexp_count("__text", F.lit(WORD_TEXT))).cast("long")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+        joined = given.withColumn("__sha", F.sha2("__text", 256)).join(broadcast_if_small(staged(union), 100_000, "1 + size(s) + size(i)"), "__sha", "left")
+        marked = joined.withColumn("__f", F.struct(n_words.alias("n_words"), none("s", "array<array<bigint>>").alias("spans"), none("i", "array<bigint>").alias("items"))).drop("s", "i", "__sha")
+    items, spans = F.array_sort(F.col("__f.items").cast("array<string>")), F.col("__f.spans")
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    cut = F.coalesce(F.arrow_udf(_cut, "string")(F.when(F.size(spans) > 0, F.col("__text")), spans), F.col("__text")) if clean else F.lit(None).cast("string")
+    return marked.select(*names, F.col("__f.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), spans.alias("spans"), cut.alias("clean_text"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the occurrences of every benchmark window in every document."""
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def items_digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

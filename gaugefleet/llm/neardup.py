@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import read, staged
+from ._tables import read, slices, staged
 
 BANDS, ROWS = 32, 4
 BITMAP_LONGS = 16
@@ -66,19 +66,22 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """Per row of ``docs``: doc_id, n, key of the whole set, band keys and bitmap."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         permutations = _permutations()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                h = shingles(text, width)
-                some = len(h) > 0
-                rows.append((None if pd.isna(doc) else int(doc), len(h), xxhash.xxh3_128_digest(h.tobytes()), band_keys(h, permutations) if some else None, bitmap(h) if some else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "bands", "bits"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            for part in slices(batch):
+                for text in part.to_pylist():
+                    h = shingles(text, width)
+                    some = len(h) > 0
+                    rows.append({"n": len(h), "key": xxhash.xxh3_128_digest(h.tobytes()), "bands": band_keys(h, permutations) if some else None, "bits": bitmap(h) if some else None})
+            yield pa.array(rows, _SET)
 
-    return docs.mapInPandas(run, "doc_id long, n long, key binary, bands array<long>, bits array<long>")
+    sets = F.arrow_udf(run, "n long, key binary, bands array<long>, bits array<long>").asNondeterministic()
+    return docs.select("doc_id", sets("text").alias("s")).select("doc_id", "s.*")
+
+
+_SET = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -89,20 +92,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (a, left, right) in enumerate(zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True)):
-                if a != last:
-                    last, mine = a, shingles(left, width)
-                other = shingles(right, width)
-                if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
-                    common = len(np.intersect1d(mine, other, assume_unique=True))
-                    keep[i] = 100 * common >= percent * (len(mine) + len(other) - common)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return staged(both.mapInPandas(run, "a long, b long").distinct())
+        for batch in batches:
+            for part in slices(batch, 64):
+                keep = []
+                for a, left, right in zip(part[0].to_pylist(), part[2], part[3], strict=True):
+                    if a != last:
+                        last, mine = a, shingles(left.as_py(), width)
+                    other = shingles(right.as_py(), width)
+                    near = 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other))
+                    if near:
+                        common = len(np.intersect1d(mine, other, assume_unique=True))
+                        near = 100 * common >= percent * (len(mine) + len(other) - common)
+                    keep.append(near)
+                yield pa.record_batch([part[0], part[1]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return staged(both.mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

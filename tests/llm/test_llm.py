@@ -425,13 +425,13 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline as P
 
     rng = np.random.default_rng(9)
-    clean = [(i, "\n".join(prose(rng, 40) + "." for _ in range(3))) for i in range(60)]
-    junk = [(500 + i, " ".join(x.upper() + "!!" for x in prose(rng, 90).split())) for i in range(12)]
-    item = " ".join(f"q{i}" for i in range(20))
-    rows = [*clean, *junk, (700, clean[0][1]), (701, prose(rng, 30) + " " + item + " " + prose(rng, 30))]
+    clean = [(i, "\n".join(prose(rng, 40) + "." for _ in range(3))) for i in range(400)]  # enough to estimate the class prior from
+    junk = [(500 + i, " ".join(x.upper() + "!!" for x in prose(rng, 90).split())) for i in range(80)]
+    item = prose(rng, 20)
+    rows = [*clean, *junk, (700, clean[0][1]), (701, "\n".join([prose(rng, 40) + ".", item + " " + prose(rng, 20) + ".", prose(rng, 40) + "."]))]
     table = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     table([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long", "documents")
-    table([(i, 1) for i, _ in clean] + [(i, 0) for i, _ in junk], "doc_id long, quality int", "labels")
+    table([(i, 1) for i, _ in clean if i % 2 == 0] + [(i, 0) for i, _ in junk], "doc_id long, quality int", "labels")
     table([(1, item)], "item_id long, text string", "benchmark")
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in P.STAGES[:-1]:
@@ -439,5 +439,5 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
         assert docs.columns == list(P.COLUMNS), name
     left = {r.doc_id: r for r in docs.collect()}
     assert set(left) == {i for i, _ in clean} | {701}
-    assert all(left[i].text == t for i, t in clean) and "q5" not in left[701].text and left[701].n_chars == len(left[701].text)
+    assert all(left[i].text == t for i, t in clean) and item not in left[701].text and left[701].n_chars == len(left[701].text)
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == set(left)
