@@ -30,10 +30,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, 80 %)."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    named = docs.where("doc_id is not null").join(staged(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """Keep one document of each group of near-duplicates (five-word shingles, 80 %).
+
+    Rows that are equal in id and text are one document; rows of one id with other texts all stay if
+    the id does. Of rows without id and with equal texts one stays, unless a named document has that text.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    text = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha")]
+    named = docs.where("doc_id is not null").join(staged(kept), "doc_id", "left_semi").select(*COLUMNS)
+    many = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    once = named.join(many, "doc_id", "left_anti")
+    again = named.join(many, "doc_id", "left_semi").select("*", *text).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    nameless = docs.where("doc_id is null").select(*COLUMNS, *text).dropDuplicates(["__sha"])
+    taken = docs.where("doc_id is not null").select(*text).distinct()
+    nameless = staged(nameless).join(taken, "__sha", "left_anti")
+    return once.union(again).union(nameless.select(*COLUMNS)).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
