@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is its sequence of lower-cased words. Equal lines form one class, represented by its
-earliest place. Lines of ``NEAR_WORDS`` words or more are also duplicates within an edit bound of
+A line is its sequence of lower-cased words. Equal lines (by two independent 64-bit hashes) form one
+class, represented by its earliest place. Lines of ``NEAR_WORDS`` words or more are also duplicates within an edit bound of
 one word (one word replaced, added or left out): each emits every variant with one word deleted as
 a hashed key, equal variants are joined, and the edit distance is verified on the words. Variant
 hashes are sums of word hash times place coefficient, so all n variants of a line come from running
@@ -32,7 +32,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.split(F.lower(F.btrim(F.col("line"), F.lit(_SPACE))), r"[\x20\x09-\x0D]+")
     lines = lines.select("doc_id", "line_no", words.alias("words")).withColumn("n", F.size("words")).where((F.col("n") >= LEAST_WORDS) & (F.col("words")[0] != ""))
-    return lines.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", F.xxhash64("words").alias("h"), "words")
+    return lines.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), "n", F.xxhash64("words").alias("h"), F.xxhash64(F.lit("again"), "n", "words").alias("g"), "words")
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -68,7 +68,7 @@ def _variants(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h of the classes that an earlier class comes within one word of."""
+    """First places of the classes that an earlier class comes within one word of."""
     keys = distinct.where("halves is not null").select("h", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     open_ = staged(keys.join(shared, "key", "left_semi").select("h").distinct())
@@ -83,7 +83,8 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     added = both.select("d.h", "d.place", F.col("w.place").alias("other")).union(both.select("w.h", "w.place", F.col("d.place").alias("other")))
     earlier = replaced.union(added).where("other < place").groupBy("h").agg(F.min("other").alias("other"))
     pairs = staged(earlier).join(texts.select("h", F.col("words").alias("x")), "h").join(texts.select(F.col("place").alias("other"), F.col("words").alias("y")), "other")
-    return staged(pairs.where(_within_one(F.col("x"), F.col("y"))).select("h"))
+    near = pairs.where(_within_one(F.col("x"), F.col("y"))).select("h")
+    return staged(texts.select("h", "place").join(near, "h").select("place"))
 
 
 def _within_one(x: Column, y: Column) -> Column:
@@ -102,24 +103,25 @@ def drop_duplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
 
     ``docs`` needs doc_id, text and the columns of ``keep``; other columns are ignored. Earlier means
     a smaller doc_id, then a smaller line number. Lines without a word stay; those below ``NEAR_WORDS`` words are dropped only for an equal line. Returns the columns of
-    ``keep``, text (the kept lines), n_lines and n_dropped. A null text stays null and has no lines;
+    ``keep``, text (the kept lines), n_lines and n_dropped; columns of ``keep`` with the last two names give way. A null text stays null and has no lines;
     rows without doc_id keep all lines and count for none; rows with one doc_id are one document, so
     repeated rows all keep their lines.
     """
     docs = docs.select(*dict.fromkeys((*keep, "doc_id", "text")))
     lines = _lines(docs)
-    seen = staged(lines.select("doc_id", "line_no", "place", "n", "h", _halves(F.col("words"), F.col("n")).alias("halves")))
-    distinct = staged(seen.groupBy("h").agg(F.min("place").alias("place"), F.any_value("halves", True).alias("halves")))
-    near = _near(docs, distinct)
-    marked = seen.select("doc_id", "line_no", "place", "h").join(distinct.select("h", F.col("place").alias("first")), "h").join(near.withColumn("near", F.lit(True)), "h", "left")
-    dropped = marked.where("near or place <> first").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
-    dropped = broadcast_if_small(staged(dropped), 2_000_000, "2 + size(dropped)")  # else texts are shuffled once
+    seen = staged(lines.select("doc_id", "line_no", "place", "h", "g", _halves(F.col("words"), F.col("n")).alias("halves")))
+    distinct = staged(seen.groupBy("h", "g").agg(F.min("place").alias("place"), F.any_value("halves", True).alias("halves")))
+    near = _near(docs, distinct).select(F.col("place").alias("first"), F.lit(True).alias("near"))
+    firsts = distinct.select("h", "g", F.col("place").alias("first")).join(near, "first", "left")
+    marked = seen.select("doc_id", "line_no", "place", "h", "g").join(firsts, ["h", "g"])
+    dropped = marked.where("near or place <> first").groupBy("doc_id").agg(F.collect_set("line_no").alias("__dropped"))
+    dropped = broadcast_if_small(staged(dropped), 2_000_000, "2 + size(__dropped)")  # else texts are shuffled once
     out = docs.join(dropped, "doc_id", "left").withColumn("__lines", F.split("text", "\n"))
-    kept = F.filter("__lines", lambda x, i: ~F.coalesce(F.array_contains("dropped", i), F.lit(False)))
+    kept = F.filter("__lines", lambda x, i: ~F.coalesce(F.array_contains("__dropped", i), F.lit(False)))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
-    columns = [c for c in keep if c != "text"]
-    return out.select(*columns, F.array_join(kept, "\n").alias("text"), n_lines.alias("n_lines"), F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(size("dropped")).cast("long").alias("n_dropped"))
+    columns = [c for c in keep if c not in ("text", "n_lines", "n_dropped")]
+    return out.select(*columns, F.array_join(kept, "\n").alias("text"), n_lines.alias("n_lines"), F.when(F.col("__dropped").isNull(), F.lit(0)).otherwise(size("__dropped")).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
