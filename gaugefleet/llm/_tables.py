@@ -22,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where the setting is missing
-    (tests on one machine) a temporary folder is set, and removed when the driver ends.
+    The cluster names that folder in ``spark.checkpoint.dir``; where the setting is missing on one
+    machine (tests) a temporary folder is set, and removed when the driver ends.
     """
     base = spark.conf.get(_SETTING, None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith(("local[", "local")) or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="gaugefleet-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(_SETTING, base)

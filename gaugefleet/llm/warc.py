@@ -39,12 +39,12 @@ def base32_sha1(hex_digest: Column) -> Column:
 
 
 def digests(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Small tables only: (page_id, n, sha1) of every page, and (page_id, refers_to, ...) of revisits."""
+    """Small tables only: (page_id, n, sha1) of every page, and (page_id, sha1, refers_to) of revisits."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     all_ = staged(pages.select("page_id", F.octet_length(payload).cast("long").alias("n"), F.sha1(payload).alias("sha1")))
     groups = all_.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last")
     revisits = all_.join(groups, "sha1").where((F.col("page_id") != F.col("first")) & (F.col("n") >= min_bytes))
-    return all_, staged(revisits.select("page_id", F.col("first").alias("refers_to")).distinct())
+    return all_, staged(revisits.select("page_id", F.unhex("sha1").alias("sha1"), F.col("first").alias("refers_to")).distinct())
 
 
 def _target(url: str) -> Column:
@@ -57,7 +57,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
 
     Among pages with equal payloads of at least ``min_bytes`` bytes that with the smallest page_id is
     a response, the others are revisits without payload. A null html is an empty payload, a null url
-    an empty target; rows without page_id are never revisits and are written with an empty id.
+    an empty target; rows without page_id are never revisits and are written with an empty id. Rows
+    of one page_id are records of their own; of those with equal payloads every one is what the first is.
     """
     _, revisits = digests(pages, min_bytes)
     payload = F.coalesce("html", F.lit(""))
@@ -74,8 +75,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.concat(F.lit("Content-Length: "), F.octet_length(body)),
     ]
     record = F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *lines), F.lit(END), body)
-    given = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
-    given = given.withColumn("digest", base32_sha1(F.sha1(payload.cast("binary"))))
+    given = pages.select("page_id", "url", "html").withColumn("sha1", F.unhex(F.sha1(payload.cast("binary")))).join(revisits, ["page_id", "sha1"], "left")
+    given = given.withColumn("digest", base32_sha1(F.hex("sha1")))
     given.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -114,14 +115,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
     schema = f"file string, split long, nth long, bytes long, need long, {_FACT_TYPES}"
     seen = staged(_segments(spark, path).mapInPandas(run, schema))
+    after = F.col("offset") + len(MAGIC) + F.col("need") + len(END)
+    return staged(_placed(seen).withColumn("successor", after))
+
+
+def _placed(seen: DataFrame) -> DataFrame:
+    """Adds the byte offset in its file to the segments of one staged scan; the stretch before the first magic starts before 0."""
     m = len(MAGIC)
     per_split = seen.groupBy("file", "split").agg(F.sum(F.col("bytes") + m).alias("size"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     base = per_split.select("file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seen.join(base, ["file", "split"]).withColumn("offset", F.col("base") + F.coalesce(F.sum(F.col("bytes") + m).over(inside), F.lit(0)) - m)
-    after = F.col("offset") + m + F.col("need") + len(END)
-    return staged(placed.withColumn("successor", after).drop("base"))  # the stretch before the first magic starts at -m
+    return seen.join(base, ["file", "split"]).withColumn("offset", F.col("base") + F.coalesce(F.sum(F.col("bytes") + m).over(inside), F.lit(0)) - m).drop("base")
 
 
 _FACTS = ["page_id", "n", "digest", "type", "refers_to", "intact"]
@@ -180,13 +185,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     _check_ends(found, chain)
     mine = found.join(chain, ["file", "offset"])
     plain = mine.where("type is not null").select(*_FACTS)
-    # Blocks with magic inside: their segments are read again and put together, record by record.
+    # Blocks with magic inside: the segments of their files are read again, once into a table, and put together record by record.
     broken = staged(mine.where("type is null").select("file", "offset", "successor"))
     if broken.isEmpty():
         return plain
-    parts = found.alias("f").join(broken.alias("b"), F.expr("f.file = b.file and f.offset >= b.offset and f.offset < b.successor"))
-    parts = staged(parts.select("f.file", F.col("b.offset").alias("record"), "f.nth", "f.offset"))
-    texts = _segments(spark, path).select("file", "nth", "value").join(parts, ["file", "nth"])
+    files = staged(broken.select("file").distinct())
+    again = staged(_segments(spark, path).join(files, "file", "left_semi"))
+    placed = _placed(again.select("file", "split", "nth", F.octet_length("value").alias("bytes")))
+    starts = broken.select("file", "offset", F.col("successor").alias("until"))
+    by_file = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.last(F.when(F.col("until").isNotNull(), F.struct(F.col("offset").alias("record"), "until")), True).over(by_file)
+    parts = placed.join(starts, ["file", "offset"], "left").withColumn("r", around).where(F.col("offset") < F.col("r.until"))
+    texts = again.select("file", "split", "nth", "value").join(staged(parts.select("file", "split", "nth", "offset", "r.record")), ["file", "split", "nth"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = MAGIC.encode().join(t.encode("utf-8", "surrogatepass") for t in pdf.sort_values("offset")["value"])
