@@ -441,3 +441,51 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert set(left) == {i for i, _ in clean} | {701}
     assert all(left[i].text == t for i, t in clean) and item not in left[701].text and left[701].n_chars == len(left[701].text)
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_archives_with_repeated_ids(spark, tmp_path):
+    rows = [(3, "u", "AAA"), (5, "u", "AAA"), (5, "u", "BBB"), (4, "u", "CCC"), (7, "u", "CCC"), (7, "u", "AAA"), (None, "u", "AAA")]
+    WA.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = Counter((r.page_id, r.digest, r.type, r.refers_to) for r in WA.read_archives(spark, str(tmp_path / "w")).collect())
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    a, b, c = map(digest, ("AAA", "BBB", "CCC"))
+    assert got == Counter([(3, a, "response", None), (5, a, "revisit", 3), (5, b, "response", None), (4, c, "response", None), (7, c, "revisit", 4), (7, a, "revisit", 3), (None, a, "response", None)])
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    WA.write_archives(none, str(tmp_path / "none"))
+    assert WA.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "text", "end"), [
+    ("email", "a@b" + ".c" * 100_000, 200_003), ("email", "a" * 100_000 + "@b.c", 100_004), ("ip", "1.2.3.4 " + "1." * 100_000, 7),
+    ("card", "4111 1111 1111 1111 x " + "1 " * 100_000, 19), ("phone", "+12345678 x +" + "1 " * 100_000, 9),
+])
+def test_long_runs_of_every_kind(spark, kind, text, end):
+    got = SA.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got[kind][0].start, got[kind][0].end) == (0, end)
+
+
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    rows = [(1, "nothing here at all but words of one text"), (1, "mail a@b.cd"), (1, "mail a@b.cd"), (2, None)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, term string, sig int")
+    assert sorted((r.doc_id, r.text) for r in SA.sanitised(df).collect()) == [(1, "mail [EMAIL]"), (1, "mail [EMAIL]"), (1, rows[0][1]), (2, "")]
+    assert SA.find_personal_data(df).count() == 4
+
+
+def test_terms_far_from_the_entity_disclose_it(spark):
+    filler = lambda i: " ".join(f"common{(i + k) % 7}" for k in range(40))
+    rows = [(i, f"Zorblax writes {filler(i)} note {i} joe@corp.example.com end") for i in range(4)] + [(100 + i, f"someone writes {filler(i)}") for i in range(80)]
+    got = unique(SA.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all([s.value for s in got[i].term if s.value == "Zorblax"] == ["Zorblax"] for i in range(4)) and not got[103].term
+
+
+def test_search_beats_best_fit():
+    """Best fit by falling length needs six bins here, the optimum is five; the crossover finds it."""
+    import random
+
+    rng = random.Random(1)
+    counts, capacity = {6: 4, 5: 4, 3: 8}, 14
+    lengths = sorted(counts, reverse=True)
+    greedy = PK.best_fit({}, counts, capacity, lengths)
+    best = PK.evolve(PK.first_chromosomes(counts, capacity, 6, rng), counts, capacity, 200, rng)[0]
+    bound = -(-sum(a * n for a, n in counts.items()) // capacity)
+    assert sum(greedy.values()) > bound and sum(best.values()) == bound
