@@ -32,7 +32,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_TEXT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 SAMPLE_EVERY = 16
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -193,13 +193,13 @@ def occurrences(codes: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.nda
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (none, none, none)
 
 
-def _shard(docs: list[list[bytes]], phrases: Phrases) -> list[dict]:
-    """Spans (merged, in words) and items of the documents of one shard."""
+def _shard(docs: list[np.ndarray], phrases: Phrases) -> list[dict]:
+    """Spans (merged, in words) and items of the documents of one shard, given by the codes of their words."""
     size = np.array([len(x) for x in docs], np.int64)
     start = np.concatenate([[0], np.cumsum(size + 1)])  # a gap after each document
     whole = np.zeros(start[-1], np.int64)
-    for s, words in zip(start, docs, strict=False):
-        whole[s : s + len(words)] = np.fromiter(map(phrases.codes.get, words, repeat(0)), np.int32, len(words))
+    for s, codes in zip(start, docs, strict=False):
+        whole[s : s + len(codes)] = codes
     phrase, place, length = occurrences(whole, phrases)
     mark = np.zeros(start[-1] + 1, np.int64)
     np.add.at(mark, place, 1)
@@ -212,10 +212,10 @@ def _shard(docs: list[list[bytes]], phrases: Phrases) -> list[dict]:
     pairs = np.unique(np.stack([np.repeat(doc, n), phrases.owners[at]], axis=1), axis=0)
     cut, spans_cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1)), np.searchsorted(begins, start)
     rows = []
-    for i, words in enumerate(docs):
+    for i, codes in enumerate(docs):
         of = slice(spans_cut[i], spans_cut[i + 1])
         spans = np.stack([begins[of], ends[of]], axis=1) - start[i]
-        rows.append({"n_words": len(words), "spans": spans.tolist(), "items": pairs[cut[i] : cut[i + 1], 1].tolist()})
+        rows.append({"n_words": len(codes), "spans": spans.tolist(), "items": pairs[cut[i] : cut[i + 1], 1].tolist()})
     return rows
 
 
@@ -242,7 +242,8 @@ def _search(phrases: Broadcast, shard_words: int) -> Callable:
             rows, shard, held = [], [], 0
             for part in slices(batch):
                 for text in part.to_pylist():
-                    shard.append(words_of(text))
+                    words = words_of(text)
+                    shard.append(np.fromiter(map(phrases.value.codes.get, words, repeat(0)), np.int32, len(words)))
                     held += len(shard[-1]) + 1
                     if held >= shard_words:
                         rows += _shard(shard, phrases.value)

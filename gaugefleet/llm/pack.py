@@ -51,8 +51,8 @@ _BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PIECE_CHARS = 64
-_MEMO_ENTRIES = 200_000
-_MET = 1 << 22
+_MEMO_ENTRIES = 120_000
+_MET = 1 << 21
 _PART_ROWS, _PART_CHARS = 256, 1_000_000
 _loaded: dict[str, Callable] = {}
 
