@@ -38,3 +38,25 @@ def first_dims(shapes: Column) -> tuple[Column, Column]:
 def codes(*checks: tuple[str, Column]) -> Column:
     """The names of the checks that hold, in the order given."""
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks]), lambda x: x.isNotNull())
+
+
+def flags(checks: dict[str, Column]) -> Column:
+    """A map of each check to 'true' or 'false'; unknown is false."""
+    return F.create_map(*[x for name, c in checks.items() for x in (F.lit(name), F.when(c, "true").otherwise("false"))])
+
+
+def numbers(values: dict[str, Column]) -> Column:
+    """A map of names to doubles, without the nulls."""
+    return F.map_filter(F.create_map(*[x for name, c in values.items() for x in (F.lit(name), c.cast("double"))]), lambda k, v: v.isNotNull())
+
+
+def environment(given: Column | None = None) -> dict[str, Column]:
+    """Signals of a run's environment, a map of text; without one all are false."""
+    known = F.create_map().cast("map<string,string>") if given is None else F.coalesce(given, F.create_map().cast("map<string,string>"))
+    true = lambda k: F.lower(known[k]).isin("true", "1")
+    return {"framework_pytorch": F.lower(known["framework"]) == "pytorch", "mixed_precision_enabled": true("mixed_precision"), "is_distributed": true("distributed")}
+
+
+def true_flags(signals: Column) -> Column:
+    """The names of the flags that are true, by name."""
+    return F.array_sort(F.map_keys(F.map_filter(signals, lambda k, v: v == "true")))

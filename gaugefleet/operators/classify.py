@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugefleet.functions import codes, half_up
+from gaugefleet.functions import environment, flags, half_up, numbers
 
 # Cuts of the classifier.
 CUTS = {"input": 0.2, "copy": 0.15, "sync": 0.1, "util": 35.0, "memory": 0.9, "shape": 0.3, "launch_util": 50.0, "launch_stall": 0.1, "tax_high": 45.0, "tax_moderate": 20.0}
@@ -95,16 +95,26 @@ def framework_tax(runs: DataFrame, cuts: dict[str, float] = CUTS) -> DataFrame:
 
 
 def extract_signals(runs: DataFrame, cuts: dict[str, float] = CUTS) -> DataFrame:
-    """The boolean signals that rules are written against, as an array of names, with the numbers beside."""
+    """What rules are written against: ``signals`` (name to value as text) and ``numbers`` (name to double) of every run.
+
+    An ``environment`` column (map of text) is read if it is there.
+    """
     over = {s: F.when(F.col(f"{s}_bound_ratio") >= cuts[s], half_up(F.col(f"{s}_bound_ratio"), 4)).otherwise(0.0) for s in ("input", "copy", "sync")}
-    util, memory, shape = F.col("average_gpu_utilization_pct"), F.col("memory_pressure_peak_ratio"), F.col("shape_volatility_ratio")
-    names = codes(
-        ("low_gpu_activity", util < 50.0), ("very_low_gpu_activity", util < 35.0), ("unstable_gpu_util", F.col("utilization_instability_pct") > 20.0),
-        ("input_pipeline_stalled", over["input"] >= 0.20), ("input_pipeline_severe", over["input"] >= 0.40),
-        ("h2d_copy_low", over["copy"] < 0.05), ("h2d_copy_stalled", over["copy"] >= 0.15), ("h2d_copy_severe", over["copy"] >= 0.30),
-        ("sync_heavy", over["sync"] >= 0.10), ("sync_severe", over["sync"] >= 0.25),
-        ("memory_near_capacity", memory >= 0.90), ("memory_pressure_moderate", (memory >= 0.75) & (memory < 0.90)),
-        ("shapes_unstable", shape >= 0.30), ("shapes_highly_unstable", shape >= 0.60),
-        ("has_profiler_data", F.col("profiler_windows_exported") > 0), ("step_time_variable", F.col("step_time_cv") > 0.15),
-    )
-    return runs.select("run_id", "scope", names.alias("signals"), over["input"].alias("input_frac"), over["copy"].alias("h2d_frac"), over["sync"].alias("sync_frac"), "step_time_cv")
+    util, memory, shape, windows = F.col("average_gpu_utilization_pct"), F.col("memory_pressure_peak_ratio"), F.col("shape_volatility_ratio"), F.col("profiler_windows_exported")
+    env = F.col("environment") if "environment" in runs.columns else None
+    signals = flags({
+        "low_gpu_activity": util < 50.0, "very_low_gpu_activity": util < 35.0, "unstable_gpu_util": F.col("utilization_instability_pct") > 20.0,
+        "input_pipeline_stalled": over["input"] >= 0.20, "input_pipeline_severe": over["input"] >= 0.40,
+        "h2d_copy_low": over["copy"] < 0.05, "h2d_copy_stalled": over["copy"] >= 0.15, "h2d_copy_severe": over["copy"] >= 0.30,
+        "sync_heavy": over["sync"] >= 0.10, "sync_severe": over["sync"] >= 0.25,
+        "memory_near_capacity": memory >= 0.90, "memory_pressure_moderate": (memory >= 0.75) & (memory < 0.90),
+        "shapes_unstable": shape >= 0.30, "shapes_highly_unstable": shape >= 0.60,
+        "has_profiler_data": windows > 0, "step_time_variable": F.col("step_time_cv") > 0.15, **environment(env),
+    })
+    gpus = F.lit(1) if env is None else F.coalesce(env["num_gpus"].try_cast("int"), F.lit(1))
+    kind = F.lit("unknown") if env is None else F.coalesce(env["gpu_type"], env["gpu_model"], F.lit("unknown"))
+    values = numbers({
+        "gpu_util_pct": util, "input_frac": over["input"], "h2d_frac": over["copy"], "sync_frac": over["sync"], "memory_peak_ratio": memory,
+        "shape_volatility": shape, "profiler_windows": windows, "step_time_cv": half_up(F.col("step_time_cv"), 4), "num_gpus": gpus,
+    })
+    return runs.select("run_id", "scope", F.map_concat(signals, F.create_map(F.lit("gpu_type"), kind)).alias("signals"), values.alias("numbers"), over["input"].alias("input_frac"), over["copy"].alias("h2d_frac"), over["sync"].alias("sync_frac"), "step_time_cv")

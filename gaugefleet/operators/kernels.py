@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugefleet.functions import half_up
+from gaugefleet.functions import environment, flags, half_up, numbers
 
 # Profiler metric names (normalised) and the names used here.
 ALIASES = {
@@ -193,12 +193,16 @@ def kernel_run_summary(kernels: DataFrame) -> DataFrame:
         F.coalesce(half_up(F.sum(F.when(has, within(COMPUTE_STALLS))) / (100.0 * F.nullif(F.count(F.when(has, 1)), F.lit(0))), 4), F.lit(0.0)).alias("compute_stall_fraction"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("limiters")))).alias("limit_causes"),
     )
-    stall = kernels.select("run_id", F.explode("stalls").alias("stall", "v")).groupBy("run_id", "stall").agg(F.sum("v").alias("s"))
-    stall = stall.join(base.select("run_id", "kernels_with_stalls"), "run_id").withColumn("mean", half_up(F.col("s") / F.col("kernels_with_stalls"), 2))
-    order = Window.partitionBy("run_id").orderBy(F.desc("mean"), "stall")
-    sync = F.sum(F.when(F.col("stall").isin(*SYNC_STALLS), F.col("mean"))).over(Window.partitionBy("run_id"))
-    top = stall.withColumns({"n": F.row_number().over(order), "sync_stall_pct": F.coalesce(sync, F.lit(0.0))}).where("n = 1").select("run_id", F.col("stall").alias("dominant_warp_stall"), F.col("mean").alias("dominant_warp_stall_pct"), "sync_stall_pct")
-    return base.join(top, "run_id", "left").na.fill({"dominant_warp_stall": "unknown", "dominant_warp_stall_pct": 0.0, "sync_stall_pct": 0.0})
+    sums = kernels.select("run_id", F.explode("stalls").alias("stall", "v")).groupBy("run_id", "stall").agg(F.sum("v").alias("s"))
+    sums = sums.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stall", "s")))).alias("sums"))  # as many as there are stall reasons
+    none = F.create_map().cast("map<string,double>")
+    means = F.coalesce(F.transform_values("sums", lambda k, v: half_up(v / F.col("kernels_with_stalls"), 2)), none)
+    out = base.join(sums, "run_id", "left").withColumn("stall_means", means).drop("sums")
+    ranked = F.array_sort(F.transform(F.map_entries("stall_means"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    sync = F.aggregate(F.map_values(F.map_filter("stall_means", lambda k, v: k.isin(*SYNC_STALLS))), F.lit(0.0), lambda a, b: a + b)
+    return out.withColumns({
+        "dominant_warp_stall": F.coalesce(F.get(ranked, F.lit(0))["k"], F.lit("unknown")), "dominant_warp_stall_pct": F.coalesce(-F.get(ranked, F.lit(0))["v"], F.lit(0.0)), "sync_stall_pct": sync,
+    })
 
 
 def classify_kernels_run(s: DataFrame) -> DataFrame:
@@ -210,7 +214,7 @@ def classify_kernels_run(s: DataFrame) -> DataFrame:
     lack = lambda x, cut: F.coalesce(1.0 - F.when(x == 0, F.lit(cut)).otherwise(x) / cut, F.lit(0.0))
     eligible, active = c("avg_eligible_warps_per_scheduler"), c("avg_scheduler_active_pct")
     rules = [
-        ("insufficient_kernel_data", ~data, F.lit(1.0)),
+        ("insufficient_ncu_data", ~data, F.lit(1.0)),
         ("memory_bandwidth_bound", data & (c("avg_dram_throughput_pct") > 70.0) & (c("memory_stall_fraction") > 0.5), unit(c("avg_dram_throughput_pct") / 100.0)),
         ("warp_stall_memory", data & top.isin(*MEMORY_STALLS) & (top_pct > 20.0), unit(top_pct / 100.0)),
         ("warp_stall_sync", data & top.isin(*SYNC_STALLS) & (top_pct > 20.0), unit(F.greatest(c("sync_stall_pct"), top_pct) / 100.0)),
@@ -267,3 +271,31 @@ def tensor_rollup(kernels: DataFrame) -> DataFrame:
 def kernel_launch_rollup(kernels: DataFrame) -> DataFrame:
     """Per run: kernels, kernels with launch data, and mean estimated occupancy."""
     return kernels.groupBy("run_id").agg(F.count("*").alias("kernels"), F.count("threads_per_block").alias("kernels_with_launch"), half_up(F.avg("estimated_occupancy_pct"), 2).alias("avg_estimated_occupancy_pct"))
+
+
+def extract_kernel_signals(summary: DataFrame) -> DataFrame:
+    """``signals`` and ``numbers`` of every profiled run: a run summary with roofline columns over its means."""
+    c = F.col
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    dram, issue, occ, tensor = zero("avg_dram_throughput_pct"), zero("avg_issue_slot_utilization_pct"), zero("avg_occupancy_pct"), c("avg_tensor_core_utilization_pct")
+    by = lambda *causes: F.arrays_overlap("limit_causes", F.array(*map(F.lit, causes)))
+    stall = c("dominant_warp_stall")
+    signals = flags({
+        "memory_bandwidth_saturated": dram > 70.0, "memory_bandwidth_high": dram > 50.0, "tensor_core_underutilized": tensor < 30.0, "tensor_core_inactive": tensor < 10.0,
+        "l1_cache_miss_heavy": c("avg_l1_cache_hit_rate_pct") < 40.0, "l2_cache_miss_heavy": c("avg_l2_cache_hit_rate_pct") < 50.0, "uncoalesced_global_loads": c("avg_global_load_sectors_per_request") > 4.0,
+        "issue_efficiency_low": issue < 60.0, "issue_efficiency_very_low": issue < 40.0, "eligible_warps_low": c("avg_eligible_warps_per_scheduler") < 1.0, "scheduler_active_low": c("avg_scheduler_active_pct") < 40.0,
+        "occupancy_good": occ > 60.0, "occupancy_low": occ < 30.0, "occupancy_limited_by_registers": by("registers"), "occupancy_limited_by_shared_memory": by("shared_memory"),
+        "occupancy_limited_by_block_size": by("threads", "blocks", "unknown_threads_per_block"),
+        "warp_stall_is_memory": stall.isin(*MEMORY_STALLS), "warp_stall_is_sync": stall.isin(*SYNC_STALLS), "warp_stall_is_compute": stall.isin(*COMPUTE_STALLS[:2]),
+        "mfu_low": c("mfu_pct") < 40.0, "roofline_estimated": F.lit(False), **environment(c("environment") if "environment" in summary.columns else None),
+    })
+    mean = lambda k: F.coalesce(half_up(c("stall_means")[k], 2), F.lit(0.0))
+    values = numbers({
+        "dram_throughput_pct": dram, "tensor_core_utilization_pct": zero("avg_tensor_core_utilization_pct"), "l1_cache_hit_rate_pct": c("avg_l1_cache_hit_rate_pct"), "l2_cache_hit_rate_pct": c("avg_l2_cache_hit_rate_pct"),
+        "avg_global_load_sectors_per_request": c("avg_global_load_sectors_per_request"), "issue_slot_utilization_pct": issue, "avg_eligible_warps_per_scheduler": zero("avg_eligible_warps_per_scheduler"),
+        "avg_scheduler_active_pct": zero("avg_scheduler_active_pct"), "avg_occupancy_pct": occ, "memory_stall_fraction": zero("memory_stall_fraction"), "avg_barrier_stall_pct": mean("barrier"),
+        "avg_math_throttle_stall_pct": mean("math_pipe_throttle"), "avg_registers_per_thread": half_up(c("avg_registers_per_thread"), 1), "mfu_pct": c("mfu_pct"), "arithmetic_intensity": c("arithmetic_intensity"),
+        "achieved_tflops": c("achieved_tflops"), "peak_bw_gbps": c("peak_bw"), "roofline_ceiling_tflops": c("roofline_ceiling_tflops"),
+    })
+    text = F.map_filter(F.create_map(F.lit("dominant_warp_stall"), stall, F.lit("roofline_region"), c("roofline_region")), lambda k, v: v.isNotNull())
+    return summary.select("run_id", F.map_concat(signals, text).alias("signals"), values.alias("numbers"))

@@ -51,6 +51,14 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return K.kernel_run_summary(_kernels(spark, d))
 
 
+def profiled_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Run summaries with the device's profile and the roofline over the run's means."""
+    runs = _devices(_summary(spark, d))
+    models = K.gpu_alias_match(runs.select("device").distinct())
+    profiled = K.arch_profile_join(runs.join(F.broadcast(models), "device", "left"))
+    return K.roofline(profiled, "avg_dram_throughput_pct", "avg_tensor_core_utilization_pct", "avg_issue_slot_utilization_pct")
+
+
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair = F.floor(F.col("run_id") / 2).cast("long")
     return df.where("run_id % 2 = 0").withColumn("pair_id", pair), df.where("run_id % 2 = 1").withColumn("pair_id", pair)
@@ -115,7 +123,7 @@ def q_occupancy_rollup(spark, d):
 
 
 def q_kernel_run_summary(spark, d):
-    return _rounded(_summary(spark, d).withColumn("limit_causes", F.array_join("limit_causes", ",")))
+    return _rounded(_summary(spark, d).drop("stall_means").withColumn("limit_causes", F.array_join("limit_causes", ",")))
 
 
 def q_classify_kernels_run(spark, d):
@@ -177,7 +185,7 @@ _unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
 _ev = "avg_eligible_warps_per_scheduler"
 _act = "avg_scheduler_active_pct"
 _RULES = [
-    ("insufficient_kernel_data", "NOT data", "1.0"),
+    ("insufficient_ncu_data", "NOT data", "1.0"),
     ("memory_bandwidth_bound", "data AND avg_dram_throughput_pct > 70 AND memory_stall_fraction > 0.5", _unit("avg_dram_throughput_pct / 100.0")),
     ("warp_stall_memory", "data AND dominant_warp_stall = 'long_scoreboard' AND dominant_warp_stall_pct > 20", _unit("dominant_warp_stall_pct / 100.0")),
     ("warp_stall_sync", "data AND dominant_warp_stall = 'barrier' AND dominant_warp_stall_pct > 20", _unit("greatest(sync_stall_pct, dominant_warp_stall_pct) / 100.0")),

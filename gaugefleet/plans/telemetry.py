@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugefleet.functions import half_up
+from gaugefleet.functions import half_up, true_flags
 from gaugefleet.operators import classify as C
 from gaugefleet.operators import steps as S
 from gaugefleet.plans.views import SQL, gpu_samples, telemetry_events
@@ -82,7 +82,7 @@ def q_framework_tax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_extract_signals(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(C.extract_signals(_runs(spark, d)).withColumn("signals", F.array_join("signals", ",")).drop("scope"))
+    return _rounded(C.extract_signals(_runs(spark, d)).withColumn("signals", F.array_join(true_flags(F.col("signals")), ",")).drop("scope", "numbers"))
 
 
 def q_union_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +176,7 @@ ORACLES = {
         UNION ALL SELECT run_id, 2, floor(100.0 * (s * 0.5) + 0.5), 'unfused_elementwise' FROM u WHERE score >= 20 AND i >= 0.05 AND s >= 0.4 UNION ALL SELECT run_id, 3, floor(100.0 * v + 0.5), 'dynamic_shapes' FROM u WHERE score >= 20 AND i >= 0.05 AND v >= 0.3)
       SELECT u.run_id, {_r("i")} AS overhead_idle_fraction, {_r("pipe")} AS pipeline_idle_fraction, score, CASE WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'moderate' ELSE 'low' END AS severity, coalesce(c, '') AS contributors
       FROM u LEFT JOIN (SELECT run_id, string_agg(name, ',' ORDER BY o DESC, n) AS c FROM w GROUP BY run_id) x ON x.run_id = u.run_id""",
-    "extract_signals": f"""{_STEPS}, o AS (SELECT *, {_over["i"]} AS i, {_over["c"]} AS c, {_over["s"]} AS s FROM runs WHERE scope = 'run') SELECT run_id, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SIGNALS)}) AS signals, {_r("i")} AS input_frac, {_r("c")} AS h2d_frac, {_r("s")} AS sync_frac, {_r("cv")} AS step_time_cv FROM o""",
+    "extract_signals": f"""{_STEPS}, o AS (SELECT *, {_over["i"]} AS i, {_over["c"]} AS c, {_over["s"]} AS s FROM runs WHERE scope = 'run') SELECT run_id, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in sorted(_SIGNALS))}) AS signals, {_r("i")} AS input_frac, {_r("c")} AS h2d_frac, {_r("s")} AS sync_frac, {_r("cv")} AS step_time_cv FROM o""",
     "union_sources": f"""WITH {SQL["ev"]}, {SQL["gs"]}, t AS (SELECT run_id, CASE WHEN k = 1 THEN 'dataloader_span' WHEN k = 2 THEN 'memcpy_span' WHEN k = 6 THEN 'sync_wait' WHEN k = 7 THEN CASE WHEN win THEN 'profiler_window' ELSE 'shape_snapshot' END ELSE 'phase_span' END AS event_type, NULL::DOUBLE AS u FROM ev
       UNION ALL SELECT o_custkey % 50, unnest(['step_start', 'step_end']), NULL FROM orders UNION ALL SELECT run_id, 'gpu_sample', util FROM gs) SELECT run_id, event_type, count(*) AS n, count(u) AS n_util FROM t GROUP BY ALL""",
 }
