@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gaugefleet.plans import advice, checks, experiments, live, profiling, telemetry, texts
+from gaugefleet.plans import advice, checks, experiments, live, profiling, telemetry, texts, versions
 
-_MODULES = (telemetry, profiling, experiments, advice, live, checks, texts)
+_MODULES = (telemetry, profiling, experiments, advice, live, checks, texts, versions)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
