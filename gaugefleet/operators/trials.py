@@ -90,3 +90,12 @@ def stratified_quota(rows: DataFrame, correct: int, incorrect: int) -> DataFrame
 def sample_deterministic(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """A sample of ``n`` rows that depends on row_key and seed alone."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.col("row_key").cast("string"), F.lit(seed)).cast("binary")), "row_key").limit(n)
+
+
+def quality_aggregate(repeats: DataFrame, keys: tuple[str, ...] = ("config_id",)) -> DataFrame:
+    """Adds up the quality maps of repeats by metric: counts as sums, extremes as extremes, the rest as medians. Returns keys, metric, value."""
+    long = repeats.select(*keys, F.explode("quality").alias("metric", "value")).where("value is not null")
+    m, v = F.col("metric"), F.col("value")
+    sums, tops, lows = ("nan_count", "inf_count", "loss_count"), ("max_loss", "max_output_abs_diff", "max_output_rel_diff"), ("min_loss",)
+    value = F.when(m.isin(*sums), F.sum(v)).when(m.isin(*tops), F.max(v)).when(m.isin(*lows), F.min(v)).otherwise(F.percentile(v, 0.5))
+    return long.groupBy(*keys, "metric").agg(value.alias("value"))
