@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 _SETTING = "spark.checkpoint.dir"
 
 
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries. Its texts are long, so Arrow batches of the session hold ``_BATCH_ROWS`` rows, unless it asks for fewer."""
+    rows = int(spark.conf.get(_BATCH))
+    if rows <= 0 or rows > _BATCH_ROWS:
+        spark.conf.set(_BATCH, _BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get(_SETTING, None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith(("local[", "local")) or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="gaugefleet-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
