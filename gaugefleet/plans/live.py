@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,20 +16,63 @@ from gaugefleet.plans.views import SQL, table
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; a temporary one where the session names none."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gaugefleet-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new path in the shared folder; on one machine without one a temporary folder, removed when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="gaugefleet-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of parts (a pattern names either)."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     k = F.get_json_object("props", "$.k").try_cast("double")
     run = F.col("user_id") % 50
-    return events.select(run.alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), (k * (1 + run % 4) / 4).alias("utilization_gpu_pct"), (k * 0.7 + (run % 5) * 6).alias("memory_used_bytes"), F.lit(100.0).alias("memory_total_bytes"), k.alias("temperature_c"))
+    return _stream(spark, d).select(run.alias("run_id"), "ts", (k * (1 + run % 4) / 4).alias("utilization_gpu_pct"), (k * 0.7 + (run % 5) * 6).alias("memory_used_bytes"), F.lit(100.0).alias("memory_total_bytes"), k.alias("temperature_c"))
+
+
+_TYPE = "CASE event_type WHEN 'click' THEN 'dataloader_span' WHEN 'view' THEN 'memcpy_span' WHEN 'purchase' THEN 'sync_wait' ELSE 'step_end' END"
+
+
+def _trace(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).selectExpr(
+        "user_id % 50 AS run_id", "string(event_id) AS event_id", "ts", f"{_TYPE} AS event_type", "event_id DIV 10 AS step_id", "CASE WHEN event_id % 7 > 0 THEN string(event_id DIV 2) END AS span_id", "CASE WHEN event_id % 2 = 1 THEN bigint(value * 1000) ELSE 0 END AS duration_ns",
+        "map('stage', 'next', 'copy_kind', CASE WHEN event_id % 3 = 0 THEN 'd2h' ELSE 'h2d' END) AS payload",
+    )
+
+
+def _time(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+
+def q_stream_ingest(spark, d):
+    twice = _trace(spark, d).withColumn("__n", F.explode(F.array(F.lit(0), F.lit(1)))).drop("__n")
+    kept = SM.run_to_table(SM.stream_ingest(twice, "30 days").select("event_type", "run_id"), _folder(spark))
+    return kept.groupBy("event_type", "run_id").agg(F.count("*").alias("n"))
+
+
+def q_stream_step_metrics(spark, d):
+    return _time(SM.run_to_table(SM.stream_step_metrics(_trace(spark, d), "1 day", "6 hours"), _folder(spark)), "start")
 
 
 def q_stream_gpu_windows(spark, d):
-    windows = SM.stream_gpu_windows(_samples(spark, d), "6 hours", delay="1 day")
-    return _rounded(SM.run_to_table(windows, _folder(spark), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+    return _rounded(_time(SM.run_to_table(SM.stream_gpu_windows(_samples(spark, d), "6 hours", delay="1 day"), _folder(spark)), "start"))
+
+
+def q_stream_run_sessions(spark, d):
+    return _time(SM.run_to_table(SM.stream_run_sessions(_trace(spark, d), "2 hours", "1 day"), _folder(spark)), "start", "end")
+
+
+def q_stream_span_pairing(spark, d):
+    pairs = SM.run_to_table(SM.stream_span_pairing(_trace(spark, d), "1 day", "12 hours"), _folder(spark))
+    return pairs.select("run_id", "span_id", "duration_ns", "markers", "closed")
 
 
 def q_stream_health_alerts(spark, d):
@@ -36,8 +81,18 @@ def q_stream_health_alerts(spark, d):
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
+# The streams that close spans of event time hold back what the watermark, a day behind the last event, has not passed.
+_EV = f"""WITH e AS (SELECT user_id % 50 AS run_id, ts, {_TYPE} AS typ, event_id // 10 AS step_id, CASE WHEN event_id % 7 > 0 THEN (event_id // 2)::VARCHAR END AS span_id, CASE WHEN event_id % 2 = 1 THEN CAST(trunc(value * 1000) AS BIGINT) ELSE 0 END AS d, event_id % 3 = 0 AS d2h, (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS mark FROM events)"""
+_bucket = lambda hours: f"time_bucket(INTERVAL {hours} HOURS, ts, TIMESTAMP '1970-01-01')"
+_text = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 ORACLES = {
+    "stream_ingest": f"SELECT {_TYPE} AS event_type, user_id % 50 AS run_id, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
+    "stream_step_metrics": f"""{_EV} SELECT run_id, step_id, CAST(sum(CASE WHEN typ = 'dataloader_span' THEN d ELSE 0 END) AS BIGINT) AS dataloader_wait_time_ns, CAST(sum(CASE WHEN typ = 'memcpy_span' AND NOT d2h THEN d ELSE 0 END) AS BIGINT) AS h2d_copy_time_ns, CAST(sum(CASE WHEN typ = 'sync_wait' THEN d ELSE 0 END) AS BIGINT) AS sync_wait_time_ns,
+      coalesce(max(CASE WHEN typ = 'step_end' THEN d END), 0) AS step_wall_time_ns, {_text("b")} AS start FROM (SELECT *, {_bucket(6)} AS b FROM e) WHERE b + INTERVAL 6 HOURS <= mark GROUP BY run_id, step_id, b""",
+    "stream_run_sessions": f"""{_EV}, s AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM e), g AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+      SELECT run_id, {_text("min(ts)")} AS start, {_text("max(ts) + INTERVAL 2 HOURS")} AS "end", count(*) AS events FROM g GROUP BY run_id, k HAVING max(ts) + INTERVAL 2 HOURS <= any_value(mark)""",
+    "stream_span_pairing": f"{_EV} SELECT run_id, span_id, max(d) AS duration_ns, count(*) AS markers, max(d) > 0 AS closed FROM (SELECT *, {_bucket(12)} AS b FROM e WHERE span_id IS NOT NULL) WHERE b + INTERVAL 12 HOURS <= mark GROUP BY run_id, span_id, b",
     "stream_gpu_windows": f"""WITH s AS (SELECT user_id % 50 AS run_id, ts, k * (1 + user_id % 50 % 4) / 4 AS util, (k * 0.7 + (user_id % 50 % 5) * 6) / 100.0 AS m FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))
-      SELECT run_id, strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, {_r('avg(util)')} AS avg_util, {_r('max(util) - min(util)')} AS spread, {_r('max(m)')} AS memory_ratio FROM s GROUP BY ALL""",
+      SELECT run_id, strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, {_r('avg(util)')} AS avg_util, {_r('max(util) - min(util)')} AS spread, {_r('max(m)')} AS memory_ratio FROM s WHERE time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
     "stream_health_alerts": f"""WITH {SQL["gs"]} SELECT run_id, label, count(*) AS n FROM (SELECT run_id, 'memory_pressure' AS label FROM gs WHERE used / 100.0 >= 0.9 UNION ALL SELECT run_id, 'thermal_pressure' FROM gs WHERE mem >= 85) GROUP BY ALL""",
 }

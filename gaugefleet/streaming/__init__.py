@@ -15,14 +15,19 @@ def stream_ingest(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.where("event_type is not null and event_id is not null").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_step_metrics(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Sums and maxima of each step while it runs (update mode)."""
+def stream_step_metrics(events: DataFrame, delay: str = "10 minutes", span: str = "1 hour") -> DataFrame:
+    """Sums and maxima of each step in each span of event time, with the span's start (append mode).
+
+    The span bounds the state: a step's row leaves it when the watermark has passed the span. A step
+    across two spans has a row in each; sums add up and maxima combine downstream.
+    """
     kind, p, d = F.col("event_type"), F.col("payload"), F.col("duration_ns")
     total = lambda when: F.coalesce(F.sum(F.when(when, d)), F.lit(0)).alias
-    return events.withWatermark("ts", delay).where("step_id is not null").groupBy("run_id", "step_id").agg(
+    grouped = events.withWatermark("ts", delay).where("step_id is not null").groupBy("run_id", "step_id", F.window("ts", span)).agg(
         total((kind == "dataloader_span") & (p["stage"] == "next"))("dataloader_wait_time_ns"), total((kind == "memcpy_span") & (p["copy_kind"] == "h2d"))("h2d_copy_time_ns"), total(kind == "sync_wait")("sync_wait_time_ns"),
         F.coalesce(F.max(F.when(kind == "step_end", d)), F.lit(0)).alias("step_wall_time_ns"),
     )
+    return grouped.withColumn("start", F.col("window.start")).drop("window")
 
 
 def stream_gpu_windows(samples: DataFrame, width: str = "10 seconds", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -40,10 +45,15 @@ def stream_run_sessions(events: DataFrame, gap: str = "30 minutes", delay: str =
     return s.select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def stream_span_pairing(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """A begin marker has no duration, the end marker has it: the closed span is their maximum."""
+def stream_span_pairing(events: DataFrame, delay: str = "10 minutes", span: str = "1 hour") -> DataFrame:
+    """A begin marker has no duration, the end marker has it: the closed span is their maximum (append mode).
+
+    Markers of a span are paired within a span of event time. When the watermark has passed it, what was
+    never closed comes out too, with ``closed`` false, and leaves the state.
+    """
     e = events.where("span_id is not null").withWatermark("ts", delay)
-    return e.groupBy("run_id", "span_id").agg(F.max("duration_ns").alias("duration_ns"), F.count("*").alias("markers"))
+    out = e.groupBy("run_id", "span_id", F.window("ts", span)).agg(F.max("duration_ns").alias("duration_ns"), F.count("*").alias("markers"))
+    return out.select("run_id", "span_id", "duration_ns", "markers", (F.coalesce("duration_ns", F.lit(0)) > 0).alias("closed"))
 
 
 def stream_health_alerts(samples: DataFrame) -> DataFrame:
@@ -58,19 +68,16 @@ def numbers(events: DataFrame, *fields: str) -> DataFrame:
     return events.select("run_id", "ts", *[number(F.col("payload")[f]).alias(f) for f in fields])
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over what is there now and return the result table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over what is there now into Parquet under ``path``; complete mode rewrites it."""
+    """Run a streaming frame over what is there now into Parquet under ``path``.
+
+    Each batch has a folder of its own, which a repeated batch rewrites, so a restart doubles no row;
+    in complete mode the last batch is the result.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out").select(*df.columns)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from gaugefleet import sources as SO
 from gaugefleet import streaming as SM
+from gaugefleet.operators import steps as ST
 
 
 def test_trace_lines_tolerate_noise(spark, tmp_path):
     good = {"event_id": "a", "run_id": "r", "event_type": "step_end", "timestamp_ns": 5, "step_id": 1, "payload": {"status": "ok", "loss": 1.5, "flag": True}}
     (tmp_path / "t.jsonl").write_text(json.dumps(good) + "\n\n{broken\n")
     (row,) = SO.read_trace_jsonl(spark, str(tmp_path / "t.jsonl")).collect()
-    assert (row.event_id, row.payload["status"], row.payload["loss"], row.seq) == ("a", "ok", "1.5", 5)
+    assert (row.event_id, row.payload["status"], row.payload["loss"], tuple(row.seq)) == ("a", "ok", "1.5", (5, "a"))
 
 
 def test_gpu_csv(spark, tmp_path):
@@ -34,11 +35,16 @@ def test_streams_equal_batch(spark, tmp_path):
     spark.createDataFrame(rows, SM.STREAM_SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(SM.STREAM_SCHEMA).json(str(tmp_path / "in"))
     batch = spark.read.schema(SM.STREAM_SCHEMA).json(str(tmp_path / "in"))
-    run = lambda df, name, mode="append": SM.run_available(df, name, str(tmp_path / name), mode)
+    run = lambda df, name: SM.run_to_table(df, str(tmp_path / name))
     assert run(SM.stream_ingest(stream()), "ingest").count() == 40
-    steps = lambda df: sorted(map(tuple, df.collect()))
-    assert steps(run(SM.stream_step_metrics(stream()), "steps", "update")) == steps(SM.stream_step_metrics(batch))
-    assert steps(run(SM.stream_span_pairing(stream()), "spans", "update")) == steps(SM.stream_span_pairing(batch))
+    # spans that the watermark has passed come out, the last one stays in the state
+    early = lambda df: df.where(F.col("start") < F.lit(t + timedelta(minutes=5)))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    steps = run(SM.stream_step_metrics(stream(), "1 second", "1 minute"), "steps")
+    assert rows_of(steps) == rows_of(early(SM.stream_step_metrics(batch, span="1 minute"))) and steps.count() > 5
+    pairs = run(SM.stream_span_pairing(stream(), "1 second", "1 minute"), "spans")
+    assert pairs.count() == pairs.join(SM.stream_span_pairing(batch, span="1 minute"), ["run_id", "span_id", "duration_ns", "markers", "closed"]).count() > 5
+    assert pairs.where("not closed").count() > 0
     fields = ("utilization_gpu_pct", "memory_used_bytes", "memory_total_bytes", "temperature_c")
     alerts = SM.stream_health_alerts(SM.numbers(stream(), *fields))
     assert run(alerts, "alerts").groupBy("label").count().count() == 2
@@ -48,3 +54,26 @@ def test_streams_equal_batch(spark, tmp_path):
     assert done.count() > 0 and done.join(full, ["run_id", "start", "n", "avg_util"], "left_anti").count() == 0
     sessions = SM.stream_run_sessions(batch, "30 seconds")
     assert sessions.agg(F.sum("events")).first()[0] == 48
+
+
+def test_repeated_batches_double_no_row(spark, tmp_path):
+    spark.range(5).selectExpr("id AS run_id", "timestamp_seconds(id) AS ts", "95.0D AS memory_used_bytes", "100.0D AS memory_total_bytes", "1.0D AS temperature_c").write.parquet(str(tmp_path / "in"))
+    stream = lambda: SM.stream_health_alerts(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in")))
+    assert SM.run_to_table(stream(), str(tmp_path / "a")).count() == 5
+    for commit in (tmp_path / "a" / "state" / "commits").glob("[0-9]*"):
+        commit.unlink()
+    assert SM.run_to_table(stream(), str(tmp_path / "a")).count() == 5
+
+
+def test_kernel_csv_tall_and_wide(spark, tmp_path):
+    (tmp_path / "tall.csv").write_text('\ufeff# note\n==PROF== done\nbare output\n"ID","Kernel Name","Metric Name","Metric Unit","Metric Value"\n"0","k","dram__throughput.avg.pct_of_peak_sustained_elapsed","%","1,234.5"\n"0","k","odd","","n/a"\n')
+    (tmp_path / "wide.csv").write_text("Kernel Name,Duration,Mem Busy\n,us,%\nk,80,1\nk,90,\nk,100,3\n")
+    got = {(r.kernel_name, r.metric_name): (r.metric_unit, r.value) for r in SO.read_kernel_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("k", "dram__throughput.avg.pct_of_peak_sustained_elapsed"): ("%", 1234.5), ("k", "Duration"): ("us", 90.0), ("k", "Mem Busy"): ("%", 2.0)}
+
+
+def test_trace_order_breaks_ties_by_event_id(spark, tmp_path):
+    lines = [{"event_id": e, "run_id": "1", "event_type": "step_end", "timestamp_ns": 5, "step_id": 1, "duration_ns": n, "payload": {"status": s}} for e, n, s in (("b", 2, "error"), ("a", 1, "ok"))]
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (row,) = ST.step_metrics(SO.read_trace_jsonl(spark, str(tmp_path / "t.jsonl")).withColumn("shapes", F.lit(None).cast("map<string,array<int>>"))).collect()
+    assert (row.status, row.step_wall_time_ns) == ("error", 2)
