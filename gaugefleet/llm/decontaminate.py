@@ -230,12 +230,15 @@ def _without(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, raw[done:]]).decode()
 
 
-_FOUND = "n_words long, spans array<array<long>>, items array<long>"
-_FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
+_FOUND = "n_words long, spans array<array<long>>, items array<long>, cut string"
+_FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64())), ("cut", pa.string())])
 
 
-def _search(phrases: Broadcast, shard_words: int) -> Callable:
-    """A column function: what a block of phrases finds in each text. A shard never spans Arrow batches."""
+def _search(phrases: Broadcast, shard_words: int, clean: bool = False) -> Callable:
+    """A column function: what a block of phrases finds in each text, and when ``clean`` the text without it if there is any.
+
+    A shard never spans Arrow batches.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -250,6 +253,8 @@ def _search(phrases: Broadcast, shard_words: int) -> Callable:
                         shard, held = [], 0
             if shard:
                 rows += _shard(shard, phrases.value)
+            for i, row in enumerate(rows if clean else ()):
+                row["cut"] = _without(batch[i].as_py(), row["spans"]) if row["spans"] else None
             yield pa.array(rows, _FOUND_TYPE)
 
     return F.arrow_udf(run, _FOUND).asNondeterministic()
@@ -311,7 +316,7 @@ def find_contamination(
     given = docs.select(*names, F.col("text").alias("__text"))
     passes = []
     for n, block in _blocks(benchmark, window, block_bytes):
-        found = _search(block, shard_words)(F.col("__text"))
+        found = _search(block, shard_words, clean and n == 1)(F.col("__text"))
         if n == 1:
             marked = given.withColumn("__f", found)
             break
@@ -325,9 +330,11 @@ def find_contamination(
         none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
         joined = given.withColumn("__sha", F.sha2("__text", 256)).join(broadcast_if_small(staged(union), 100_000, "1 + size(s) + size(i)"), "__sha", "left")
         marked = joined.withColumn("__f", F.struct(n_words.alias("n_words"), none("s", "array<array<bigint>>").alias("spans"), none("i", "array<bigint>").alias("items"))).drop("s", "i", "__sha")
+        again = F.arrow_udf(_cut, "string")(F.when(F.size("__f.spans") > 0, F.col("__text")), F.col("__f.spans")) if clean else F.lit(None).cast("string")
+        marked = marked.withColumn("__f", F.col("__f").withField("cut", again))
     items, spans = F.array_sort(F.col("__f.items").cast("array<string>")), F.col("__f.spans")
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    cut = F.coalesce(F.arrow_udf(_cut, "string")(F.when(F.size(spans) > 0, F.col("__text")), spans), F.col("__text")) if clean else F.lit(None).cast("string")
+    cut = F.coalesce("__f.cut", "__text") if clean else F.lit(None).cast("string")
     return marked.select(*names, F.col("__f.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), spans.alias("spans"), cut.alias("clean_text"))
 
 
