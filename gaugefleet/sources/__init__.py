@@ -15,6 +15,8 @@ EVENT_SCHEMA = (
 )
 TRACE_SCHEMA = "traceEvents array<struct<name:string,cat:string,ph:string,ts:double,dur:double,pid:string,tid:string,args:map<string,string>>>"
 MIB = 1024 * 1024
+# Suffixes of kernel source.
+SOURCE_SUFFIXES = (".cu", ".cuh", ".cuda")
 
 
 def read_trace_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -33,20 +35,31 @@ def _first(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("double")
 
 
-def read_gpu_csv(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Device samples of a monitor's CSV, alternative headers allowed; rows without utilisation and memory are dropped."""
+def read_gpu_csv(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Device samples of a monitor's CSV files, alternative headers allowed; rows without utilisation and memory are dropped.
+
+    Without ``run_id`` a sample belongs to the run that its file's folder is named after.
+    """
     df = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if run_id is None else F.lit(run_id)
     out = df.select(
-        F.lit(run_id).alias("run_id"),
+        run.alias("run_id"),
         _first(df, "index", "gpu").cast("int").alias("gpu_id"),
-        _first(df, "utilization.gpu", "utilization.gpu [%]", "utilization_gpu_pct").alias("utilization_gpu_pct"),
-        _first(df, "utilization.memory", "utilization.memory [%]", "utilization_mem_pct").alias("utilization_mem_pct"),
-        (_first(df, "memory.used", "memory.used [mib]") * MIB).alias("memory_used_bytes"),
-        (_first(df, "memory.total", "memory.total [mib]") * MIB).alias("memory_total_bytes"),
+        _first(df, "utilization.gpu", "utilization.gpu [%]", "gpu_util", "utilization_gpu_pct").alias("utilization_gpu_pct"),
+        _first(df, "utilization.memory", "utilization.memory [%]", "memory_util", "utilization_mem_pct").alias("utilization_mem_pct"),
+        (_first(df, "memory.used", "memory.used [mib]", "memory_used") * MIB).alias("memory_used_bytes"),
+        (_first(df, "memory.total", "memory.total [mib]", "memory_total") * MIB).alias("memory_total_bytes"),
     )
     return out.where("utilization_gpu_pct is not null or memory_used_bytes is not null")
 
 
+def union_sources(events: DataFrame, samples: DataFrame) -> DataFrame:
+    """Events with the device samples folded in as gpu_sample events; missing columns are null."""
+    values = [c for c in ("utilization_gpu_pct", "utilization_mem_pct", "memory_used_bytes", "memory_total_bytes") if c in samples.columns]
+    payload = F.map_filter(F.create_map(*[x for c in values for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
+    return events.unionByName(samples.select("run_id", F.lit("gpu_sample").alias("event_type"), payload.alias("payload")), allowMissingColumns=True)
+
+
 def read_chrome_trace(spark: SparkSession, path: str) -> DataFrame:
     """One row per event of Chrome trace files: file, idx, name, cat, ph, ts_us, dur_us, pid, tid, args."""
     df = spark.read.schema(TRACE_SCHEMA).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("traceEvents").alias("idx", "e"))
@@ -59,27 +72,48 @@ def read_eval_rows(spark: SparkSession, path: str, schema: str, level: int | Non
     return rows if level is None else rows.where(F.col("Level_ID") == level)
 
 
-def read_variants_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Variants of a results CSV, and the rows set aside because a name or a number is missing."""
+def read_variants_manifest(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Variants of a results CSV, and the rows set aside because a name, a table or a number is missing.
+
+    Raises ValueError for a missing column, or for fewer than ``least`` variants.
+    """
     df = spark.read.option("header", True).csv(path)
-    for c in ("variant", "throughput_gflops"):
+    for c in ("variant", "ncu_csv", "throughput_gflops"):
         if c not in df.columns:
             raise ValueError(f"{path} has no column {c}")
     parsed = df.withColumn("throughput", F.trim("throughput_gflops").try_cast("double"))
-    good = (F.coalesce(F.trim("variant"), F.lit("")) != "") & F.col("throughput").isNotNull()
-    return parsed.where(good), parsed.where(~good)
+    held = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    good = held("variant") & held("ncu_csv") & F.col("throughput").isNotNull()
+    found = parsed.where(good)
+    if found.limit(least).count() < least:
+        raise ValueError(f"{path} has fewer than {least} variants")
+    return found, parsed.where(~good)
 
 
 def route_artifacts(files: DataFrame) -> DataFrame:
-    """Adds kind to (path, text): by suffix, else by content."""
+    """Adds kind to (path, text): ptx, cuda_source, ncu or unknown, by suffix, else by content."""
     path, text = F.lower("path"), F.col("text")
+    lowered = F.lower(text)
+    source = F.lit(False)
+    for suffix in SOURCE_SUFFIXES:
+        source = source | path.endswith(suffix)
     kind = (
-        F.when(path.endswith(".ptx"), "ptx").when(path.endswith(".cu") | path.endswith(".cuh"), "cuda_source").when(path.endswith(".csv"), "kernel_csv")
-        .when(text.contains(".entry") & text.contains(".version"), "ptx").when(text.contains("__global__"), "cuda_source").when(text.contains("Kernel Name"), "kernel_csv").otherwise("unknown")
+        F.when(path.endswith(".ptx"), "ptx").when(source, "cuda_source").when(path.endswith(".csv"), "ncu")
+        .when(text.contains(".entry") | (text.contains(".version") & text.contains(".target")), "ptx").when(text.contains("__global__") | text.contains("<<<"), "cuda_source")
+        .when(lowered.contains("metric name") & lowered.contains("metric value"), "ncu").otherwise("unknown")
     )
     return files.withColumn("kind", kind)
 
 
+def nested_summaries(runs: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """(run_id, summary): one JSON text per run, with the summary and diagnosis of each of its scopes."""
+    both = runs.join(diagnoses, ["run_id", "scope"], "left")
+    names = [c for c in both.columns if c not in ("run_id", "scope")]
+    scoped = both.select("run_id", F.struct("scope", *names).alias("s"))
+    by_run = scoped.groupBy("run_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # as many as there are scopes
+    return by_run.select("run_id", F.to_json(F.map_from_entries(F.transform("s", lambda x: F.struct(x["scope"], F.struct(*[x[c].alias(c) for c in names]))))).alias("summary"))
+
+
 def write_run_summary(summaries: DataFrame, path: str, by: str | None = None) -> None:
     """Summaries as Parquet, partitioned if asked."""
     writer = summaries.write.mode("overwrite")
@@ -145,5 +179,5 @@ def read_kernel_csv(spark: SparkSession, path: str) -> DataFrame:
             rows = [(f, *r, i) for f, text in zip(pdf["file"], pdf["value"], strict=True) for i, r in enumerate(kernel_rows(text))]
             yield pd.DataFrame(rows, columns=["file", "kernel_name", "metric_name", "metric_unit", "value", "seq"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.mapInPandas(run, "file string, kernel_name string, metric_name string, metric_unit string, value double, seq long")
