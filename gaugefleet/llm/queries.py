@@ -13,6 +13,7 @@ from .licences import op8_licences
 from .line_dedup import op2_line_dedup
 from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
+from .oracles import ORACLES
 from .pack import op1_pack
 from .pu_quality import op7_quality
 from .sanitise import op5_personal_data
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES | ({"pipeline": sql} if (sql := corpus_pipeline.ORACLE_SQL) else {})
