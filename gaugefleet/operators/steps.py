@@ -20,11 +20,15 @@ def step_metrics(events: DataFrame) -> DataFrame:
     """
     kind, payload, d = F.col("event_type"), F.col("payload"), F.coalesce("duration_ns", F.lit(0))
     end = kind == "step_end"
-    step = Window.partitionBy("run_id", "step_id")
-    e = events.where("step_id is not null").withColumn("end_seq", F.max(F.when(end, F.col("seq"))).over(step))
+    e = events.where("step_id is not null")
 
-    def phase(name: str, when: Column = F.lit(True)) -> Column:  # noqa: B008
-        return F.coalesce(F.max(F.when((kind == "phase_span") & (payload["phase_name"] == name) & when, d)), F.lit(0)).cast("long")
+    def phase(name: str) -> Column:
+        return F.coalesce(F.max(F.when((kind == "phase_span") & (payload["phase_name"] == name), d)), F.lit(0)).cast("long")
+
+    def before_end(name: str) -> Column:
+        """The longest span of the phase before the step's last end; the few spans of a step are gathered, its events never."""
+        spans = F.filter("__spans", lambda x: (x["p"] == name) & (x["s"] < F.col("__end")))
+        return F.coalesce(F.array_max(F.transform(spans, lambda x: x["d"])), F.lit(0))
 
     def summed(when: Column, value: Column = d) -> Column:
         return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("long")
@@ -36,7 +40,7 @@ def step_metrics(events: DataFrame) -> DataFrame:
     median = number(payload["median_cuda_kernel_duration_us"])
     small = number(payload["small_kernel_fraction"])
     shape = kind == "shape_snapshot"
-    before = F.col("seq") < F.col("end_seq")
+    timed = (kind == "phase_span") & payload["phase_name"].isin(*PHASES)
     out = e.groupBy("run_id", "step_id").agg(
         F.coalesce(last(F.coalesce(payload["status"], F.lit("unknown")), end), F.lit("unknown")).alias("status"),
         F.coalesce(last(d, end), F.lit(0)).cast("long").alias("step_wall_time_ns"),
@@ -44,7 +48,7 @@ def step_metrics(events: DataFrame) -> DataFrame:
         summed((kind == "memcpy_span") & (payload["copy_kind"] == "h2d")).alias("h2d_copy_time_ns"),
         summed(kind == "sync_wait").alias("sync_wait_time_ns"),
         *[phase(p).alias(f"{p}_time_ns") for p in PHASES],
-        sum((phase(p, before) for p in PHASES[1:]), phase(PHASES[0], before)).alias("active_ns"),
+        F.max(F.when(end, F.col("seq"))).alias("__end"), F.collect_list(F.when(timed, F.struct(F.col("seq").alias("s"), payload["phase_name"].alias("p"), d.alias("d")))).alias("__spans"),
         last(shape_signature(F.col("shapes")), shape).alias("shape_signature"),
         F.coalesce(last(number(payload["batch_size"]), shape), F.lit(0)).cast("long").alias("batch_size"),
         summed(window, F.lit(1)).alias("profiler_windows_exported"),
@@ -52,7 +56,8 @@ def step_metrics(events: DataFrame) -> DataFrame:
         F.coalesce(last(median, window & (median > 0)), F.lit(0.0)).alias("median_cuda_kernel_duration_us"),
         F.coalesce(last(F.least(F.lit(1.0), F.greatest(F.lit(0.0), small)), window & small.isNotNull()), F.lit(0.0)).alias("small_kernel_fraction"),
     )
-    return out.withColumn("gpu_active_fraction_proxy", share(F.col("active_ns"), F.col("step_wall_time_ns"))).drop("active_ns")
+    active = sum((before_end(p) for p in PHASES[1:]), before_end(PHASES[0]))
+    return out.withColumn("gpu_active_fraction_proxy", share(active, F.col("step_wall_time_ns"))).drop("__end", "__spans")
 
 
 def shape_changes(steps: DataFrame) -> DataFrame:
