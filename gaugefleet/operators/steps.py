@@ -60,9 +60,21 @@ def step_metrics(events: DataFrame) -> DataFrame:
     return out.withColumn("gpu_active_fraction_proxy", share(active, F.col("step_wall_time_ns"))).drop("__end", "__spans")
 
 
+def _keys(steps: DataFrame) -> list[str]:
+    return ["run_id", "scope"] if "scope" in steps.columns else ["run_id"]
+
+
+def with_scopes(steps: DataFrame, skip_first_n: int = 2) -> DataFrame:
+    """Each step once for the scope run, and once more for the scope steady if it is completed and not among the first ones."""
+    done = (F.col("status") == "ok") & (F.col("step_wall_time_ns") > 0)
+    n = F.row_number().over(Window.partitionBy("run_id", done).orderBy("step_id"))
+    scopes = F.when(F.col("__done") & (F.col("__n") > skip_first_n), F.array(F.lit("run"), F.lit("steady"))).otherwise(F.array(F.lit("run")))
+    return steps.withColumns({"__done": done, "__n": n}).withColumn("scope", F.explode(scopes)).drop("__done", "__n")
+
+
 def shape_changes(steps: DataFrame) -> DataFrame:
-    """Adds shape_changed: whether the signature differs from the run's previous one that is not null."""
-    earlier = Window.partitionBy("run_id").orderBy("step_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds shape_changed: whether the signature differs from the run's (and scope's) previous one that is not null."""
+    earlier = Window.partitionBy(*_keys(steps)).orderBy("step_id").rowsBetween(Window.unboundedPreceding, -1)
     previous = F.last(F.when(F.col("shape_signature") != "", F.col("shape_signature")), True).over(earlier)
     return steps.withColumn("shape_changed", F.coalesce((F.col("shape_signature") != "") & (F.col("shape_signature") != previous), F.lit(False)))
 
@@ -86,7 +98,7 @@ def dominant_stall(*totals: Column, compute: Column) -> Column:
 
 
 def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> DataFrame:
-    """One row per run that has steps; samples count run-wide whatever steps are given."""
+    """One row per run that has steps, and per scope if steps have one; samples count run-wide whatever steps are given."""
     ok = F.col("status") == "ok"
     wall = F.when(ok & (F.col("step_wall_time_ns") > 0), F.col("step_wall_time_ns"))
     positive = lambda c: F.when(ok & (F.col(c) > 0), F.col(c).cast("double"))
@@ -96,7 +108,7 @@ def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> Dat
     done = ok & (F.col("step_wall_time_ns") > 0)
     ratios = [zero(F.avg(F.when(done, share(F.col(c), F.col("step_wall_time_ns"))))).alias(f"{label}_ratio") for label, c in STALLS]
     signed = F.count(F.when(F.col("shape_signature") != "", 1))
-    by_run = shape_changes(steps).groupBy("run_id").agg(
+    by_run = shape_changes(steps).groupBy(*_keys(steps)).agg(
         F.count(F.when(done, 1)).alias("completed_steps"),
         zero(F.count(F.when(ok, 1)) / (F.nullif(F.sum(wall), F.lit(0)) / 1e9)).alias("throughput_steps_per_sec"),
         zero(F.avg(wall)).alias("step_time_avg_ns"),
@@ -118,7 +130,8 @@ def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> Dat
         F.when(F.count(util) >= 2, F.max(util) - F.min(util)).otherwise(0.0).alias("utilization_instability_pct"),
     )
     names = [c for c in by_sample.columns if c != "run_id"]
-    return by_run.join(by_sample, "run_id", "left").na.fill(0.0, names).withColumn("scope", F.lit(scope))
+    out = by_run.join(by_sample, "run_id", "left").na.fill(0.0, names)
+    return out if "scope" in out.columns else out.withColumn("scope", F.lit(scope))
 
 
 def worst_steps(steps: DataFrame, n: int = 3) -> DataFrame:

@@ -20,8 +20,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, d: str) -> DataFrame:
-    steps, samples = _steps(spark, d), gpu_samples(spark, d)
-    return S.run_summary(steps, samples).unionByName(S.run_summary(S.steady_state_steps(steps), samples, "steady"))
+    return S.run_summary(S.with_scopes(_steps(spark, d)), gpu_samples(spark, d))
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
