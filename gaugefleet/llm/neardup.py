@@ -89,8 +89,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     pairs = staged(pairs)
     ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = staged(docs.join(ids, "doc_id", "left_semi"))
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")  # sorted by a; the same plan at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
