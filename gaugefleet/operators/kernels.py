@@ -16,6 +16,12 @@ ALIASES = {
     "shared_memory_per_block": "shared_memory_per_block_bytes",
     "launch__block_size": "threads_per_block",
     "threads_per_block": "threads_per_block",
+    "launch__block_dim_x": "block_x",
+    "launch__block_dim_y": "block_y",
+    "launch__block_dim_z": "block_z",
+    "launch__grid_dim_x": "grid_x",
+    "launch__grid_dim_y": "grid_y",
+    "launch__grid_dim_z": "grid_z",
     "sm__warps_active_avg_pct_of_peak_sustained_active": "achieved_occupancy_pct",
     "sm__warps_active_avg_pct_of_peak_sustained_elapsed": "achieved_occupancy_pct",
     "achieved_occupancy": "achieved_occupancy_pct",
@@ -140,14 +146,25 @@ def arch_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ARCH, "arch string, peak_fp32 double, peak_fp16 double, peak_bw double, tensor_cores boolean, bf16 boolean, fp8 boolean")
 
 
+PEAKS = ("peak_fp32", "peak_fp16", "peak_bw")
+
+
 def arch_profile_join(runs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Adds each run's profile by arch (default where unknown); overrides (arch, peak_*) take precedence."""
-    spark = runs.sparkSession
-    profile = arch_profiles(spark)
-    if overrides is not None:
-        o = overrides.select("arch", *[F.col(c).alias(f"o_{c}") for c in ("peak_fp32", "peak_fp16", "peak_bw")])
-        profile = profile.join(F.broadcast(o), "arch", "left").select("arch", *[F.coalesce(f"o_{c}", c).alias(c) for c in ("peak_fp32", "peak_fp16", "peak_bw")], "tensor_cores", "bf16", "fp8")
-    return runs.withColumn("arch", F.coalesce("arch", F.lit(DEFAULT_ARCH))).join(F.broadcast(profile), "arch", "left")
+    """Adds each run's profile by arch (default where unknown); overrides (key, peak_*) take precedence.
+
+    The key of an override is a product, an architecture, or empty for all runs: what is set for all wins
+    over the architecture's, that over the product's, that over the profile.
+    """
+    profile = arch_profiles(runs.sparkSession)
+    df = runs.withColumn("arch", F.coalesce("arch", F.lit(DEFAULT_ARCH))).join(F.broadcast(profile), "arch", "left")
+    if overrides is None:
+        return df
+    model = F.col("gpu_model") if "gpu_model" in df.columns else F.lit(None).cast("string")
+    for name, key in (("m", model), ("a", F.col("arch")), ("t", F.lit(""))):
+        side = overrides.select(F.col("key").alias(f"__{name}"), *[F.col(c).alias(f"__{name}_{c}") for c in PEAKS])
+        df = df.withColumn("__k", key).join(F.broadcast(side), F.col("__k") == F.col(f"__{name}"), "left").drop("__k", f"__{name}")
+    levels = [f"__{n}_{c}" for n in ("t", "a", "m") for c in PEAKS]
+    return df.withColumns({c: F.coalesce(*[F.col(f"__{n}_{c}") for n in ("t", "a", "m")], F.col(c)) for c in PEAKS}).drop(*levels)
 
 
 def roofline(df: DataFrame, dram: str = "dram_throughput_pct", tensor: str = "tensor_core_utilization_pct", issue: str = "issue_slot_utilization_pct") -> DataFrame:

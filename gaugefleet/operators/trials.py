@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugefleet.functions import codes, half_up
@@ -51,9 +51,14 @@ def noise_band(pairs: DataFrame) -> DataFrame:
     return df.withColumns({"confidence_label": label, "within_noise": within})
 
 
+def _guarded() -> Column:
+    """Whether no guard failed, neither in the aggregate nor in any repeat."""
+    return (F.size("guard_failures") == 0) & F.coalesce("passed_guards", F.lit(True))
+
+
 def race_screening(pairs: DataFrame, promote: int = 2) -> DataFrame:
     """Adds place and decision: order by clean exit, guards, delta, throughput; the first viable ones go on."""
-    clean, ok = F.col("exit_code") == 0, F.size("guard_failures") == 0
+    clean, ok = F.col("exit_code") == 0, _guarded()
     order = [F.desc(clean.cast("int")), F.desc(ok.cast("int")), F.desc("throughput_delta"), F.desc("throughput"), F.col("config")]
     viable = clean & ok & (F.col("throughput") > 0)
     rank = F.row_number().over(Window.partitionBy("job").orderBy(*order))
@@ -63,7 +68,7 @@ def race_screening(pairs: DataFrame, promote: int = 2) -> DataFrame:
 
 def select_winner(pairs: DataFrame) -> DataFrame:
     """The viable trial of each job with the highest throughput at the minimum speedup; null where none is."""
-    viable = (F.col("exit_code") == 0) & (F.size("guard_failures") == 0) & (F.col("throughput") > 0) & (F.col("throughput_delta") >= MIN_SPEEDUP) & ~F.col("within_noise")
+    viable = (F.col("exit_code") == 0) & _guarded() & (F.col("throughput") > 0) & (F.col("throughput_delta") >= MIN_SPEEDUP) & ~F.col("within_noise")
     return pairs.groupBy("job").agg(F.max_by("config", F.when(viable, F.struct(F.col("throughput"), -F.col("config")))).alias("winner"), F.count_if(viable).alias("promoted"))
 
 

@@ -115,7 +115,7 @@ _REP = f"""WITH tr AS ({_t}), st AS (SELECT job, config, dominant_stall, count(*
 _PAIRS = f"""{_REP}, pa AS (SELECT a.*, b.throughput AS bt, b.step_ms AS bs, b.repeat_count AS br, b.throughput_stddev AS bd FROM re a JOIN re b ON a.job = b.job AND b.config = 0 WHERE a.config <> 0),
     pb AS (SELECT *, concat_ws(',', CASE WHEN exit_code <> 0 THEN 'exit_code' END, CASE WHEN step_count < 3 THEN 'too_few_steps' END, CASE WHEN throughput <= 0 THEN 'zero_throughput' END, CASE WHEN memory_ratio > 0.9 THEN 'memory' END, CASE WHEN bs > 0 AND step_ms > 0 AND (step_ms - bs) / bs > 0.1 THEN 'step_time_regression' END) AS guard_failures,
       CASE WHEN bt > 0 AND throughput > 0 THEN (throughput - bt) / bt ELSE 0.0 END AS delta, greatest(CASE WHEN repeat_count > 1 AND throughput > 0 THEN throughput_stddev / throughput ELSE 0.0 END, CASE WHEN br > 1 AND bt > 0 THEN bd / bt ELSE 0.0 END) AS band, least(repeat_count, br) AS n FROM pa),
-    pc AS (SELECT *, CASE WHEN n < 2 THEN 'low' WHEN delta <= greatest(band, 0.08) THEN 'inconclusive' WHEN n >= 3 AND delta - band >= 0.08 THEN 'high' WHEN delta - band >= 0.04 THEN 'medium' ELSE 'low' END AS confidence_label, n > 1 AND delta > 0 AND delta <= band AS within_noise, exit_code = 0 AND guard_failures = '' AS fine FROM pb)"""
+    pc AS (SELECT *, CASE WHEN n < 2 THEN 'low' WHEN delta <= greatest(band, 0.08) THEN 'inconclusive' WHEN n >= 3 AND delta - band >= 0.08 THEN 'high' WHEN delta - band >= 0.04 THEN 'medium' ELSE 'low' END AS confidence_label, n > 1 AND delta > 0 AND delta <= band AS within_noise, guard_failures = '' AND passed_guards AS held, exit_code = 0 AND guard_failures = '' AND passed_guards AS fine FROM pb)"""
 _VAR = f"{_REP}, va AS (SELECT job, 'v' || config AS variant, throughput FROM re)"
 _TRACE = """WITH tc AS (SELECT user_id AS run_id, CAST(epoch_us(ts) AS DOUBLE) AS ts_us, CASE event_type WHEN 'signup' THEN 21600e6 ELSE value END AS dur_us, event_type, event_id FROM events),
     num AS (SELECT run_id, event_id AS step, ts_us AS start_us, ts_us + dur_us AS end_us FROM tc WHERE event_type = 'signup'),
@@ -126,7 +126,7 @@ ORACLES = {
     "repeat_aggregate": f"{_REP} SELECT job, config, repeat_count, exit_code, {', '.join(_r(c, 6) + f' AS {c}' for c in ('throughput', 'gpu_util', 'step_ms', 'memory_ratio', 'throughput_stddev'))}, step_count, passed_guards, dominant_stall FROM re",
     "guard_checks": f"{_PAIRS} SELECT job, config, guard_failures FROM pc",
     "noise_band": f"{_PAIRS} SELECT job, config, {_r('delta', 6)} AS throughput_delta, {_r('band', 6)} AS noise_band, confidence_label, within_noise FROM pc",
-    "race_screening": f"""{_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY (exit_code = 0)::INT DESC, (guard_failures = '')::INT DESC, delta DESC, throughput DESC, config) AS place, row_number() OVER (PARTITION BY job ORDER BY (fine AND throughput > 0)::INT DESC, (exit_code = 0)::INT DESC, (guard_failures = '')::INT DESC, delta DESC, throughput DESC, config) AS g FROM pc)
+    "race_screening": f"""{_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput DESC, config) AS place, row_number() OVER (PARTITION BY job ORDER BY (fine AND throughput > 0)::INT DESC, (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput DESC, config) AS g FROM pc)
       SELECT job, config, place, CASE WHEN fine AND throughput > 0 AND g <= 2 THEN 'promoted' WHEN fine THEN 'slower' ELSE 'guard_failure' END AS decision FROM o""",
     "select_winner": f"{_PAIRS}, o AS (SELECT *, fine AND throughput > 0 AND delta >= 0.08 AND NOT within_noise AS v FROM pc) SELECT job, max_by(config, CASE WHEN v THEN throughput END) AS winner, count(CASE WHEN v THEN 1 END) AS promoted FROM o GROUP BY job",
     "variant_ranking": f"{_VAR} SELECT job, variant, row_number() OVER (PARTITION BY job ORDER BY throughput DESC, variant) AS place, {_r('throughput / nullif(min(throughput) OVER (PARTITION BY job), 0)', 2)} AS factor FROM va",

@@ -102,7 +102,7 @@ def q_gpu_alias_match(spark, d):
 
 
 def q_arch_profile_join(spark, d):
-    overrides = spark.createDataFrame([("sm_75", 9.0, None, None)], "arch string, peak_fp32 double, peak_fp16 double, peak_bw double")
+    overrides = spark.createDataFrame([("sm_75", 9.0, None, None), ("t4", 7.0, 60.0, None), ("h100", None, 900.0, 3000.0), ("", None, None, 1500.0)], "key string, peak_fp32 double, peak_fp16 double, peak_bw double")
     return _rounded(K.arch_profile_join(q_gpu_alias_match(spark, d), overrides).select("run_id", "arch", "peak_fp32", "peak_fp16", "peak_bw", "bf16", "fp8"))
 
 
@@ -227,7 +227,7 @@ ORACLES = {
     "occupancy_gap": f"{_PIVOT} SELECT run_id, kernel_name, gap AS occupancy_gap_pct, eff AS occupancy_efficiency_pct, first_limiter AS primary_limiter FROM ks",
     "kernel_launch_rollup": f"{_PIVOT} SELECT run_id, count(*) AS kernels, count(threads_per_block) AS kernels_with_launch, {_r('avg(estimated_occupancy_pct)', 2)} AS avg_estimated_occupancy_pct FROM ks GROUP BY run_id",
     "gpu_alias_match": f"WITH {_ARCH} SELECT run_id, device, gpu_model, arch FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5",
-    "arch_profile_join": f"WITH {_ARCH} SELECT run_id, ar.arch, CASE WHEN ar.arch = 'sm_75' THEN 9.0 ELSE fp32 END AS peak_fp32, fp16 AS peak_fp16, bw AS peak_bw, bf16, fp8 FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')",
+    "arch_profile_join": f"WITH {_ARCH} SELECT run_id, ar.arch, CASE WHEN ar.arch = 'sm_75' THEN 9.0 ELSE fp32 END AS peak_fp32, CASE gpu_model WHEN 't4' THEN 60.0 WHEN 'h100' THEN 900.0 ELSE fp16 END AS peak_fp16, 1500.0::DOUBLE AS peak_bw, bf16, fp8 FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')",
     "roofline": f"{_ROOF} SELECT run_id, kernel_name, achieved_tflops, arithmetic_intensity, roofline_region, roofline_ceiling_tflops, mfu_pct FROM rf",
     "tensor_efficiency": f"{_ROOF} SELECT run_id, kernel_name, tc_active, tc_eligible, fallback, mixed_precision_opportunity, tc_label FROM tcs",
     "tensor_rollup": f"""{_ROOF}, a AS (SELECT run_id, count(tensor_core_utilization_pct) AS kernels_with_tc, count(CASE WHEN tc_active THEN 1 END) AS kernels_tc_active, count(CASE WHEN tc_eligible AND NOT tc_active THEN 1 END) AS eligible_inactive, count(CASE WHEN fallback THEN 1 END) AS fallbacks, {_r('avg(tensor_core_utilization_pct)', 2)} AS avg_tc_pct, bool_or(mixed_precision_opportunity) AS any_opportunity FROM tcs GROUP BY run_id)
