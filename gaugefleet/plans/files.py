@@ -58,7 +58,7 @@ def q_read_chrome_trace(spark, d):
     traces = X._trace(spark, d).groupBy("run_id").agg(F.collect_list(event).alias("traceEvents"))
     traces.select(F.to_json(F.struct("traceEvents")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     got = SO.read_chrome_trace(spark, path)
-    return _rounded(got.groupBy(F.col("args")["run"].alias("run"), "cat").agg(F.count("*").alias("n"), F.sum("dur_us").alias("dur_us")))
+    return _rounded(got.groupBy(F.col("args")["run"].alias("run"), "cat").agg(F.count("*").alias("n"), F.max("dur_us").alias("dur_us")))
 
 
 def q_read_variants_manifest(spark, d):
@@ -98,7 +98,7 @@ ORACLES = {
     "read_trace_jsonl": f"{T._STEPS} SELECT run_id, count(*) AS steps, CAST(sum(wall) AS BIGINT) AS step_wall_time_ns, CAST(sum(loader) AS BIGINT) AS dataloader_wait_time_ns, CAST(sum(h2d) AS BIGINT) AS h2d_copy_time_ns, CAST(sum(kc) AS BIGINT) AS kernel_count FROM steps GROUP BY run_id",
     "read_gpu_csv": f"WITH {SQL['gs']} SELECT run_id::VARCHAR AS run, count(*) AS n, {_r('avg(util)')} AS util, {_r('max(used)')} AS memory FROM gs WHERE util >= 20 GROUP BY 1",
     "read_kernel_csv": f"{P._PIVOT} SELECT run_id || '|' || kernel_name AS kernel_name, {', '.join(f'{_r(c)} AS {c}' for c in ('dram_throughput_pct', 'kernel_duration_us'))}, registers_per_thread, shared_memory_per_block_bytes, dominant_warp_stall FROM ks",
-    "read_chrome_trace": "SELECT user_id::VARCHAR AS run, CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'user_annotation' ELSE 'kernel' END AS cat, count(*) AS n, " + _r("sum(CASE event_type WHEN 'signup' THEN 21600e6 ELSE value END)") + " AS dur_us FROM events GROUP BY 1, 2",
+    "read_chrome_trace": "SELECT user_id::VARCHAR AS run, CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'user_annotation' ELSE 'kernel' END AS cat, count(*) AS n, " + _r("max(CASE event_type WHEN 'signup' THEN 21600e6 ELSE value END)") + " AS dur_us FROM events GROUP BY 1, 2",
     "read_variants_manifest": f"SELECT count(*) AS variants, {_r('sum(p_size * 2.5::DOUBLE)')} AS total, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0) AS set_aside FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0",
     "read_eval_rows": """SELECT quality = 1 AS "Correct", count(*) AS n FROM labels WHERE doc_id % 3 = 1 GROUP BY 1""",
     "route_artifacts": "SELECT kind, count(*) AS n FROM (SELECT 'ptx' AS kind FROM part UNION ALL SELECT 'cuda_source' FROM part UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'ncu' ELSE 'unknown' END FROM part) GROUP BY 1",
