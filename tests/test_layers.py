@@ -44,7 +44,7 @@ PTX = """
   .local .align 4 .b8 stack[32];
   ld.global.v4.f32 {%f1, %f2, %f3, %f4}, [%rd1];
 $L0:
-  ld.local.f32 %f5, [%rd2]; }
+  ld.local.f32 %f5, [%rd2];
   @%p1 bra $L0;
   bra $L9;
 $L9:
