@@ -37,7 +37,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     text = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha")]
-    named = docs.where("doc_id is not null").join(staged(kept), "doc_id", "left_semi").select(*COLUMNS)
+    kept = staged(kept).hint("merge")  # one plan at every size: the ids grow with the documents
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
     many = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     once = named.join(many, "doc_id", "left_anti")
     again = named.join(many, "doc_id", "left_semi").select("*", *text).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
