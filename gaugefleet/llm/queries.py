@@ -15,9 +15,12 @@ from .neardup import op9_near_duplicates
 from .ngram_quality import op3_quality_rules
 from .oracles import ORACLES
 from .pack import op1_pack
+from .periodic_runs import op11_periodic_runs
 from .pu_quality import op7_quality
 from .sanitise import op5_personal_data
 from .site_tree import op4_extract
+from .source_audit import op12_source_audit
+from .url_filter import op13_url_filter
 from .warc import op10_warc
 
 
@@ -33,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_warc": op10_warc,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_source_audit": op12_source_audit,
+        "op13_url_filter": op13_url_filter,
         "pipeline": corpus_pipeline.run,
     }
 
