@@ -11,53 +11,78 @@ STALLS = (("input_bound", "dataloader_wait_time_ns"), ("copy_bound", "h2d_copy_t
 PHASES = ("forward", "backward", "optimizer")
 
 
-def step_metrics(events: DataFrame) -> DataFrame:
-    """One row per (run_id, step_id).
+def partial_steps(events: DataFrame, *by: Column) -> DataFrame:
+    """Per (run_id, step_id) and ``by``: sums, maxima and last writes of some of a step's events, which ``merge_steps`` puts together.
 
-    Spans of the data loader, host-to-device copies and waits add up; begin and end markers of a
-    phase share its type, so phases take the maximum; status, wall time and shapes take the last
-    write by ``seq``; phases after the last step end do not count as active time.
+    A last write is a pair of its ``seq`` and value, so that the larger pair is the later write; of equal ``seq`` the larger value counts.
     """
     kind, payload, d = F.col("event_type"), F.col("payload"), F.coalesce("duration_ns", F.lit(0))
-    end = kind == "step_end"
-    e = events.where("step_id is not null")
-
-    def phase(name: str) -> Column:
-        return F.coalesce(F.max(F.when((kind == "phase_span") & (payload["phase_name"] == name), d)), F.lit(0)).cast("long")
-
-    def before_end(name: str) -> Column:
-        """The longest span of the phase before the step's last end; the few spans of a step are gathered, its events never."""
-        spans = F.filter("__spans", lambda x: (x["p"] == name) & (x["s"] < F.col("__end")))
-        return F.coalesce(F.array_max(F.transform(spans, lambda x: x["d"])), F.lit(0))
+    end, shape = kind == "step_end", kind == "shape_snapshot"
 
     def summed(when: Column, value: Column = d) -> Column:
         return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("long")
 
     def last(value: Column, when: Column) -> Column:
-        return F.max_by(value, F.when(when, F.col("seq")))
+        return F.max(F.when(when, F.struct(F.col("seq").alias("seq"), value.alias("value"))))
 
     window = (kind == "profiler_window") & (payload["window_state"] == "exported")
-    median = number(payload["median_cuda_kernel_duration_us"])
-    small = number(payload["small_kernel_fraction"])
-    shape = kind == "shape_snapshot"
+    median, small = number(payload["median_cuda_kernel_duration_us"]), number(payload["small_kernel_fraction"])
     timed = (kind == "phase_span") & payload["phase_name"].isin(*PHASES)
-    out = e.groupBy("run_id", "step_id").agg(
-        F.coalesce(last(F.coalesce(payload["status"], F.lit("unknown")), end), F.lit("unknown")).alias("status"),
-        F.coalesce(last(d, end), F.lit(0)).cast("long").alias("step_wall_time_ns"),
+    return events.where("step_id is not null").groupBy("run_id", "step_id", *by).agg(
+        last(F.coalesce(payload["status"], F.lit("unknown")), end).alias("last_status"),
+        last(d, end).alias("last_step_wall_time_ns"),
         summed((kind == "dataloader_span") & (payload["stage"] == "next")).alias("dataloader_wait_time_ns"),
         summed((kind == "memcpy_span") & (payload["copy_kind"] == "h2d")).alias("h2d_copy_time_ns"),
         summed(kind == "sync_wait").alias("sync_wait_time_ns"),
-        *[phase(p).alias(f"{p}_time_ns") for p in PHASES],
-        F.max(F.when(end, F.col("seq"))).alias("__end"), F.collect_list(F.when(timed, F.struct(F.col("seq").alias("s"), payload["phase_name"].alias("p"), d.alias("d")))).alias("__spans"),
-        last(shape_signature(F.col("shapes")), shape).alias("shape_signature"),
-        F.coalesce(last(number(payload["batch_size"]), shape), F.lit(0)).cast("long").alias("batch_size"),
+        *[F.max(F.when(timed & (payload["phase_name"] == p), d)).alias(f"{p}_time_ns") for p in PHASES],
+        F.collect_list(F.when(timed, F.struct(F.col("seq").alias("s"), payload["phase_name"].alias("p"), d.alias("d")))).alias("spans"),
+        last(shape_signature(F.col("shapes")), shape).alias("last_shape_signature"),
+        last(number(payload["batch_size"]).cast("long"), shape).alias("last_batch_size"),
         summed(window, F.lit(1)).alias("profiler_windows_exported"),
         summed(window, F.coalesce(number(payload["kernel_count"]).cast("long"), F.lit(0))).alias("kernel_count"),
-        F.coalesce(last(median, window & (median > 0)), F.lit(0.0)).alias("median_cuda_kernel_duration_us"),
-        F.coalesce(last(F.least(F.lit(1.0), F.greatest(F.lit(0.0), small)), window & small.isNotNull()), F.lit(0.0)).alias("small_kernel_fraction"),
-    )
+        last(median, window & (median > 0)).alias("last_median_cuda_kernel_duration_us"),
+        last(F.least(F.lit(1.0), F.greatest(F.lit(0.0), small)), window & small.isNotNull()).alias("last_small_kernel_fraction"),
+    )
+
+
+_SUMS = ("dataloader_wait_time_ns", "h2d_copy_time_ns", "sync_wait_time_ns", "profiler_windows_exported", "kernel_count")
+_LASTS = ("last_status", "last_step_wall_time_ns", "last_shape_signature", "last_batch_size", "last_median_cuda_kernel_duration_us", "last_small_kernel_fraction")
+
+
+def merge_steps(partials: DataFrame, *by: str) -> DataFrame:
+    """Step metrics from any number of partial rows of a step (and ``by``), in any order."""
+    largest = (*_LASTS, *(f"{p}_time_ns" for p in PHASES))
+    merged = partials.groupBy("run_id", "step_id", *by).agg(*[F.max(c).alias(c) for c in largest], *[F.sum(c).alias(c) for c in _SUMS], F.flatten(F.collect_list("spans")).alias("spans"))
+    return _finished(merged, *by)
+
+
+def _finished(merged: DataFrame, *by: str) -> DataFrame:
+    """The columns of step metrics from one merged row per step."""
+    value = lambda c, default: F.coalesce(F.col(f"last_{c}")["value"], F.lit(default)).alias(c)
+    end = F.col("last_step_wall_time_ns")["seq"]
+
+    def before_end(name: str) -> Column:
+        """The longest span of the phase before the step's last end; the few spans of a step are gathered, its events never."""
+        spans = F.filter("spans", lambda x: (x["p"] == name) & (x["s"] < end))
+        return F.coalesce(F.array_max(F.transform(spans, lambda x: x["d"])), F.lit(0))
+
     active = sum((before_end(p) for p in PHASES[1:]), before_end(PHASES[0]))
-    return out.withColumn("gpu_active_fraction_proxy", share(active, F.col("step_wall_time_ns"))).drop("__end", "__spans")
+    wall = F.coalesce(F.col("last_step_wall_time_ns")["value"], F.lit(0))
+    return merged.select(
+        "run_id", "step_id", *by, value("status", "unknown"), value("step_wall_time_ns", 0).cast("long").alias("step_wall_time_ns"), *_SUMS[:3],
+        *[F.coalesce(f"{p}_time_ns", F.lit(0)).cast("long").alias(f"{p}_time_ns") for p in PHASES], F.col("last_shape_signature")["value"].alias("shape_signature"), value("batch_size", 0),
+        *_SUMS[3:], value("median_cuda_kernel_duration_us", 0.0), value("small_kernel_fraction", 0.0), share(active, wall).alias("gpu_active_fraction_proxy"),
+    )
+
+
+def step_metrics(events: DataFrame) -> DataFrame:
+    """One row per (run_id, step_id).
+
+    Spans of the data loader, host-to-device copies and waits add up; begin and end markers of a
+    phase share its type, so phases take the maximum; status, wall time and shapes take the last
+    write by ``seq``; phases after the last step end do not count as active time.
+    """
+    return _finished(partial_steps(events))
 
 
 def _keys(steps: DataFrame) -> list[str]:
@@ -97,8 +122,26 @@ def dominant_stall(*totals: Column, compute: Column) -> Column:
     return out
 
 
-def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> DataFrame:
-    """One row per run that has steps, and per scope if steps have one; samples count run-wide whatever steps are given."""
+def partial_samples(samples: DataFrame, *by: Column) -> DataFrame:
+    """Per run_id and ``by``: sums, counts and extremes of device samples, which ``merge_samples`` puts together."""
+    util, memory = F.col("utilization_gpu_pct"), F.col("utilization_mem_pct")
+    return samples.groupBy("run_id", *by).agg(
+        F.sum(util).alias("util_sum"), F.count(util).alias("util_n"), F.max(util).alias("util_max"), F.min(util).alias("util_min"), F.sum(memory).alias("memory_sum"), F.count(memory).alias("memory_n"),
+        F.max(F.when(F.col("memory_total_bytes") != 0, F.col("memory_used_bytes") / F.col("memory_total_bytes"))).alias("memory_peak"),
+    )
+
+
+def merge_samples(partials: DataFrame, *by: str) -> DataFrame:
+    """Means, peak and spread of each run (and ``by``) from any number of partial rows."""
+    mean = lambda c: (F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0)))
+    return partials.groupBy("run_id", *by).agg(
+        mean("util").alias("average_gpu_utilization_pct"), mean("memory").alias("average_memory_utilization_pct"), F.max("memory_peak").alias("memory_pressure_peak_ratio"),
+        F.when(F.sum("util_n") >= 2, F.max("util_max") - F.min("util_min")).otherwise(0.0).alias("utilization_instability_pct"),
+    )
+
+
+def summarise_runs(steps: DataFrame, by_sample: DataFrame, scope: str = "run") -> DataFrame:
+    """``run_summary`` with the samples of each run already merged."""
     ok = F.col("status") == "ok"
     wall = F.when(ok & (F.col("step_wall_time_ns") > 0), F.col("step_wall_time_ns"))
     positive = lambda c: F.when(ok & (F.col(c) > 0), F.col(c).cast("double"))
@@ -122,18 +165,16 @@ def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> Dat
         dominant_stall(*totals, compute=compute).alias("dominant_stall_type"),
         *ratios,
     )
-    util = F.col("utilization_gpu_pct")
-    by_sample = samples.groupBy("run_id").agg(
-        F.avg(util).alias("average_gpu_utilization_pct"),
-        F.avg("utilization_mem_pct").alias("average_memory_utilization_pct"),
-        F.max(F.when(F.col("memory_total_bytes") != 0, F.col("memory_used_bytes") / F.col("memory_total_bytes"))).alias("memory_pressure_peak_ratio"),
-        F.when(F.count(util) >= 2, F.max(util) - F.min(util)).otherwise(0.0).alias("utilization_instability_pct"),
-    )
     names = [c for c in by_sample.columns if c != "run_id"]
     out = by_run.join(by_sample, "run_id", "left").na.fill(0.0, names)
     return out if "scope" in out.columns else out.withColumn("scope", F.lit(scope))
 
 
+def run_summary(steps: DataFrame, samples: DataFrame, scope: str = "run") -> DataFrame:
+    """One row per run that has steps, and per scope if steps have one; samples count run-wide whatever steps are given."""
+    return summarise_runs(steps, merge_samples(partial_samples(samples)), scope)
+
+
 def worst_steps(steps: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` steps of each run and stall label with the largest positive share; ties by step_id."""
     done = steps.where("status = 'ok' and step_wall_time_ns > 0")

@@ -1,83 +1,17 @@
-"""Structured Streaming versions of the core reductions. Late rows fall behind the watermark; the batch job is authoritative."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gaugefleet.functions import number
-
-STREAM_SCHEMA = "run_id long, event_id string, ts timestamp, event_type string, step_id long, span_id string, duration_ns long, payload map<string,string>"
-
-
-def stream_ingest(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Good rows of a tailed trace, once per event_id within the watermark."""
-    return events.where("event_type is not null and event_id is not null").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def stream_step_metrics(events: DataFrame, delay: str = "10 minutes", span: str = "1 hour") -> DataFrame:
-    """Sums and maxima of each step in each span of event time, with the span's start (append mode).
-
-    The span bounds the state: a step's row leaves it when the watermark has passed the span. A step
-    across two spans has a row in each; sums add up and maxima combine downstream.
-    """
-    kind, p, d = F.col("event_type"), F.col("payload"), F.col("duration_ns")
-    total = lambda when: F.coalesce(F.sum(F.when(when, d)), F.lit(0)).alias
-    grouped = events.withWatermark("ts", delay).where("step_id is not null").groupBy("run_id", "step_id", F.window("ts", span)).agg(
-        total((kind == "dataloader_span") & (p["stage"] == "next"))("dataloader_wait_time_ns"), total((kind == "memcpy_span") & (p["copy_kind"] == "h2d"))("h2d_copy_time_ns"), total(kind == "sync_wait")("sync_wait_time_ns"),
-        F.coalesce(F.max(F.when(kind == "step_end", d)), F.lit(0)).alias("step_wall_time_ns"),
-    )
-    return grouped.withColumn("start", F.col("window.start")).drop("window")
-
-
-def stream_gpu_windows(samples: DataFrame, width: str = "10 seconds", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Per device window: mean and spread of utilisation, and peak memory share (append mode)."""
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    util = F.col("utilization_gpu_pct")
-    grouped = samples.withWatermark("ts", delay).groupBy("run_id", span)
-    out = grouped.agg(F.count("*").alias("n"), F.avg(util).alias("avg_util"), (F.max(util) - F.min(util)).alias("spread"), F.max(F.col("memory_used_bytes") / F.nullif(F.col("memory_total_bytes"), F.lit(0))).alias("memory_ratio"))
-    return out.select("run_id", F.col("window.start").alias("start"), "n", "avg_util", "spread", "memory_ratio")
-
-
-def stream_run_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """A run is a session of events; a gap closes it (append mode)."""
-    s = events.withWatermark("ts", delay).groupBy("run_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
-    return s.select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
-
-
-def stream_span_pairing(events: DataFrame, delay: str = "10 minutes", span: str = "1 hour") -> DataFrame:
-    """A begin marker has no duration, the end marker has it: the closed span is their maximum (append mode).
-
-    Markers of a span are paired within a span of event time. When the watermark has passed it, what was
-    never closed comes out too, with ``closed`` false, and leaves the state.
-    """
-    e = events.where("span_id is not null").withWatermark("ts", delay)
-    out = e.groupBy("run_id", "span_id", F.window("ts", span)).agg(F.max("duration_ns").alias("duration_ns"), F.count("*").alias("markers"))
-    return out.select("run_id", "span_id", "duration_ns", "markers", (F.coalesce("duration_ns", F.lit(0)) > 0).alias("closed"))
-
-
-def stream_health_alerts(samples: DataFrame) -> DataFrame:
-    """Memory at 90 % and temperature at 85 degrees, as they arrive."""
-    ratio = F.col("memory_used_bytes") / F.nullif(F.col("memory_total_bytes"), F.lit(0))
-    alerts = F.array(F.when(ratio >= 0.9, F.lit("memory_pressure")), F.when(F.col("temperature_c") >= 85, F.lit("thermal_pressure")))
-    return samples.select("run_id", "ts", F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("label"))
-
-
-def numbers(events: DataFrame, *fields: str) -> DataFrame:
-    """Payload fields of sample events as typed columns."""
-    return events.select("run_id", "ts", *[number(F.col("payload")[f]).alias(f) for f in fields])
-
-
-def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over what is there now into Parquet under ``path``.
-
-    Each batch has a folder of its own, which a repeated batch rewrites, so a restart doubles no row;
-    in complete mode the last batch is the result.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
-
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out").select(*df.columns)
+"""Structured Streaming versions of the core reductions.
+
+What only adds up (steps, run sessions) is reduced per micro-batch to mergeable partial rows, which are merged
+when read: no state, no window edges, and late events count. What must be told at once or expire (spans,
+device windows, repeated events) keeps state behind a watermark; rows later than that are dropped, and the batch job
+is authoritative.
+"""
+
+from gaugefleet.streaming.ingest import STREAM_SCHEMA, ingest_traces, numbers, stream_health_alerts, stream_ingest, stream_trace
+from gaugefleet.streaming.partials import collect_partials, open_and_closed_sessions, run_sessions, step_metrics_so_far
+from gaugefleet.streaming.run import run_to_table, written_batches
+from gaugefleet.streaming.spans import stream_gpu_windows, stream_span_pairing
+
+__all__ = [
+    "STREAM_SCHEMA", "collect_partials", "ingest_traces", "numbers", "open_and_closed_sessions", "run_sessions", "run_to_table", "step_metrics_so_far", "stream_gpu_windows", "stream_health_alerts",
+    "stream_ingest", "stream_span_pairing", "stream_trace", "written_batches",
+]
