@@ -65,9 +65,9 @@ def diagnose_run(ranked: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def steady_vs_run(diagnoses: DataFrame) -> DataFrame:
-    """Primary labels of both scopes of a run and whether they differ."""
-    side = lambda s, name: diagnoses.where(F.col("scope") == s).select("run_id", F.col("primary_bottleneck").alias(name))
-    both = side("run", "run_primary").join(side("steady", "steady_primary"), "run_id", "left")
+    """The primary bottleneck of each run in both scopes, and whether steady state changes it."""
+    of = lambda scope: F.max(F.when(F.col("scope") == scope, F.col("primary_bottleneck")))
+    both = diagnoses.groupBy("run_id").agg(of("run").alias("run_primary"), of("steady").alias("steady_primary"))
     return both.withColumn("diagnosis_changed", ~F.col("run_primary").eqNullSafe(F.col("steady_primary")))
 
 

@@ -14,19 +14,28 @@ DIRECTIONS = {
 }
 
 
-def bottleneck_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(pair_id, label) with both scores and status: resolved, new, improved (drop over 0.02) or persistent."""
-    a = before.select("pair_id", "label", F.col("score").alias("score_before"))
-    b = after.select("pair_id", "label", F.col("score").alias("score_after"))
+def _on(side: str, value: str) -> Column:
+    """The value of a group's row on one side, null if there is none."""
+    return F.max(F.when(F.col("side") == side, F.col(value)))
+
+
+def bottleneck_diff(labels: DataFrame) -> DataFrame:
+    """(pair_id, label) with both scores and status: resolved, new, improved (drop over 0.02) or persistent.
+
+    ``labels`` has pair_id, side (``before`` or ``after``), label and score.
+    """
+    both = labels.groupBy("pair_id", "label").agg(_on("before", "score").alias("score_before"), _on("after", "score").alias("score_after"))
     status = F.when(F.col("score_after").isNull(), "resolved").when(F.col("score_before").isNull(), "new").when(F.col("score_before") - F.col("score_after") > 0.02, "improved").otherwise("persistent")
-    return a.join(b, ["pair_id", "label"], "full_outer").withColumn("status", status)
+    return both.withColumn("status", status)
 
 
-def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(pair_id, metric, before, after, delta, direction) for metrics that both sides have."""
+def metric_deltas(sides: DataFrame) -> DataFrame:
+    """(pair_id, metric, before, after, delta, direction) for metrics that both sides of a pair have; ``sides`` has pair_id and side."""
     names = list(DIRECTIONS)
-    tall = lambda df, v: df.select("pair_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot("pair_id", names, "metric", v).where(F.col(v).isNotNull())
-    both = tall(before, "before").join(tall(after, "after"), ["pair_id", "metric"]).withColumn("delta", half_up(F.col("after") - F.col("before"), 4))
+    values = F.struct(*[F.struct(_on("before", c).cast("double").alias("before"), _on("after", c).cast("double").alias("after")).alias(c) for c in names])
+    pairs = sides.groupBy("pair_id").agg(values.alias("v"))
+    tall = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col("v")[c].alias("x")) for c in names])).alias("m"))
+    both = tall.select("pair_id", "m.metric", "m.x.before", "m.x.after").where("before is not null and after is not null").withColumn("delta", half_up(F.col("after") - F.col("before"), 4))
     better = F.create_map(*[x for k, v in DIRECTIONS.items() for x in (F.lit(k), F.lit(v))])[F.col("metric")]
     return both.withColumn("direction", F.when(F.abs("delta") < 0.001, "neutral").when((F.col("delta") > 0) == better, "improved").otherwise("regressed"))
 
@@ -36,9 +45,9 @@ def headline_metric(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("pair_id").agg(F.max_by("metric", F.struct(F.abs("delta"), F.col("metric"))).alias("metric"), F.max(F.abs("delta")).alias("abs_delta"))
 
 
-def kernel_diff_verdict(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFrame:
-    """Outcome of each pair by kernel time (ratio 1.05 and 0.95), else by labels; both are kept."""
-    t = before.select("pair_id", F.col("total_kernel_duration_us").alias("t0")).join(after.select("pair_id", F.col("total_kernel_duration_us").alias("t1")), "pair_id")
+def kernel_diff_verdict(sides: DataFrame, diff: DataFrame) -> DataFrame:
+    """Outcome of each pair of which both sides are there, by kernel time (ratio 1.05 and 0.95), else by labels; both are kept."""
+    t = sides.groupBy("pair_id").agg(_on("before", "total_kernel_duration_us").alias("t0"), _on("after", "total_kernel_duration_us").alias("t1"), F.countDistinct("side").alias("n_sides")).where("n_sides = 2")
     ratio = F.when((F.col("t0") > 0) & (F.col("t1") > 0), half_up(F.col("t0") / F.col("t1"), 4))
     by_time = F.when(ratio >= 1.05, "improved").when(ratio <= 0.95, "regressed").when(ratio.isNotNull(), "neutral")
     n = diff.groupBy("pair_id").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("resolved", "new", "improved")])

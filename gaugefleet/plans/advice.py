@@ -2,78 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugefleet.operators import classify as C
 from gaugefleet.operators import kernels as K
 from gaugefleet.operators import recommend as R
 from gaugefleet.plans import profiling as P
 from gaugefleet.plans import telemetry as T
+from gaugefleet.plans.shared import BOTH, KERNEL_RUNS, Shared
 from gaugefleet.plans.telemetry import _r, _rounded
 
-KERNEL_RUNS = 1000  # added to the ids of profiled runs, so that both kinds of runs stand in one table
-
-
-def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labels and signals of telemetry runs and of profiled runs."""
-    runs, kernels = T._runs(spark, d), P.profiled_runs(spark, d)
-    shifted = lambda df: df.withColumn("run_id", F.col("run_id") + KERNEL_RUNS)
-    labels = C.classify_run(runs).select("run_id", "label", "score").unionByName(shifted(K.classify_kernels_run(kernels)).select("run_id", "label", "score"))
-    signals = C.extract_signals(runs).select("run_id", "signals", "numbers", "input_frac", "h2d_frac")
-    return labels, signals.unionByName(shifted(K.extract_kernel_signals(kernels)), allowMissingColumns=True)
-
-
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    return R.rule_match_join(*_inputs(spark, d))
-
-
-def _ordered(spark: SparkSession, d: str) -> DataFrame:
-    return R.dedupe_and_order_recs(R.score_recommendations(R.catalog_join(R.best_rule_per_rec(_matched(spark, d)))))
-
-
 def q_rule_match_join(spark, d):
-    return _matched(spark, d).select("run_id", "label", "rule", "boost")
+    return Shared(spark, d).matched(*BOTH).select("run_id", "label", "rule", "boost")
 
 
 def q_best_rule_per_rec(spark, d):
-    return _rounded(R.best_rule_per_rec(_matched(spark, d)))
+    return _rounded(R.best_rule_per_rec(Shared(spark, d).matched(*BOTH)))
 
 
 def q_catalog_join(spark, d):
-    return R.catalog_join(R.best_rule_per_rec(_matched(spark, d))).select("run_id", "rec", "title", "category", "impact", "effort", "safety")
+    return R.catalog_join(R.best_rule_per_rec(Shared(spark, d).matched(*BOTH))).select("run_id", "rec", "title", "category", "impact", "effort", "safety")
 
 
 def q_score_recommendations(spark, d):
-    return R.score_recommendations(R.catalog_join(R.best_rule_per_rec(_matched(spark, d)))).select("run_id", "rec", "rec_score", "priority", "tier")
+    return Shared(spark, d).scored(*BOTH).select("run_id", "rec", "rec_score", "priority", "tier")
 
 
 def q_dedupe_and_order_recs(spark, d):
-    return _ordered(spark, d).select("run_id", "rec", "rec_score", F.col("place").cast("long").alias("place"))
+    return R.dedupe_and_order_recs(Shared(spark, d).scored(*BOTH)).select("run_id", "rec", "rec_score", F.col("place").cast("long").alias("place"))
 
 
 def q_recommendation_bundles(spark, d):
-    return R.recommendation_bundles(_ordered(spark, d)).withColumn("recs", F.array_join("recs", ","))
+    return R.recommendation_bundles(Shared(spark, d).recommendations(*BOTH)).withColumn("recs", F.array_join("recs", ","))
 
 
 def q_withheld_recs(spark, d):
-    labels, signals = _inputs(spark, d)
-    return R.withheld_recs(labels, signals, _ordered(spark, d))
+    shared = Shared(spark, d)
+    return R.withheld_recs(*shared.inputs(*BOTH), shared.recommendations(*BOTH))
 
 
 def q_extract_kernel_signals(spark, d):
     df = K.extract_kernel_signals(P.profiled_runs(spark, d))
-    true = F.concat_ws(",", F.filter(F.transform(F.map_entries("signals"), lambda e: F.when(e["value"] == "true", e["key"]).when(~e["value"].isin("true", "false"), F.concat(e["key"], F.lit("="), e["value"]))), lambda x: x.isNotNull()))
-    return _rounded(df.select("run_id", F.array_join(F.array_sort(F.split(true, ",")), ",").alias("signals"), *[F.col("numbers")[k].alias(k) for k in _NUMBERS]))
+    true = F.transform(F.map_entries("signals"), lambda e: F.when(e["value"] == "true", e["key"]).when(~e["value"].isin("true", "false"), F.concat(e["key"], F.lit("="), e["value"])))
+    names = F.array_join(F.array_sort(F.array_compact(true)), ",")
+    return _rounded(df.select("run_id", names.alias("signals"), *[F.col("numbers")[k].alias(k) for k in _NUMBERS]))
 
 
 def q_validation_steps_join(spark, d):
-    steps = R.validation_steps_join(_ordered(spark, d), _inputs(spark, d)[1])
+    shared = Shared(spark, d)
+    steps = R.validation_steps_join(shared.recommendations(*BOTH), shared.inputs(*BOTH)[1])
     return _rounded(steps.select("run_id", "rec", F.col("step").cast("long").alias("step"), "metric", "direction", "threshold_good", "current_value"))
 
 
 def q_top_recommendation(spark, d):
-    return R.top_recommendation(_ordered(spark, d))
+    return R.top_recommendation(Shared(spark, d).recommendations(*BOTH))
 
 
 _NUMBERS = ("dram_throughput_pct", "l1_cache_hit_rate_pct", "issue_slot_utilization_pct", "avg_barrier_stall_pct", "avg_math_throttle_stall_pct", "avg_registers_per_thread", "mfu_pct", "arithmetic_intensity")

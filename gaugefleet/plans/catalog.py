@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gaugefleet.plans import advice, checks, experiments, files, live, model, profiling, telemetry, texts, versions
+from gaugefleet.plans import advice, checks, experiments, files, live, model, pairs, profiling, telemetry, texts, versions
 
-_MODULES = (telemetry, profiling, experiments, advice, live, checks, texts, versions, model, files)
+_MODULES = (telemetry, profiling, pairs, experiments, advice, live, checks, texts, versions, model, files)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -19,6 +19,7 @@ from gaugefleet.operators import trials as TR
 from gaugefleet.plans import advice as A
 from gaugefleet.plans import profiling as P
 from gaugefleet.plans import telemetry as T
+from gaugefleet.plans.shared import KERNEL_RUNS, Shared
 from gaugefleet.plans.telemetry import _r, _rounded
 from gaugefleet.plans.views import SQL, gpu_samples, table, telemetry_events
 
@@ -164,18 +165,21 @@ def q_quality_aggregate(spark, d):
 
 
 def q_run_brief(spark, d):
-    runs = T._both(spark, d)
-    labels = C.classify_run(runs)
-    brief = B.run_brief(C.diagnose_run(C.rank_bottlenecks(labels), runs), runs, labels, A._ordered(spark, d).where(F.col("run_id") < A.KERNEL_RUNS))
+    shared = Shared(spark, d)
+    runs, recommendations = shared.both(), shared.recommendations("telemetry")
+    labels = shared.table("labels", lambda: C.classify_run(runs))
+    diagnoses = shared.table("diagnoses", lambda: C.diagnose_run(C.rank_bottlenecks(labels), runs))
+    brief = B.run_brief(diagnoses, runs, labels, recommendations)
     return _rounded(brief.withColumns({c: F.array_join(c, ",") for c in ("top_recommendations", "missing_data")}))
 
 
 def q_kernel_brief(spark, d):
-    runs = P.profiled_runs(spark, d)
-    layer = E.kernel_layer(K.extract_kernel_signals(runs))
-    recs = A._ordered(spark, d).where(F.col("run_id") >= A.KERNEL_RUNS).withColumn("run_id", F.col("run_id") - A.KERNEL_RUNS)
-    best = K.kernel_opportunity(K.roofline(K.runtime_share(P._profiled(spark, d))))
-    brief = B.kernel_brief(runs, K.classify_kernels_run(runs), E.primary_reconciled(E.reconcile_layers(layer)), best, recs)
+    shared = Shared(spark, d)
+    runs, signals = shared.kernel_runs(), shared.signals("kernel")
+    primary = shared.table("primary", lambda: E.primary_reconciled(E.reconcile_layers(E.kernel_layer(signals))))
+    recommendations = shared.recommendations("kernel").withColumn("run_id", F.col("run_id") - KERNEL_RUNS)
+    best = shared.table("opportunities", lambda: K.kernel_opportunity(K.roofline(K.runtime_share(shared.kernels()))))
+    brief = B.kernel_brief(runs, K.classify_kernels_run(runs), primary, best, recommendations)
     return _rounded(brief.withColumns({c: F.array_join(c, ",") for c in ("top_kernels", "top_recommendations")}))
 
 

@@ -53,22 +53,19 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 def profiled_runs(spark: SparkSession, d: str) -> DataFrame:
     """Run summaries with the device's profile and the roofline over the run's means."""
-    runs = _devices(_summary(spark, d))
+    return with_roofline(_summary(spark, d))
+
+
+def with_roofline(summary: DataFrame) -> DataFrame:
+    runs = _devices(summary)
     models = K.gpu_alias_match(runs.select("device").distinct())
     profiled = K.arch_profile_join(runs.join(F.broadcast(models), "device", "left"))
     return K.roofline(profiled, "avg_dram_throughput_pct", "avg_tensor_core_utilization_pct", "avg_issue_slot_utilization_pct")
 
 
-def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pair = F.floor(F.col("run_id") / 2).cast("long")
-    return df.where("run_id % 2 = 0").withColumn("pair_id", pair), df.where("run_id % 2 = 1").withColumn("pair_id", pair)
-
-
-def _diff(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    summary = _summary(spark, d)
-    a, b = _sides(summary)
-    la, lb = _sides(K.classify_kernels_run(summary))
-    return a, b, D.bottleneck_diff(la, lb)
+def _sides(df: DataFrame) -> DataFrame:
+    """Runs 2n and 2n + 1 are the two sides of pair n."""
+    return df.withColumns({"pair_id": F.floor(F.col("run_id") / 2).cast("long"), "side": F.when(F.col("run_id") % 2 == 0, "before").otherwise("after")})
 
 
 def q_canonical_metric(spark, d):
@@ -138,22 +135,6 @@ def q_kernel_opportunity(spark, d):
     return _rounded(K.kernel_opportunity(K.roofline(K.runtime_share(_profiled(spark, d)))).select("run_id", "kernel_name", "opportunity_score", "opportunity", "place"))
 
 
-def q_bottleneck_diff(spark, d):
-    return _diff(spark, d)[2]
-
-
-def q_metric_deltas(spark, d):
-    return _rounded(D.metric_deltas(*_sides(_summary(spark, d))))
-
-
-def q_headline_metric(spark, d):
-    return D.headline_metric(D.metric_deltas(*_sides(_summary(spark, d))))
-
-
-def q_kernel_diff_verdict(spark, d):
-    return D.kernel_diff_verdict(*_diff(spark, d))
-
-
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
 
 _values = ", ".join(f"({i}, '{m}')" for i, (_, m) in enumerate(SLOTS))
@@ -239,11 +220,4 @@ ORACLES = {
     "runtime_share": f"{_PIVOT} SELECT run_id, kernel_name, {_r('kernel_duration_us / sum(kernel_duration_us) OVER (PARTITION BY run_id) * 100.0', 2)} AS runtime_share_pct FROM ks",
     "kernel_opportunity": f"""{_ROOF}, op AS (SELECT *, {_r("coalesce(rs_pct / 100.0, 1.0) * CASE WHEN roofline_region = 'memory_bound' THEN 1.0 WHEN mfu_pct < 20 THEN 0.85 WHEN achieved_occupancy_pct > 0 AND achieved_occupancy_pct < 30 THEN 0.7 WHEN d > 60 THEN 0.65 ELSE 0.4 END * greatest(0.0, coalesce(1.0 - least(mfu_pct, 100.0) / 100.0, 1.0 - greatest(d, i) / 100.0 * 0.7))")} AS s FROM rf)
       SELECT run_id, kernel_name, s AS opportunity_score, CASE WHEN s > CASE WHEN timed THEN 0.25 ELSE 0.55 END THEN 'high' WHEN s > CASE WHEN timed THEN 0.08 ELSE 0.25 END THEN 'medium' ELSE 'low' END AS opportunity, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, kernel_name) AS place FROM op) WHERE place <= 5""",
-    "bottleneck_diff": f"{_DIFF} SELECT * FROM bd",
-    "metric_deltas": f"{_SUMMARY}, dl AS ({_delta}) SELECT pair_id, metric, before, after, delta, CASE WHEN abs(delta) < 0.001 THEN 'neutral' WHEN (delta > 0) = up THEN 'improved' ELSE 'regressed' END AS direction FROM dl",
-    "headline_metric": f"{_SUMMARY}, dl AS ({_delta}) SELECT pair_id, metric, abs(delta) AS abs_delta FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY abs(delta) DESC, metric DESC) AS n FROM dl) WHERE n = 1",
-    "kernel_diff_verdict": f"""{_DIFF}, n AS (SELECT pair_id AS p, count(CASE WHEN status = 'resolved' THEN 1 END) AS gone, count(CASE WHEN status = 'new' THEN 1 END) AS new, count(CASE WHEN status = 'improved' THEN 1 END) AS imp FROM bd GROUP BY 1),
-      v AS (SELECT a.run_id // 2 AS pair_id, CASE WHEN a.total_kernel_duration_us > 0 AND b.total_kernel_duration_us > 0 THEN {_r('a.total_kernel_duration_us / b.total_kernel_duration_us')} END AS time_ratio FROM rs a JOIN rs b ON a.run_id // 2 = b.run_id // 2 WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1),
-      w AS (SELECT pair_id, time_ratio, CASE WHEN gone > 0 AND new = 0 THEN 'improved' WHEN new > 0 AND gone = 0 THEN 'regressed' WHEN gone > 0 AND new > 0 THEN 'mixed' WHEN imp > 0 THEN 'improved' ELSE 'neutral' END AS label_outcome FROM v LEFT JOIN n ON p = pair_id)
-      SELECT *, CASE WHEN time_ratio >= 1.05 THEN 'improved' WHEN time_ratio <= 0.95 THEN 'regressed' WHEN time_ratio IS NOT NULL THEN 'neutral' ELSE label_outcome END AS outcome FROM w""",
 }

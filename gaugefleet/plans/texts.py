@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugefleet.operators import classify as C
 from gaugefleet.operators import kernels as K
 from gaugefleet.operators import ptx as X
 from gaugefleet.operators import reconcile as E
 from gaugefleet.operators import source as S
 from gaugefleet.plans import profiling as P
 from gaugefleet.plans import telemetry as T
+from gaugefleet.plans.shared import Shared
 from gaugefleet.plans.telemetry import _r, _rounded
 from gaugefleet.plans.views import table
 
@@ -104,42 +106,62 @@ def q_source_scan_summary(spark, d):
 # --- layers ---------------------------------------------------------------------------------------
 
 
-def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Signals by layer, and labels by layer. Runs have source and compiled layers, profiles where there are some, and telemetry under 10."""
-    signals = S.source_signals(_scan(spark, d))
+def _evidence(shared: Shared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules that source texts match, their access styles, and the summary of compiled texts, by run."""
+    spark, d = shared.spark, shared.sf_dir
+    signals = shared.table("source_signals", lambda: S.source_signals(_scan(spark, d)))
     found = S.source_rule_match(signals).select("run_id", F.col("rule").alias("label"))
     styles = signals.select("run_id", F.explode("styles").alias("label"))
-    names = found.union(styles.where("label = 'strided_or_pitched'")).groupBy("run_id").agg(F.collect_set("label").alias("names"))
-    source = texts(spark, d, "cu").select("run_id").distinct().join(names, "run_id", "left").select("run_id", F.lit("source").alias("layer"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
-    ptx = X.ptx_run_summary(_ptx(spark, d))
-    compiled = X.extract_ptx_signals(ptx).select("run_id", F.lit("ptx").alias("layer"), F.map_keys(F.map_filter("signals", lambda k, v: v == "true")).alias("names"))
-    profiles = P.profiled_runs(spark, d)
-    runs = T._runs(spark, d).where("run_id < 10")
-    telemetry = T.C.classify_run(runs).select("run_id", "label")
-    held = telemetry.groupBy("run_id").agg(F.collect_set("label").alias("names"))
-    profiler = runs.select("run_id").join(held, "run_id", "left").select("run_id", F.lit("profiler").alias("layer"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
-    layers = source.unionByName(compiled).unionByName(E.kernel_layer(K.extract_kernel_signals(profiles))).unionByName(profiler)
+    return found, styles, shared.table("compiled", lambda: X.ptx_run_summary(_ptx(spark, d)))
+
+
+def _telemetry(shared: Shared) -> DataFrame:
+    """Telemetry stands beside the texts of the first ten runs."""
+    return shared.runs().where("run_id < 10")
+
+
+def _layers(shared: Shared) -> DataFrame:
+    """Signals by layer. Runs have source and compiled layers, profiles where there are some, and telemetry under 10."""
+
+    def build() -> DataFrame:
+        found, styles, compiled = _evidence(shared)
+        names = lambda df: df.groupBy("run_id").agg(F.collect_set("label").alias("names"))
+        layer = lambda runs, held, name: runs.join(held, "run_id", "left").select("run_id", F.lit(name).alias("layer"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+        source = layer(texts(shared.spark, shared.sf_dir, "cu").select("run_id").distinct(), names(found.union(styles.where("label = 'strided_or_pitched'"))), "source")
+        ptx = X.extract_ptx_signals(compiled).select("run_id", F.lit("ptx").alias("layer"), F.map_keys(F.map_filter("signals", lambda k, v: v == "true")).alias("names"))
+        profiler = layer(_telemetry(shared).select("run_id"), names(C.classify_run(_telemetry(shared))), "profiler")
+        return source.unionByName(ptx).unionByName(E.kernel_layer(shared.signals("kernel"))).unionByName(profiler)
+
+    return shared.table("layers", build)
+
+
+def _labels(shared: Shared) -> DataFrame:
+    """Labels by layer."""
+    found, _, compiled = _evidence(shared)
     of = lambda df, layer: df.select("run_id", F.lit(layer).alias("layer"), "label")
-    labels = of(found, "source").union(of(X.classify_ptx(ptx), "ptx")).union(of(K.classify_kernels_run(profiles), "ncu")).union(of(telemetry, "profiler"))
-    return layers, labels
+    return of(found, "source").union(of(X.classify_ptx(compiled), "ptx")).union(of(K.classify_kernels_run(shared.kernel_runs()), "ncu")).union(of(C.classify_run(_telemetry(shared)), "profiler"))
+
+
+def _reconciled(shared: Shared) -> DataFrame:
+    return shared.table("reconciled", lambda: E.reconcile_layers(_layers(shared)))
 
 
 def q_reconcile_layers(spark, d):
-    return _rounded(E.reconcile_layers(_layers(spark, d)[0]).withColumn("layers_confirming", F.array_join("layers_confirming", ",")))
+    return _rounded(E.reconcile_layers(_layers(Shared(spark, d))).withColumn("layers_confirming", F.array_join("layers_confirming", ",")))
 
 
 def q_missing_evidence(spark, d):
-    layers, _ = _layers(spark, d)
-    return E.missing_evidence(E.reconcile_layers(layers), layers).withColumn("metrics", F.array_join("metrics", ","))
+    shared = Shared(spark, d)
+    return E.missing_evidence(_reconciled(shared), _layers(shared)).withColumn("metrics", F.array_join("metrics", ","))
 
 
 def q_unreconciled_findings(spark, d):
-    layers, labels = _layers(spark, d)
-    return E.unreconciled_findings(labels, E.reconcile_layers(layers))
+    shared = Shared(spark, d)
+    return E.unreconciled_findings(_labels(shared), _reconciled(shared))
 
 
 def q_primary_reconciled(spark, d):
-    return E.primary_reconciled(E.reconcile_layers(_layers(spark, d)[0]))
+    return E.primary_reconciled(_reconciled(Shared(spark, d)))
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
