@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugefleet.functions import codes, half_up, shape_signature, share
 from gaugefleet.operators.kernels import canonical_metric
+from gaugefleet.operators.ranges import medians, with_previous
 
 CURRENT_VERSION = "1.0.0"
 # Event families, step types, collective names by the first fragment held, pipeline stages, launch field aliases.
@@ -153,9 +154,13 @@ def ir_step_summary(events: DataFrame) -> DataFrame:
 
 
 def ir_shape_changes(steps: DataFrame) -> DataFrame:
-    """Adds shape_changed: whether the signature differs from the run's previous one, by step id as text."""
-    earlier = Window.partitionBy("run_id").orderBy("step_id").rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("shape_changed", F.coalesce(F.col("shape_signature") != F.last("shape_signature", True).over(earlier), F.lit(False)))
+    """Adds shape_changed: whether the signature differs from the run's previous one, by step id as text.
+
+    A cell of the order is a step id without its last three characters, of those as long as the run's longest; shorter ids are cells of their own.
+    """
+    longest = steps.groupBy("run_id").agg(F.max(F.length("step_id")).alias("__longest"))
+    found = with_previous(steps.join(longest, "run_id"), ["run_id"], "step_id", F.col("shape_signature"), "__previous", F.expr("left(step_id, greatest(__longest - 3, 0))"))
+    return found.withColumn("shape_changed", F.coalesce(F.col("shape_signature") != F.col("__previous"), F.lit(False))).drop("__previous", "__longest")
 
 
 def ir_run_summary(steps: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -191,9 +196,8 @@ def ir_step_labels(steps: DataFrame, runs: DataFrame) -> DataFrame:
 def trace_kernel_stats(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Per run: kernels, kernels per step, the upper median duration and the share of kernels below 10 us. ``steps`` has run_id and n_steps."""
     kernels = events.where("lower(cat) = 'kernel' and dur_us > 0")
-    run = Window.partitionBy("run_id")
-    ranked = kernels.select("run_id", "dur_us", F.row_number().over(run.orderBy("dur_us")).alias("k"), F.count("*").over(run).alias("n"))
-    by_run = ranked.groupBy("run_id").agg(F.count("*").alias("kernels"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("dur_us"))).alias("median"), F.count_if(F.col("dur_us") < 10.0).alias("small"))
+    by_run = kernels.groupBy("run_id").agg(F.count("*").alias("kernels"), F.count_if(F.col("dur_us") < 10.0).alias("small"))
+    by_run = by_run.join(medians(kernels, ["run_id"], "dur_us", "median", upper=True), "run_id")
     both = by_run.join(steps, "run_id", "left")
     n = F.greatest(F.coalesce("n_steps", F.lit(1)), F.lit(1))
     return both.select("run_id", F.col("kernels").alias("kernel_count_total"), half_up(F.col("kernels") / n, 2).alias("kernel_count"), half_up(F.col("median"), 3).alias("median_cuda_kernel_duration_us"), half_up(F.col("small") / F.col("kernels"), 4).alias("small_kernel_fraction"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugefleet.functions import number, shape_signature, share
+from gaugefleet.operators.ranges import medians, nth, with_previous
 
 STALLS = (("input_bound", "dataloader_wait_time_ns"), ("copy_bound", "h2d_copy_time_ns"), ("sync_bound", "sync_wait_time_ns"))
 PHASES = ("forward", "backward", "optimizer")
@@ -89,28 +90,38 @@ def _keys(steps: DataFrame) -> list[str]:
     return ["run_id", "scope"] if "scope" in steps.columns else ["run_id"]
 
 
+def _done() -> Column:
+    return (F.col("status") == "ok") & (F.col("step_wall_time_ns") > 0)
+
+
+def _after_first(steps: DataFrame, n: int) -> DataFrame:
+    """Adds __steady: whether a step is completed and not among the first ``n`` completed ones of its run."""
+    if n <= 0:
+        return steps.withColumn("__steady", F.coalesce(_done(), F.lit(False)))
+    first = nth(steps.where(_done()), ["run_id"], "step_id", n, "__nth")
+    return steps.join(first, "run_id", "left").withColumn("__steady", F.coalesce(_done() & (F.col("step_id") > F.col("__nth")), F.lit(False))).drop("__nth")
+
+
 def with_scopes(steps: DataFrame, skip_first_n: int = 2) -> DataFrame:
     """Each step once for the scope run, and once more for the scope steady if it is completed and not among the first ones."""
-    done = (F.col("status") == "ok") & (F.col("step_wall_time_ns") > 0)
-    n = F.row_number().over(Window.partitionBy("run_id", done).orderBy("step_id"))
-    scopes = F.when(F.col("__done") & (F.col("__n") > skip_first_n), F.array(F.lit("run"), F.lit("steady"))).otherwise(F.array(F.lit("run")))
-    return steps.withColumns({"__done": done, "__n": n}).withColumn("scope", F.explode(scopes)).drop("__done", "__n")
+    scopes = F.when(F.col("__steady"), F.array(F.lit("run"), F.lit("steady"))).otherwise(F.array(F.lit("run")))
+    return _after_first(steps, skip_first_n).withColumn("scope", F.explode(scopes)).drop("__steady")
 
 
 def shape_changes(steps: DataFrame) -> DataFrame:
     """Adds shape_changed: whether the signature differs from the run's (and scope's) previous one that is not null."""
-    earlier = Window.partitionBy(*_keys(steps)).orderBy("step_id").rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last(F.when(F.col("shape_signature") != "", F.col("shape_signature")), True).over(earlier)
-    return steps.withColumn("shape_changed", F.coalesce((F.col("shape_signature") != "") & (F.col("shape_signature") != previous), F.lit(False)))
+    held = F.when(F.col("shape_signature") != "", F.col("shape_signature"))
+    found = with_previous(steps, _keys(steps), "step_id", held, "__previous")
+    return found.withColumn("shape_changed", F.coalesce((F.col("shape_signature") != "") & (F.col("shape_signature") != F.col("__previous")), F.lit(False))).drop("__previous")
 
 
 def steady_state_steps(steps: DataFrame, skip_first_n: int = 2, last_k: int | None = None) -> DataFrame:
     """Completed steps of each run without the first ones, or only the last of those."""
-    order = Window.partitionBy("run_id").orderBy("step_id")
-    done = steps.where("status = 'ok' and step_wall_time_ns > 0").withColumn("__n", F.row_number().over(order)).where(F.col("__n") > skip_first_n)
+    done = _after_first(steps, skip_first_n).where("__steady").drop("__steady")
     if last_k is not None:
-        done = done.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("step_id")))).where(F.col("__n") <= last_k)
-    return done.drop("__n")
+        from_ = nth(done, ["run_id"], "step_id", last_k, "__from", last=True)
+        done = done.join(from_, "run_id", "left").where(F.col("__from").isNull() | (F.col("step_id") >= F.col("__from"))).drop("__from")
+    return done
 
 
 def dominant_stall(*totals: Column, compute: Column) -> Column:
@@ -159,14 +170,14 @@ def summarise_runs(steps: DataFrame, by_sample: DataFrame, scope: str = "run") -
         zero(F.stddev_pop(wall) / F.avg(wall)).alias("step_time_cv"),
         F.sum("profiler_windows_exported").alias("profiler_windows_exported"),
         zero(F.avg(positive("kernel_count"))).alias("kernel_count_per_step"),
-        zero(F.percentile(positive("median_cuda_kernel_duration_us"), 0.5)).alias("median_cuda_kernel_duration_us"),
         zero(F.avg(positive("small_kernel_fraction"))).alias("small_kernel_fraction"),
         F.when(signed >= 2, F.count(F.when(F.col("shape_changed"), 1)) / (signed - 1)).otherwise(0.0).alias("shape_volatility_ratio"),
         dominant_stall(*totals, compute=compute).alias("dominant_stall_type"),
         *ratios,
     )
+    middle = medians(steps.where(ok), _keys(steps), "median_cuda_kernel_duration_us", "median_cuda_kernel_duration_us")
     names = [c for c in by_sample.columns if c != "run_id"]
-    out = by_run.join(by_sample, "run_id", "left").na.fill(0.0, names)
+    out = by_run.join(middle, _keys(steps), "left").join(by_sample, "run_id", "left").na.fill(0.0, ["median_cuda_kernel_duration_us", *names])
     return out if "scope" in out.columns else out.withColumn("scope", F.lit(scope))
 
 

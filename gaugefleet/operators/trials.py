@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugefleet.functions import codes, half_up
+from gaugefleet.operators.ranges import medians
 
 # Promotion thresholds.
 MIN_SPEEDUP, MAX_MEMORY, MAX_STEP_REGRESSION, MIN_STEPS = 0.08, 0.90, 0.10, 3
 
 
 def repeat_aggregate(trials: DataFrame) -> DataFrame:
-    """Repeats of each (job, config) to one trial: medians of positive values, worst memory, fewest steps, all guards."""
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    middle = lambda c: F.coalesce(F.percentile(positive(c), 0.5), F.lit(0.0)).alias(c)
-    one = Window.partitionBy("job", "config", "dominant_stall")
-    counted = trials.withColumn("__n", F.count(F.nullif("dominant_stall", F.lit(""))).over(one))
-    return counted.groupBy("job", "config").agg(
+    """Repeats of each (job, config) to one trial: medians of positive values, worst memory, fewest steps, all guards, the most common stall."""
+    key, names = ["job", "config"], ("throughput", "gpu_util", "step_ms")
+    tall = trials.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")).select(*key, "x.metric", "x.v")
+    middle = medians(tall, [*key, "metric"], "v", "v").groupBy(*key).agg(*[F.max(F.when(F.col("metric") == c, F.col("v"))).alias(c) for c in names])
+    stalls = trials.where("dominant_stall <> ''").groupBy(*key, "dominant_stall").agg(F.count("*").alias("n"))
+    common = stalls.groupBy(*key).agg(F.min_by("dominant_stall", F.struct(-F.col("n"), F.col("dominant_stall"))).alias("dominant_stall"))
+    repeats = trials.groupBy(*key).agg(
         F.count("*").alias("repeat_count"), F.coalesce(F.min_by("exit_code", F.when(F.col("exit_code") != 0, F.col("repeat"))), F.lit(0)).cast("long").alias("exit_code"),
-        *map(middle, ("throughput", "gpu_util", "step_ms")), F.max("memory_ratio").alias("memory_ratio"), F.min("step_count").alias("step_count"), F.bool_and("passed_guards").alias("passed_guards"),
-        F.coalesce(F.stddev_samp(positive("throughput")), F.lit(0.0)).alias("throughput_stddev"),
-        F.coalesce(F.min_by("dominant_stall", F.when(F.col("__n") > 0, F.struct(-F.col("__n"), F.col("dominant_stall")))), F.lit("unknown")).alias("dominant_stall"),
+        F.max("memory_ratio").alias("memory_ratio"), F.min("step_count").alias("step_count"), F.bool_and("passed_guards").alias("passed_guards"),
+        F.coalesce(F.stddev_samp(F.when(F.col("throughput") > 0, F.col("throughput"))), F.lit(0.0)).alias("throughput_stddev"),
     )
+    out = repeats.join(middle, key, "left").join(common, key, "left").na.fill(0.0, list(names)).na.fill("unknown", ["dominant_stall"])
+    return out.select(*key, "repeat_count", "exit_code", *names, "memory_ratio", "step_count", "passed_guards", "throughput_stddev", "dominant_stall")
 
 
 def with_baseline(trials: DataFrame, baseline: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from gaugefleet.plans import experiments as X
 from gaugefleet.plans import profiling as P
 from gaugefleet.plans import telemetry as T
 from gaugefleet.plans import texts as TX
-from gaugefleet.plans.live import _folder
+from gaugefleet.plans.views import folder as _folder
 from gaugefleet.plans.telemetry import _rounded
 from gaugefleet.plans.views import SQL, gpu_samples, table, telemetry_events
 

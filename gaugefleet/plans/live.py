@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugefleet import streaming as SM
 from gaugefleet.plans.telemetry import _r, _rounded
 from gaugefleet.plans.views import SQL, table
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; on one machine without one a temporary folder, removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="gaugefleet-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from gaugefleet.plans.views import folder as _folder
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

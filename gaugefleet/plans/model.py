@@ -21,7 +21,7 @@ from gaugefleet.plans import profiling as P
 from gaugefleet.plans import telemetry as T
 from gaugefleet.plans.shared import KERNEL_RUNS, Shared
 from gaugefleet.plans.telemetry import _r, _rounded
-from gaugefleet.plans.views import SQL, gpu_samples, table, telemetry_events
+from gaugefleet.plans.views import SQL, gpu_samples, table, telemetry_events, written
 
 _FAMILY = "CASE event_type WHEN 'click' THEN 'kernel' WHEN 'view' THEN 'distributed' WHEN 'purchase' THEN 'data_pipeline' WHEN 'signup' THEN 'cpu' ELSE 'memory' END"
 _TYPE = "CASE event_type WHEN 'signup' THEN 'training_step' WHEN 'click' THEN 'cuda_kernel' WHEN 'view' THEN 'collective' ELSE 'other' END"
@@ -101,7 +101,7 @@ def q_ir_step_summary(spark, d):
 
 
 def _ir_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    steps = I.ir_step_summary(_ir(spark, d))
+    steps = written(I.ir_step_summary(_ir(spark, d)))
     return steps, I.ir_run_summary(steps, X.unpivot_nvml(gpu_samples(spark, d)))
 
 

@@ -12,9 +12,8 @@ from gaugefleet.operators import kernels as K
 from gaugefleet.operators import recommend as R
 from gaugefleet.operators import steps as S
 from gaugefleet.plans import profiling as P
-from gaugefleet.plans import telemetry as T
-from gaugefleet.plans.live import _folder
-from gaugefleet.plans.views import gpu_samples
+from gaugefleet.plans.views import folder as _folder
+from gaugefleet.plans.views import gpu_samples, telemetry_events
 
 KERNEL_RUNS = 1000  # added to the ids of profiled runs where both kinds of runs stand in one table
 
@@ -47,7 +46,7 @@ class Shared:
     # --- telemetry ---
 
     def steps(self) -> DataFrame:
-        return self.table("steps", lambda: T._steps(self.spark, self.sf_dir))
+        return self.table("steps", lambda: S.step_metrics(telemetry_events(self.spark, self.sf_dir)))
 
     def both(self) -> DataFrame:
         """Run summaries in both scopes."""

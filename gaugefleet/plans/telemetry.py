@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from gaugefleet.functions import half_up, true_flags
 from gaugefleet.operators import classify as C
 from gaugefleet.operators import steps as S
-from gaugefleet.plans.views import SQL, gpu_samples, telemetry_events
+from gaugefleet.plans.views import SQL, gpu_samples, telemetry_events, written
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    return S.step_metrics(telemetry_events(spark, d))
+    """Steps of all runs, written once: the scans, selections and sums below each read them again."""
+    return written(S.step_metrics(telemetry_events(spark, d)))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def q_step_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_steps(spark, d))
+    return _rounded(S.step_metrics(telemetry_events(spark, d)))
 
 
 def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
