@@ -153,3 +153,11 @@ def gold_score(joined: DataFrame) -> DataFrame:
     rate = lambda k: half_up(F.count_if(F.col(f"{k}_ok")) / F.nullif(F.count(f"{k}_ok"), F.lit(0)), 4).alias(f"{k}_accuracy")
     failed = sum((F.count_if(~F.col(f"{k}_ok")) for k in kinds[1:]), F.count_if(~F.col(f"{kinds[0]}_ok")))
     return joined.agg(F.count("*").alias("matched"), *map(rate, kinds), failed.alias("failures"))
+
+
+def gold_failures(joined: DataFrame) -> DataFrame:
+    """(row_key, check, expected, got) of every expectation that doesn't hold; ``joined`` comes from ``gold_join``."""
+    as_text = lambda c: F.col(c).cast("string")
+    checks = [("primary", "primary_ok", "expected_primary", "primary_diagnosis"), ("confidence_ceiling", "ceiling_ok", "confidence_ceiling", "confidence"), ("correctness_warning", "warning_ok", "expect_warning", "warning")]
+    failed = [F.when(~F.col(ok), F.struct(F.lit(name).alias("check"), as_text(want).alias("expected"), as_text(got).alias("got"))) for name, ok, want, got in checks]
+    return joined.select("row_key", F.explode(F.array_compact(F.array(*failed))).alias("f")).select("row_key", "f.*")

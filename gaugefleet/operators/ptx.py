@@ -35,7 +35,11 @@ CATEGORIES = [
 WIDE = ("f64", "b64", "u64", "s64")
 MANY_REGISTERS, VERY_MANY_REGISTERS, GLOBAL_RATIO, BRANCH_RATIO, UNSHARED_LOADS = 64, 128, 0.40, 0.15, 20
 _MOVES = ("global_loads", "global_stores", "local_loads", "local_stores")
+# What an entry, its registers and local arrays, and the head of a text look like.
 _ENTRY = re.compile(r"\.(?:visible\s+|extern\s+)?\.entry\s+(\w+)")
+_REGISTERS = r"\.reg\s+\.(\w+)\s+%\w+<(\d+)>"
+_LOCALS = r"\.local\s+\.align\s+\d+\s+\.b8\s+\w+\[(\d+)\]"
+_VERSION, _TARGET = r"\.version\s+([\d.]+)", r"\.target\s+(\w+)"
 _BRACE = re.compile(r"[{}]")
 
 
@@ -56,20 +60,20 @@ def scan_ptx_kernels(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for run_id, path, text in zip(pdf["run_id"], pdf["path"], pdf["text"], strict=True):
+                version, target = (m[1] if (m := re.search(p, text or "")) else None for p in (_VERSION, _TARGET))
                 for i, m in enumerate(_ENTRY.finditer(text or "")):
                     opening = text.find("{", m.end())
                     end = closing_brace(text, opening) if opening >= 0 else None
                     if end is not None:
-                        rows.append((run_id, path, i, m[1], text[opening + 1 : end]))
-            yield pd.DataFrame(rows, columns=["run_id", "path", "kernel_no", "kernel_name", "body"])
+                        rows.append((run_id, path, i, m[1], version, target, text[opening + 1 : end]))
+            yield pd.DataFrame(rows, columns=["run_id", "path", "kernel_no", "kernel_name", "version", "target", "body"])
 
     kind = texts.schema["run_id"].dataType.simpleString()
-    heads = texts.select("run_id", "path", "text")
-    bodies = heads.mapInPandas(run, f"run_id {kind}, path string, kernel_no int, kernel_name string, body string")
+    bodies = texts.select("run_id", "path", "text").mapInPandas(run, f"run_id {kind}, path string, kernel_no int, kernel_name string, version string, target string, body string")
     body = F.col("body")
-    kinds, counts = (F.regexp_extract_all(body, F.lit(r"\.reg\s+\.(\w+)\s+%\w+<(\d+)>"), F.lit(g)) for g in (1, 2))
+    kinds, counts = (F.regexp_extract_all(body, F.lit(_REGISTERS), F.lit(g)) for g in (1, 2))
     registers = F.zip_with(kinds, counts, lambda k, n: F.when(k == "pred", 0).when(k.isin(*WIDE), 2).otherwise(1) * n.cast("long"))
-    spills = F.regexp_extract_all(body, F.lit(r"\.local\s+\.align\s+\d+\s+\.b8\s+\w+\[(\d+)\]"), F.lit(1))
+    spills = F.regexp_extract_all(body, F.lit(_LOCALS), F.lit(1))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     return bodies.withColumns({"registers": total(registers), "local_bytes": total(F.transform(spills, lambda x: x.cast("long")))})
 

@@ -39,16 +39,12 @@ def q_read_gpu_csv(spark, d):
 
 
 def q_read_kernel_csv(spark, d):
+    """Quoted tables with a header in each file, of which the rows of a kernel stand together in their order."""
     path = _folder(spark)
-    tall = P.tall(spark, d).repartition("run_id")
-    quoted = lambda *c: F.concat_ws(",", *[F.concat(F.lit('"'), x, F.lit('"')) for x in c])
-    row = F.struct(F.lit(1).alias("k"), "seq", quoted(F.concat_ws("|", "run_id", "kernel_name"), "metric_name", F.col("value").cast("string")).alias("line"))
-    head = F.struct(F.lit(0).alias("k"), F.lit(0).cast("int").alias("seq"), F.lit('"Kernel Name","Metric Name","Metric Value"').alias("line"))
-    files = tall.withColumn("seq", F.col("seq").cast("int")).groupBy("run_id", "kernel_name").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    text = files.select("run_id", F.concat_ws("\n", F.lit("==PROF== written"), head["line"], F.transform("rows", lambda r: r["line"])).alias("value"))
-    text.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    got = SO.read_kernel_csv(spark, path).withColumnRenamed("file", "run_id")
-    got = got.withColumn("run_id", F.lit(0))
+    rows = P.tall(spark, d).repartition("run_id", "kernel_name").sortWithinPartitions("run_id", "kernel_name", "seq")
+    rows = rows.select(F.concat_ws("|", "run_id", "kernel_name").alias("Kernel Name"), F.col("metric_name").alias("Metric Name"), F.col("value").cast("string").alias("Metric Value"))
+    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    got = SO.read_kernel_csv(spark, path).withColumn("run_id", F.lit(0))
     return _rounded(K.kernel_pivot(got).select("kernel_name", "dram_throughput_pct", "kernel_duration_us", "registers_per_thread", "shared_memory_per_block_bytes", "dominant_warp_stall"))
 
 

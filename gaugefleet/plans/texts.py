@@ -46,11 +46,12 @@ def _scan(spark: SparkSession, d: str) -> DataFrame:
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     scanned = _scan(spark, d)
-    return S.source_rule_match(S.source_signals(scanned)).unionByName(S.source_rule_match(S.launch_signals(scanned.where("kind = 'launch'")), scope="launch"))
+    kernels, launches = S.source_signals(scanned), S.launch_signals(scanned.where("kind = 'launch'"))
+    return S.source_rule_match(kernels).unionByName(S.source_rule_match(launches, scope="launch")).unionByName(S.source_rule_match(S.occupancy_signals(kernels), scope="occupancy"))
 
 
 def q_scan_ptx_kernels(spark, d):
-    return X.scan_ptx_kernels(texts(spark, d, "ptx")).select("run_id", "path", F.col("kernel_no").cast("long").alias("kernel_no"), "kernel_name", "registers", "local_bytes")
+    return X.scan_ptx_kernels(texts(spark, d, "ptx")).select("run_id", "path", F.col("kernel_no").cast("long").alias("kernel_no"), "kernel_name", "version", "target", "registers", "local_bytes")
 
 
 def q_ptx_instruction_mix(spark, d):
@@ -223,7 +224,7 @@ _LAYER = f"""{_KERNEL}, {T._STEPS.removeprefix("WITH ")}, {_P}, {_C},
     ll AS (SELECT DISTINCT run_id, 'source' AS layer, rule AS label FROM fi WHERE rule NOT LIKE 'poor%' UNION ALL SELECT run_id, 'ptx', label FROM pl UNION ALL SELECT run_id, 'ncu', label FROM klab UNION ALL SELECT run_id, 'profiler', label FROM lab WHERE scope = 'run' AND run_id < 10)"""
 _metrics = {label: ",".join(sorted({m for x, _, m in E.NEEDED if x == label})) for label, *_ in E.DIAGNOSES}
 ORACLES = {
-    "scan_ptx_kernels": f"WITH {_P} SELECT run_id, 'p' || pk || '.ptx' AS path, 0::BIGINT AS kernel_no, 'k' || pk AS kernel_name, regs::BIGINT AS registers, loc::BIGINT AS local_bytes FROM px",
+    "scan_ptx_kernels": f"WITH {_P} SELECT run_id, 'p' || pk || '.ptx' AS path, 0::BIGINT AS kernel_no, 'k' || pk AS kernel_name, '8.0' AS version, 'sm_80' AS target, regs::BIGINT AS registers, loc::BIGINT AS local_bytes FROM px",
     "ptx_instruction_mix": f"WITH {_P} SELECT 'p' || pk || '.ptx' AS path, ins::BIGINT AS instructions, cb::BIGINT AS branches, cb::BIGINT AS conditional_branches, (cb > 0)::BIGINT AS loops, gl::BIGINT AS global_loads, gs::BIGINT AS global_stores, sl::BIGINT AS shared_loads, ll::BIGINT AS local_loads, (cb + 1)::BIGINT AS control_flow, f64::BIGINT AS fp64_ops, sz::BIGINT AS fp32_ops, gs::BIGINT AS fp64_memory_ops FROM px",
     "ptx_findings": f"WITH {_P} SELECT 'p' || pk || '.ptx' AS path, {_names([('register_spills_detected', 'loc > 0'), ('very_high_register_count', 'regs > 128'), ('high_register_count', 'regs > 64 AND regs <= 128'), ('fp64_detected', 'f64 > 0'), ('fp64_data_movement_detected', 'gs > 0'), ('high_global_memory_ratio', '(gl + gs) / ins > 0.4'), ('high_branch_count', 'cb / ins > 0.15'), ('no_shared_memory_usage', 'sl = 0 AND gl > 20')])} AS findings FROM px",
     "ptx_run_summary": f"WITH {_P} SELECT * EXCLUDE (t_global_loads, t_global_stores, t_fp32_ops, t_control_flow), CASE greatest(t_global_loads, t_global_stores, t_fp32_ops, t_control_flow) WHEN t_control_flow THEN 'control_flow' WHEN t_fp32_ops THEN 'fp32_ops' WHEN t_global_loads THEN 'global_loads' ELSE 'global_stores' END AS dominant_instruction_category FROM ps",

@@ -16,7 +16,8 @@ from gaugefleet.plans.views import table
 
 
 def _pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return P._sides(df)
+    sides = P._sides(df)
+    return sides.where("side = 'before'").drop("side"), sides.where("side = 'after'").drop("side")
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
@@ -147,6 +148,10 @@ def q_gold_join(spark, d):
     return V.gold_join(V.correctness_warning(eval_rows(spark, d)), _gold(spark, d)).select("row_key", "primary_ok", "ceiling_ok", "warning_ok")
 
 
+def q_gold_failures(spark, d):
+    return V.gold_failures(V.gold_join(V.correctness_warning(eval_rows(spark, d)), _gold(spark, d)))
+
+
 def q_gold_score(spark, d):
     return V.gold_score(V.gold_join(V.correctness_warning(eval_rows(spark, d)), _gold(spark, d)))
 
@@ -189,8 +194,10 @@ ORACLES = {
     "finding_diff": f"{_FD} SELECT * FROM fd",
     "feature_set_diff": f"""WITH {TX._C}, ft AS (SELECT DISTINCT run_id, f FROM (SELECT run_id, unnest([CASE WHEN loads > 0 THEN 'likely_coalesced_1d' END, CASE WHEN strided THEN 'strided_or_pitched' END, CASE WHEN sh THEN 'shared_memory_tiling' END, CASE WHEN loads = 0 AND NOT strided AND NOT sh AND accesses > 0 THEN 'indexed_global_or_local_memory' END, CASE WHEN grid THEN '1d_grid_stride_index' WHEN diverge THEN 'thread_x_indexing' END]) AS f FROM cn) WHERE f IS NOT NULL),
       fl AS (SELECT run_id, list(f) AS fs FROM ft GROUP BY run_id) SELECT a.run_id // 2 AS pair_id, coalesce(list_aggregate(list_sort(list_filter(b.fs, lambda x: NOT list_contains(a.fs, x))), 'string_agg', ','), '') AS added, coalesce(list_aggregate(list_sort(list_filter(a.fs, lambda x: NOT list_contains(b.fs, x))), 'string_agg', ','), '') AS removed FROM fl a JOIN fl b ON a.run_id // 2 = b.run_id // 2 WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1""",
-    "instruction_mix_diff": f"""WITH {TX._P}, mx AS ({" UNION ALL ".join(f"SELECT run_id, '{k}' AS category, CAST(sum({v}) AS BIGINT) AS n FROM px GROUP BY run_id HAVING sum({v}) > 0" for k, v in _CATS.items())}) SELECT coalesce(a.p, b.p) AS pair_id, coalesce(a.category, b.category) AS category, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
-      FROM (SELECT *, run_id // 2 AS p FROM mx WHERE run_id % 2 = 0) a FULL JOIN (SELECT *, run_id // 2 AS p FROM mx WHERE run_id % 2 = 1) b ON a.p = b.p AND a.category = b.category""",
+    "instruction_mix_diff": f"""WITH {TX._P}, sums AS (SELECT run_id // 2 AS p, run_id % 2 AS side, {", ".join(f"CAST(sum({x}) AS BIGINT) AS {k}" for k, x in _CATS.items())} FROM px GROUP BY ALL),
+      tall AS (UNPIVOT sums ON {", ".join(_CATS)} INTO NAME category VALUE n)
+      SELECT p AS pair_id, category, CAST(coalesce(sum(n) FILTER (side = 0), 0) AS BIGINT) AS before, CAST(coalesce(sum(n) FILTER (side = 1), 0) AS BIGINT) AS after,
+        CAST(coalesce(sum(n) FILTER (side = 1), 0) - coalesce(sum(n) FILTER (side = 0), 0) AS BIGINT) AS delta FROM tall GROUP BY ALL HAVING sum(n) > 0""",
     "numeric_bool_diff": f"{_NB} SELECT pair_id, field, {', '.join(_r(c) + f' AS {c}' for c in ('before', 'after', 'delta'))}, better, change FROM nb",
     "tradeoffs": f"""{_NB}, t AS (SELECT pair_id, max(CASE WHEN field = 'register_count' THEN better END) AS reg, max(CASE WHEN field = 'has_register_spills' THEN change END) AS spill, max(CASE WHEN field = 'avg_occupancy_pct' THEN better END) AS occ, max(CASE WHEN field = 'avg_occupancy_pct' THEN delta END) AS d FROM nb GROUP BY 1),
       u AS (SELECT *, coalesce(reg = 'b', false) OR spill = 'resolved' AS up, coalesce(reg = 'a', false) OR spill = 'introduced' AS down FROM t) SELECT pair_id, 'register_pressure_improved_but_occupancy_regressed' AS label FROM u WHERE up AND occ = 'a' UNION ALL SELECT pair_id, 'occupancy_improved_but_register_pressure_regressed' FROM u WHERE down AND occ = 'b' UNION ALL SELECT pair_id, 'large_occupancy_shift' FROM u WHERE abs(d) >= 20 AND NOT up AND NOT down""",
@@ -208,5 +215,8 @@ ORACLES = {
       {_rate("warning", "NOT correct AND NOT failed")} AS warned_silent, {_rate("warning", "correct")} AS warned_correct, {_rate("NOT (severity = 'high' AND rank >= 3)", "speedup >= 1")} AS fast_not_overclaimed, {_rate("concrete", "speedup < 1")} AS slow_explained, {_rate("rank <= 2")} AS ceiling_respected, arg_max(confidence, rank) AS max_confidence FROM rw""",
     "diagnosis_distribution": f"{_EVAL} SELECT *, row_number() OVER (ORDER BY n DESC, label) AS place FROM (SELECT coalesce(primary_diagnosis, 'none') AS label, count(*) AS n FROM er GROUP BY 1)",
     "gold_join": f"{_EVAL} SELECT * FROM go",
+    "gold_failures": f"""{_EVAL}, gf AS (SELECT go.*, primary_diagnosis, confidence, warning, failed FROM go JOIN re ON re.row_key = go.row_key)
+      SELECT row_key, 'primary' AS "check", 'inconclusive' AS expected, primary_diagnosis AS got FROM gf WHERE NOT primary_ok UNION ALL SELECT row_key, 'confidence_ceiling', 'medium', confidence FROM gf WHERE NOT ceiling_ok
+      UNION ALL SELECT row_key, 'correctness_warning', failed::VARCHAR, warning::VARCHAR FROM gf WHERE NOT warning_ok""",
     "gold_score": f"{_EVAL} SELECT count(*) AS matched, {_rate('primary_ok', 'primary_ok IS NOT NULL')} AS primary_accuracy, {_rate('ceiling_ok', 'ceiling_ok IS NOT NULL')} AS ceiling_accuracy, {_rate('warning_ok', 'warning_ok IS NOT NULL')} AS warning_accuracy, count(CASE WHEN NOT primary_ok THEN 1 END) + count(CASE WHEN NOT ceiling_ok THEN 1 END) + count(CASE WHEN NOT warning_ok THEN 1 END) AS failures FROM go",
 }

@@ -5,15 +5,16 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugefleet.sources.trace import read_chrome_trace as read_chrome_trace
+
 EVENT_SCHEMA = (
     "schema_version string, event_id string, timestamp_ns long, pid long, tid long, job_id string, run_id string, event_type string, event_source string, gpu_id int, "
     "step_id long, span_id string, parent_span_id string, duration_ns long, level string, payload map<string,string>, _corrupt string"
 )
-TRACE_SCHEMA = "traceEvents array<struct<name:string,cat:string,ph:string,ts:double,dur:double,pid:string,tid:string,args:map<string,string>>>"
 MIB = 1024 * 1024
 # Suffixes of kernel source.
 SOURCE_SUFFIXES = (".cu", ".cuh", ".cuda")
@@ -60,12 +61,6 @@ def union_sources(events: DataFrame, samples: DataFrame) -> DataFrame:
     return events.unionByName(samples.select("run_id", F.lit("gpu_sample").alias("event_type"), payload.alias("payload")), allowMissingColumns=True)
 
 
-def read_chrome_trace(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event of Chrome trace files: file, idx, name, cat, ph, ts_us, dur_us, pid, tid, args."""
-    df = spark.read.schema(TRACE_SCHEMA).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("traceEvents").alias("idx", "e"))
-    return df.select("file", "idx", *[F.coalesce(f"e.{c}", F.lit("")).alias(c) for c in ("name", "cat", "ph")], F.col("e.ts").alias("ts_us"), F.col("e.dur").alias("dur_us"), "e.pid", "e.tid", "e.args")
-
-
 def read_eval_rows(spark: SparkSession, path: str, schema: str, level: int | None = None) -> DataFrame:
     """Evaluation rows of JSON lines, of one level if asked."""
     rows = spark.read.schema(schema).json(path)
@@ -114,10 +109,14 @@ def nested_summaries(runs: DataFrame, diagnoses: DataFrame) -> DataFrame:
     return by_run.select("run_id", F.to_json(F.map_from_entries(F.transform("s", lambda x: F.struct(x["scope"], F.struct(*[x[c].alias(c) for c in names]))))).alias("summary"))
 
 
-def write_run_summary(summaries: DataFrame, path: str, by: str | None = None) -> None:
-    """Summaries as Parquet, partitioned if asked."""
-    writer = summaries.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+def write_run_summary(summaries: DataFrame, path: str, by: str | tuple[str, ...] = "run_id") -> None:
+    """Summaries as Parquet, one partition for each value of ``by``.
+
+    Partitions that ``summaries`` has rows for are replaced, all others stay: writing a run again replaces that run, and
+    writing the same twice changes nothing.
+    """
+    names = [by] if isinstance(by, str) else list(by)
+    summaries.repartition(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
 
 
 # Header names of kernel tables.
@@ -127,57 +126,41 @@ _VALUE = ("metric value", "value", "avg", "average")
 _UNIT = ("metric unit", "unit")
 
 
-def _value(text: str) -> float | None:
-    try:
-        return float(text.replace(",", "").strip())
-    except ValueError:
-        return None
-
-
-def kernel_rows(text: str) -> list[tuple[str, str, str | None, float]]:
-    """(kernel, metric, unit, value) of a profiler's table, tall or wide, without the lines that are no table.
-
-    Comment and status lines go; if any line is quoted, only quoted ones stay. In a wide table the
-    row below the header holds units, and several launches of a kernel have the mean of each metric.
-    """
-    lines = [x for x in text.removeprefix("\ufeff").splitlines() if x.strip() and not x.lstrip().startswith(("#", "=="))]
-    if any(x.lstrip().startswith('"') for x in lines):
-        lines = [x for x in lines if x.lstrip().startswith('"')]
-    rows = list(csv.reader(lines))
-    if not rows:
-        return []
-    header = [h.strip() for h in rows[0]]
-    lowered = [h.lower() for h in header]
-    at = lambda names: next((lowered.index(n) for n in names if n in lowered), None)
-    cell = lambda row, i: row[i].strip() if i is not None and i < len(row) else ""
-    kernel, metric, value, unit = at(_KERNEL), at(_METRIC), at(_VALUE), at(_UNIT)
-    if kernel is None:
-        return []
-    if metric is None and value is None:
-        units = rows[1] if len(rows) > 1 and not cell(rows[1], kernel) else None
-        sums: dict[tuple[str, int], list[float]] = {}
-        for row in rows[1:]:
-            name = cell(row, kernel)
-            for i in range(len(header)):
-                v = _value(row[i]) if name and i != kernel and i < len(row) else None
-                if v is not None:
-                    sums.setdefault((name, i), []).append(v)
-        return [(name, header[i], cell(units, i) or None if units else None, sum(v) / len(v)) for (name, i), v in sums.items()]
-    out = []
-    for row in rows[1:]:
-        v = _value(cell(row, value))
-        if v is not None and cell(row, kernel) and cell(row, metric):
-            out.append((cell(row, kernel), cell(row, metric), cell(row, unit) or None, v))
-    return out
+def _cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for lines in batches:
+        yield pa.array([[c.strip() for c in row] for row in (next(csv.reader([x]), []) for x in lines.to_pylist())], pa.list_(pa.string()))
 
 
 def read_kernel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tall kernel metrics of profiler tables: file, kernel_name, metric_name, metric_unit, value, seq (order in the file). A file is one task's work."""
+    """Tall kernel metrics of profiler tables: file, kernel_name, metric_name, metric_unit, value, seq (rises along the file).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, *r, i) for f, text in zip(pdf["file"], pdf["value"], strict=True) for i, r in enumerate(kernel_rows(text))]
-            yield pd.DataFrame(rows, columns=["file", "kernel_name", "metric_name", "metric_unit", "value", "seq"])
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.mapInPandas(run, "file string, kernel_name string, metric_name string, metric_unit string, value double, seq long")
+    Comment and status lines go; if any line of a file is quoted, only its quoted ones stay. The first line left is the header.
+    In a wide table the row below it holds units if it names no kernel, and several launches of a kernel have the mean of each metric.
+    A file is read by as many tasks as it has splits: only its header, its units and whether it is quoted are brought together.
+    A line is a row, so a cell holds no line end.
+    """
+    cells = F.arrow_udf(_cells, "array<string>")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+    lines = lines.where(F.trim("value") != "").where(~F.trim("value").rlike("^(#|==)")).withColumn("quoted", F.ltrim("value").startswith('"'))
+    first = lambda when: F.min(F.when(when, F.struct("seq", "value")))
+    heads = lines.groupBy("file").agg(F.max("quoted").alias("is_quoted"), first(F.col("quoted")).alias("a"), first(F.lit(True)).alias("b"))
+    heads = heads.select("file", "is_quoted", F.when(F.col("is_quoted"), F.col("a")).otherwise(F.col("b")).alias("head"))
+    kept = lines.join(heads, "file").where(~F.col("is_quoted") | F.col("quoted")).where(F.col("seq") > F.col("head.seq"))
+    second = kept.groupBy("file").agg(F.min(F.struct("seq", "value")).alias("second"))
+    heads = heads.join(second, "file").select("file", cells("head.value").alias("header"), F.col("second.seq").alias("second"), cells("second.value").alias("units"))
+    lowered = F.transform("header", lambda h: F.lower(h))
+    at = lambda names: F.coalesce(*[F.nullif(F.array_position(lowered, F.lit(n)), F.lit(0)) for n in names])
+    heads = heads.select("file", "header", "second", "units", at(_KERNEL).alias("k"), at(_METRIC).alias("m"), at(_VALUE).alias("v"), at(_UNIT).alias("u")).where("k is not null")
+    wide = F.col("m").isNull() & F.col("v").isNull()
+    cell = lambda row, i: F.coalesce(F.get(row, (i - 1).cast("int")), F.lit(""))
+    heads = heads.withColumns({"wide": wide, "has_units": wide & (cell(F.col("units"), F.col("k")) == "")})
+    rows = kept.select("file", "seq", cells("value").alias("row")).join(heads, "file").withColumn("kernel_name", cell(F.col("row"), F.col("k"))).where("kernel_name <> ''")
+    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+
+    tall = rows.where("NOT wide").select("file", "kernel_name", cell(F.col("row"), F.col("m")).alias("metric_name"), F.nullif(cell(F.col("row"), F.col("u")), F.lit("")).alias("metric_unit"), number(cell(F.col("row"), F.col("v"))).alias("value"), "seq")
+    tall = tall.where("metric_name <> '' and value is not null")
+    unit = F.when(F.col("has_units"), F.nullif(cell(F.col("units"), F.col("i") + 1), F.lit("")))
+    values = rows.where("wide").select("file", "seq", "kernel_name", "header", "units", "has_units", "k", F.posexplode("row").alias("i", "x"))
+    values = values.where("i <> k - 1 AND i < size(header)").select("file", "kernel_name", F.get("header", F.col("i")).alias("metric_name"), unit.alias("metric_unit"), "i", number(F.col("x")).alias("value"), "seq").where("value is not null")
+    means = values.groupBy("file", "kernel_name", "i").agg(F.any_value("metric_name").alias("metric_name"), F.any_value("metric_unit").alias("metric_unit"), F.avg("value").alias("value"), F.min("seq").alias("seq")).drop("i")
+    return tall.unionByName(means)
