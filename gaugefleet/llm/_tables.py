@@ -51,7 +51,16 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 500_000, weight: str = "1") -> DataFrame:

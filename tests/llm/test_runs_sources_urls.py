@@ -155,14 +155,26 @@ def test_source_audit(spark):
     assert {r.value for r in got if r.lang == "fr"} == {0}
 
 
-def test_chunks_are_counted_in_blocks(spark):
-    """More than 64 documents of a source, and more chunks than are held open, still count every document once."""
-    rows = [("en", "a", f"Same, same d{i}") for i in range(150)] + [("en", "b", "same")]
+def test_chunks_are_counted_in_parts(spark):
+    """Every document counts once for a term, whatever chunks hold it and wherever parts end."""
+    rows = [("en", "a", f"Same, same d{i}") for i in range(150)] + [("en", "b", "same same.")]
     docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
-    counted = SA.count_chunks(docs)
-    assert counted.where("source = 'a'").select("block").distinct().count() == 3 and counted.where("chunk = 'Same,'").count() == 3
-    got = {(r.source, r.term): (r.docs, r.n) for r in SA.term_counts(docs).collect()}
-    assert got[("a", "same")] == (150, 300) and got[("b", "same")] == (1, 1) and got[("a", "d")] == (150, 150)
+    want = {("a", "same"): (150, 300), ("b", "same"): (1, 2), ("a", "d"): (150, 150)}
+    for held, spread in ((SA._HELD, SA._SPREAD), (40, 7)):
+        counted = SA.count_chunks(docs, held)
+        assert (counted.select("part").distinct().count() > 1) == (held == 40)
+        assert counted.where("chunk is null").count() == counted.select("part").distinct().count() + 1
+        assert {(r.source, r.term): (r.docs, r.n) for r in SA.term_counts(counted, 1, spread).collect()} == want
+
+
+def test_packed_lists():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        lists = [np.sort(rng.integers(0, int(top), int(n))) for n, top in zip(rng.integers(1, 30, 40), 10.0 ** rng.integers(1, 10, 40), strict=True)]
+        data, ends = SA.packed(np.concatenate(lists), np.cumsum([0, *(len(x) for x in lists[:-1])]))
+        docs, n = SA.unpacked(data, ends)
+        assert docs.tolist() == np.concatenate(lists).tolist() and n.tolist() == [len(x) for x in lists] and len(data) >= len(docs)
+    assert [len(x) for x in SA.unpacked(np.zeros(0, np.uint8), np.zeros(1, np.int64))] == [0, 0]
 
 
 URLS = [
