@@ -71,7 +71,6 @@ def encoder(path: str | None = None) -> Callable[[list[str]], list[bytes]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         _loaded[path] = _by_pieces(tokenizer) if _known(path) else _whole(tokenizer)
     return _loaded[path]
 
@@ -86,6 +85,16 @@ def _known(path: str) -> bool:
     return names == _NORMALIZERS and patterns[:1] == [_RULE]
 
 
+def _names_special(tokenizer) -> Callable[[str], bool]:
+    """Whether a text may name one of the tokenizer's added tokens, in any case."""
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if not names:
+        return lambda text: False
+    start, any_name = os.path.commonprefix(names), re.compile("|".join(map(re.escape, names)), re.I)
+    start = start if start == start.lower() == start.upper() else ""
+    return lambda text: start in text and any_name.search(text) is not None
+
+
 def _whole(tokenizer) -> Callable[[list[str]], list[bytes]]:
     return lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -124,9 +133,9 @@ class _Ids(dict):
 def _by_pieces(tokenizer) -> Callable[[list[str]], list[bytes]]:
     """White space ends every token, so a text is the concatenation of its pieces; each is merged once and remembered.
 
-    Other texts are cut at blanks and newlines, and chunks that aren't plain go to the tokenizer.
+    Other texts are cut at blanks and newlines, and chunks that aren't plain go to the tokenizer; texts that name a special token go there whole.
     """
-    ids = _Ids(tokenizer.model.tokenize)
+    ids, special, whole = _Ids(tokenizer.model.tokenize), _names_special(tokenizer), _whole(tokenizer)
     of = ids.__getitem__
 
     def plain(text: str) -> bytes:
@@ -136,7 +145,9 @@ def _by_pieces(tokenizer) -> Callable[[list[str]], list[bytes]]:
         odd: dict[int, list[str]] = {}
         out = []
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t):
+            if special(t):
+                out += whole([t])
+            elif _PLAIN.fullmatch(t):
                 out.append(plain(t))
             else:
                 odd[i] = t.replace("\n", " ").split(" ")

@@ -124,7 +124,6 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PK.tokenizer_file())
-    t.encode_special_tokens = True
     texts = [x for _, x in corpus() if x] + ["It's 1,234.5!!\ttab\r\nnew\x0bline a b İstanbul ΣΣ <|endoftext|> don't"]
     got = [np.frombuffer(b, "<u4").tolist() for b in PK.encoder()(texts)]
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]

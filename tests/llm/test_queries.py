@@ -39,7 +39,6 @@ def test_pack_holds_every_document(spark, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PK.tokenizer_file())
-    t.encode_special_tokens = True
     expected = Counter()
     for doc, text in documents.items():
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -54,6 +53,14 @@ def test_pack_holds_every_document(spark, documents):
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
 
 
+def test_special_tokens_are_what_the_tokenizer_makes_of_them():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(PK.tokenizer_file()), PK.encoder()
+    texts = ["hello <|endoftext|> x", "<|startoftext|>a b<|endoftext|>", "a<|ENDOFTEXT|>é 漢字 \n\t<|endoftext|", "<|", "x" * 100_000 + "<|endoftext|>", ""]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_quality_rule_columns(spark, documents):
     for r in Q.queries()["op3_quality_rules"](spark, str(DATA)).collect():
         text = documents[r.doc_id]
