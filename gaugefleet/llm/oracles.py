@@ -41,7 +41,8 @@ NEAR_DUPLICATES = rf"""
 WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format(c="text")}, '{_SPACED}') AS w FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [{_joined("w")}] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM dw),
   u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-  pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY
+      a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
   e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
   c AS (SELECT DISTINCT doc_id AS v, doc_id AS r FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.v),
   m AS (SELECT v, min(r) AS component_id FROM c GROUP BY v)
@@ -50,7 +51,8 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_i
 #: Digests of the pages themselves, without any archive between.
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + (i // 4) * 5,
+      5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM g"""
 
 #: Groups against their language, all sums in whole numbers.
@@ -65,7 +67,8 @@ WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coale
   p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (n.n + 2 * v.v) AS p, 1 + (1000000000 * (k.c::HUGEINT + 2)) // (v.n + 2 * v.v) AS q
     FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
   s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
-  f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
     UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
 SELECT * FROM (SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM f) WHERE part = 'pair' OR rank <= 10
 """
@@ -73,7 +76,8 @@ SELECT * FROM (SELECT lang, source, part, item, value, (row_number() OVER (PARTI
 #: Rules as rows, the longest that fits by a plain join; sites by the labels of the host.
 URL_FILTER = r"""
 WITH r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-  u AS (SELECT page_id, row_number() OVER () AS i, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  u AS (SELECT page_id, row_number() OVER () AS i, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
   f AS (SELECT i, max_by(h || p, len(h || p)) AS rule, max_by(v, len(h || p)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY i)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f USING (i)

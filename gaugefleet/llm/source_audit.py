@@ -68,12 +68,20 @@ def unpacked(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _COUNTED = pa.schema([("part", pa.int64()), ("chunk", pa.binary()), ("docs", pa.binary()), ("n_docs", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("number", pa.int32())])
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class _Part:
     """Documents of a part as they are read: the number of each chunk, and for each time that a document holds one the pair of both numbers."""
 
     def __init__(self, most: int) -> None:
         self.most = most
-        self.chunks: dict[bytes, int] = {}
+        self.chunks = _Numbers()
         self.groups: dict[tuple[str, str], list[int]] = {}
         self.held, self.n, self.size, self.full = [], 0, 0, False
 
@@ -83,7 +91,7 @@ class _Part:
             return
         chunks = self.chunks
         group = self.groups.setdefault((lang, source), [len(self.groups), 0])
-        numbers = np.fromiter([chunks.setdefault(w, len(chunks)) for w in words], np.int64, len(words))
+        numbers = np.fromiter(map(chunks.__getitem__, words), np.int64, len(words))
         self.held.append(numbers << 32 | group[0] << 16 | group[1])
         group[1] += 1
         self.n, self.size = self.n + len(words), self.size + len(text)
