@@ -82,7 +82,8 @@ _KERNEL_SIGNALS = [
 ]
 # The steps of profiled runs first: their tables come with the names of profiling.py.
 _KERNEL = f"""{P._CLASSES.replace(", lab AS", ", klab AS")}, {P._ARCH},
-    kr0 AS (SELECT rs.*, ar.*, coalesce(avg_dram_throughput_pct, 0.0) AS d, coalesce(avg_tensor_core_utilization_pct, 0.0) AS t, coalesce(avg_issue_slot_utilization_pct, 0.0) AS i FROM rs JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')),
+    kr0 AS (SELECT rs.*, ar.*, coalesce(avg_dram_throughput_pct, 0.0) AS d, coalesce(avg_tensor_core_utilization_pct, 0.0) AS t, coalesce(avg_issue_slot_utilization_pct,
+      0.0) AS i FROM rs JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')),
     kr1 AS (SELECT *, d <> 0 OR t <> 0 OR i <> 0 AS known, CASE WHEN t > 5 THEN fp16 ELSE fp32 END AS peak, CASE WHEN t > 5 THEN t * fp16 ELSE i * fp32 END / 100.0 AS tf, d / 100.0 * bw AS abw FROM kr0),
     kr2 AS (SELECT *, CASE WHEN known AND abw > 0 THEN {_r("tf / abw * 1000.0")} END AS arithmetic_intensity, CASE WHEN known THEN {_r("tf / fp32 * 100.0", 2)} END AS mfu_pct FROM kr1),
     kr3 AS (SELECT *, CASE WHEN known THEN CASE WHEN arithmetic_intensity < peak / bw * 1000.0 THEN 'memory_bound' ELSE 'compute_bound' END END AS roofline_region FROM kr2),
@@ -98,11 +99,14 @@ _SQL = f"""{_KERNEL}, {T._STEPS.removeprefix("WITH ")}, so AS (SELECT *, {T._ove
     mid AS (SELECT *, coalesce((smin + smax) / 2, CASE impact WHEN 'high' THEN 17.5 WHEN 'low' THEN 3.0 ELSE 8.5 END) AS pct FROM ca),
     s0 AS (SELECT *, CASE WHEN pct < 2 THEN 0.1 WHEN pct < 5 THEN 0.25 WHEN pct < 10 THEN 0.45 WHEN pct < 20 THEN 0.7 WHEN pct < 35 THEN 0.9 ELSE 1.0 END::DOUBLE AS sp,
       CASE effort WHEN 'config' THEN 1.0 WHEN 'low' THEN 0.9 WHEN 'high' THEN 0.2 WHEN 'custom_cuda' THEN 0.1 ELSE 0.55 END::DOUBLE AS ea, CASE safety WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.2 ELSE 0.55 END::DOUBLE AS sa FROM mid),
-    sc AS (SELECT *, {_r(f"least(1.0, (0.30 * sp + 0.20 * score + 0.20 * {_r('0.6 * sp + 0.14')} + 0.15 * ea + 0.15 * sa + least(boost, 0.2)) * CASE WHEN score < 0.4 THEN 0.75 ELSE 1.0 END * CASE WHEN sa < 0.4 AND sp < 0.7 THEN 0.85 ELSE 1.0 END)")} AS rec_score FROM s0),
+    sc AS (SELECT *, {_r(f"least(1.0, (0.30 * sp + 0.20 * score + 0.20 * {_r('0.6 * sp + 0.14')} + 0.15 * ea + 0.15 * sa + least(boost, 0.2)) * CASE WHEN score < 0.4 THEN 0.75 ELSE 1.0 END * CASE WHEN sa < 0.4 AND sp < 0.7 THEN 0.85 ELSE 1.0 END)")}
+      AS rec_score FROM s0),
     pr AS (SELECT *, CASE WHEN rec_score >= 0.75 THEN 'high' WHEN rec_score >= 0.5 THEN 'medium' ELSE 'low' END AS priority FROM sc),
     de AS (SELECT * FROM pr WHERE NOT (rec = 'rec_input_pinned_memory' AND run_id IN (SELECT run_id FROM sc WHERE rec = 'rec_copy_pinned_memory'))),
     af(arec, need) AS (VALUES ('rec_launch_cuda_graphs', 'rec_launch_torch_compile'), ('rec_launch_fuse_ops', 'rec_launch_torch_compile'), ('rec_shape_disable_dynamic', 'rec_shape_bucket_inputs')),
-    od AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rec_score DESC, rec) AS place FROM (SELECT a.run_id, a.rec, a.title, a.priority, a.category, CASE WHEN a.rec_score >= b.rec_score THEN {_r("greatest(0.0, b.rec_score - 0.0001)")} ELSE a.rec_score END AS rec_score FROM de a LEFT JOIN af ON arec = a.rec LEFT JOIN de b ON b.run_id = a.run_id AND b.rec = need))"""
+    od AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rec_score DESC, rec) AS place FROM (SELECT a.run_id, a.rec, a.title, a.priority, a.category, CASE
+      WHEN a.rec_score >= b.rec_score THEN {_r("greatest(0.0, b.rec_score - 0.0001)")} ELSE a.rec_score END AS rec_score FROM de a LEFT JOIN af ON arec = a.rec LEFT JOIN de b
+      ON b.run_id = a.run_id AND b.rec = need))"""
 _VALUE = {
     "l1tex__t_sectors_pipe_lsu_mem_global_op_ld.sum_per_request": "avg_global_load_sectors_per_request", "dram__throughput.avg.pct_of_peak_sustained_elapsed": "coalesce(avg_dram_throughput_pct, 0.0)", "sm__pipe_tensor_cycles_active.avg.pct_of_peak_sustained_active": "coalesce(avg_tensor_core_utilization_pct, 0.0)",
     "smsp__warp_issue_stalled_barrier_per_warp_active.pct": "barrier_mean", "sm__issue_active.avg.pct_of_peak_sustained_active": "coalesce(avg_issue_slot_utilization_pct, 0.0)", "sm__warps_active.avg.pct_of_peak_sustained_active": "coalesce(avg_occupancy_pct, 0.0)", "l1tex__t_sector_hit_rate.pct": "avg_l1_cache_hit_rate_pct",
@@ -116,8 +120,13 @@ ORACLES = {
     "dedupe_and_order_recs": f"{_SQL} SELECT run_id, rec, rec_score, place FROM od",
     "recommendation_bundles": f"{_SQL} SELECT run_id, category, string_agg(rec, ',' ORDER BY place) AS recs FROM od GROUP BY ALL HAVING count(*) >= 2",
     "withheld_recs": f"{_SQL} SELECT run_id, input_frac, h2d_frac, 'rec_input_pinned_memory' AS rec, 'h2d_copy_low' AS blocked_by FROM labels JOIN sg ON rid = run_id WHERE label = 'input_bound' AND list_has_all(sig, ['input_pipeline_stalled=true', 'h2d_copy_low=true']) AND run_id NOT IN (SELECT run_id FROM od WHERE rec IN ('rec_input_pinned_memory', 'rec_copy_pinned_memory'))",
-    "extract_kernel_signals": f"""{_KERNEL} SELECT run_id, list_aggregate(list_sort(list_filter(list_transform(sig, lambda x: CASE WHEN x LIKE '%=true' THEN replace(x, '=true', '') WHEN x LIKE '%=false' THEN NULL ELSE x END), lambda x: x IS NOT NULL)), 'string_agg', ',') AS signals, coalesce(avg_dram_throughput_pct, 0.0) AS dram_throughput_pct, avg_l1_cache_hit_rate_pct AS l1_cache_hit_rate_pct,
-      coalesce(avg_issue_slot_utilization_pct, 0.0) AS issue_slot_utilization_pct, barrier_mean AS avg_barrier_stall_pct, 0.0::DOUBLE AS avg_math_throttle_stall_pct, {_r("avg_registers_per_thread", 1)} AS avg_registers_per_thread, mfu_pct, arithmetic_intensity FROM ksg""",
-    "validation_steps_join": f"""{_SQL}, vs(vrec, step, metric, direction, threshold_good) AS (VALUES {_steps}) SELECT od.run_id, rec, step, metric, direction, threshold_good, CASE metric {" ".join(f"WHEN '{m}' THEN {v}" for m, v in _VALUE.items())} END AS current_value FROM od JOIN vs ON vrec = rec LEFT JOIN ksg ON rid = od.run_id""",
+    "extract_kernel_signals": f"""{_KERNEL} SELECT run_id, list_aggregate(list_sort(list_filter(list_transform(sig, lambda x: CASE WHEN x LIKE '%=true' THEN replace(x,
+      '=true', '') WHEN x LIKE '%=false' THEN NULL ELSE x END), lambda x: x IS NOT NULL)), 'string_agg', ',') AS signals, coalesce(avg_dram_throughput_pct, 0.0) AS
+      dram_throughput_pct, avg_l1_cache_hit_rate_pct AS l1_cache_hit_rate_pct,
+      coalesce(avg_issue_slot_utilization_pct, 0.0) AS issue_slot_utilization_pct, barrier_mean AS avg_barrier_stall_pct, 0.0::DOUBLE AS avg_math_throttle_stall_pct,
+      {_r("avg_registers_per_thread", 1)} AS avg_registers_per_thread, mfu_pct, arithmetic_intensity FROM ksg""",
+    "validation_steps_join": f"""{_SQL}, vs(vrec, step, metric, direction, threshold_good) AS (VALUES {_steps}) SELECT od.run_id, rec, step, metric, direction,
+      threshold_good, CASE metric {" ".join(f"WHEN '{m}' THEN {v}" for m, v in _VALUE.items())} END AS current_value FROM od JOIN vs ON vrec = rec LEFT JOIN ksg ON rid =
+      od.run_id""",
     "top_recommendation": f"{_SQL} SELECT rec, title, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, title) AS p FROM (SELECT rec, title, count(DISTINCT run_id) AS n FROM od WHERE priority = 'high' GROUP BY ALL)) WHERE p = 1",
 }

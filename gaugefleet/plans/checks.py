@@ -66,15 +66,21 @@ def q_orphan_step_refs(spark, d):
 
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
 _LQ = f"""WITH l AS ({_LOSS} orders), g AS (SELECT *, CASE WHEN NOT isnan(loss) AND NOT isinf(loss) THEN loss END AS good FROM l),
-    lq AS (SELECT run_id, count(good) AS loss_count, count(CASE WHEN isnan(loss) THEN 1 END) AS nan_count, count(CASE WHEN isinf(loss) THEN 1 END) AS inf_count, arg_min(good, step_id) FILTER (good IS NOT NULL) AS initial_loss, arg_max(good, step_id) FILTER (good IS NOT NULL) AS final_loss, min(good) AS min_loss, max(good) AS max_loss FROM g GROUP BY run_id)"""
-_BT = f"""WITH b AS ({_BENCH} orders), bt AS (SELECT "binary", {_r('median(wall_ms)', 3)} AS median_ms, {_r('min(wall_ms)', 3)} AS min_ms, {_r('max(wall_ms)', 3)} AS max_ms, {_r('coalesce(stddev_samp(wall_ms), 0.0)', 3)} AS stdev_ms, {_r('median(event_us)')} AS kernel_event_us, count(*) AS runs FROM b WHERE iteration >= 2 GROUP BY "binary")"""
+    lq AS (SELECT run_id, count(good) AS loss_count, count(CASE WHEN isnan(loss) THEN 1 END) AS nan_count, count(CASE WHEN isinf(loss) THEN 1 END) AS inf_count,
+      arg_min(good, step_id) FILTER (good IS NOT NULL) AS initial_loss, arg_max(good, step_id) FILTER (good IS NOT NULL) AS final_loss, min(good) AS min_loss, max(good) AS
+      max_loss FROM g GROUP BY run_id)"""
+_BT = f"""WITH b AS ({_BENCH} orders), bt AS (SELECT "binary", {_r('median(wall_ms)', 3)} AS median_ms, {_r('min(wall_ms)', 3)} AS min_ms, {_r('max(wall_ms)', 3)} AS
+      max_ms, {_r('coalesce(stddev_samp(wall_ms), 0.0)', 3)} AS stdev_ms, {_r('median(event_us)')} AS kernel_event_us, count(*) AS runs FROM b WHERE iteration >= 2 GROUP BY
+      "binary")"""
 _EV = "SELECT user_id * 100 + event_id % 100 AS run_id, {c} AS a FROM events"
 _lack = lambda names: "concat_ws(',', " + ", ".join(f"CASE WHEN NOT list_contains(h, '{n}') THEN '{n}' END" for n in names) + ")"
 ORACLES = {
     "loss_quality": f"{_LQ} SELECT run_id, loss_count, nan_count, inf_count, {', '.join(_r(c, 6) + f' AS {c}' for c in ('initial_loss', 'final_loss', 'min_loss', 'max_loss'))}, {_r('final_loss - initial_loss', 6)} AS loss_slope FROM lq",
     "quality_gate": f"{_LQ} SELECT a.run_id // 2 AS pair_id, concat_ws(',', CASE WHEN a.nan_count > 0 THEN 'nan_loss' END, CASE WHEN a.inf_count > 0 THEN 'inf_loss' END, CASE WHEN b.final_loss > 0 AND a.final_loss > b.final_loss * 1.05 THEN 'final_loss' END, CASE WHEN a.initial_loss > 0 AND a.final_loss > a.initial_loss * 1.5 THEN 'divergence' END) AS quality_failures FROM lq a JOIN lq b ON a.run_id // 2 = b.run_id // 2 AND b.run_id % 2 = 0 WHERE a.run_id % 2 = 1",
     "bench_timing_stats": f"{_BT} SELECT * FROM bt",
-    "speedup_basis": f"""{_BT} SELECT a."binary" // 2 AS pair_id, coalesce(CASE WHEN a.kernel_event_us > 0 THEN {_r('b.kernel_event_us / a.kernel_event_us')} END, CASE WHEN a.median_ms > 0 THEN {_r('b.median_ms / a.median_ms')} END) AS speedup_x, CASE WHEN a.kernel_event_us > 0 AND b.kernel_event_us IS NOT NULL THEN 'cuda_event' ELSE 'wall_clock' END AS basis FROM bt a JOIN bt b ON a."binary" // 2 = b."binary" // 2 AND b."binary" % 2 = 0 WHERE a."binary" % 2 = 1""",
+    "speedup_basis": f"""{_BT} SELECT a."binary" // 2 AS pair_id, coalesce(CASE WHEN a.kernel_event_us > 0 THEN {_r('b.kernel_event_us / a.kernel_event_us')} END, CASE
+      WHEN a.median_ms > 0 THEN {_r('b.median_ms / a.median_ms')} END) AS speedup_x, CASE WHEN a.kernel_event_us > 0 AND b.kernel_event_us IS NOT NULL THEN 'cuda_event' ELSE
+      'wall_clock' END AS basis FROM bt a JOIN bt b ON a."binary" // 2 = b."binary" // 2 AND b."binary" % 2 = 0 WHERE a."binary" % 2 = 1""",
     "bundle_completeness": f"WITH e AS ({_EV.format(c=_ARTIFACT)}), h AS (SELECT run_id, list(DISTINCT a) AS h FROM e GROUP BY run_id) SELECT run_id, {_lack(Q.REQUIRED)} AS missing_required, {_lack(Q.RECOMMENDED)} AS missing_recommended, list_contains(h, 'raw_trace') AS diagnostic_ready, {_lack(Q.REQUIRED)} <> '' OR NOT list_contains(h, 'raw_trace') AS limited FROM h",
     "source_precedence": f"WITH e AS ({_EV.format(c=_SOURCE)}), r AS (SELECT run_id, min(CASE a WHEN 'derived_summary' THEN 0 WHEN 'raw_trace' THEN 1 WHEN 'profiler_trace' THEN 2 END) AS k FROM e GROUP BY run_id) SELECT run_id, CASE k WHEN 0 THEN 'derived_summary' WHEN 1 THEN 'raw_trace' ELSE 'profiler_trace' END AS source FROM r WHERE k IS NOT NULL",
     "orphan_step_refs": "SELECT l_suppkey % 50 AS run_id, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey % 50 = l_suppkey % 50 AND o_orderkey = l_orderkey) GROUP BY 1",

@@ -108,37 +108,58 @@ QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.s
 _t = _TRIALS.replace("{orders}", "orders").replace("1.0D", "1.0::DOUBLE").replace("100.0D", "100.0::DOUBLE").replace("1e6D", "1e6").replace("0.0D", "0.0")
 _REP = f"""WITH tr AS ({_t}), st AS (SELECT job, config, dominant_stall, count(*) AS n FROM tr GROUP BY ALL),
     sd AS (SELECT job AS j, config AS c, dominant_stall FROM (SELECT *, row_number() OVER (PARTITION BY job, config ORDER BY n DESC, dominant_stall) AS k FROM st) WHERE k = 1),
-    rp AS (SELECT job, config, count(*) AS repeat_count, CAST(coalesce(min_by(exit_code, CASE WHEN exit_code <> 0 THEN repeat END), 0) AS BIGINT) AS exit_code, coalesce(median(CASE WHEN throughput > 0 THEN throughput END), 0.0) AS throughput,
-      coalesce(median(CASE WHEN gpu_util > 0 THEN gpu_util END), 0.0) AS gpu_util, coalesce(median(CASE WHEN step_ms > 0 THEN step_ms END), 0.0) AS step_ms, max(memory_ratio) AS memory_ratio, min(step_count) AS step_count, bool_and(passed_guards) AS passed_guards,
+    rp AS (SELECT job, config, count(*) AS repeat_count, CAST(coalesce(min_by(exit_code, CASE WHEN exit_code <> 0 THEN repeat END), 0) AS BIGINT) AS exit_code,
+      coalesce(median(CASE WHEN throughput > 0 THEN throughput END), 0.0) AS throughput,
+      coalesce(median(CASE WHEN gpu_util > 0 THEN gpu_util END), 0.0) AS gpu_util, coalesce(median(CASE WHEN step_ms > 0 THEN step_ms END), 0.0) AS step_ms,
+      max(memory_ratio) AS memory_ratio, min(step_count) AS step_count, bool_and(passed_guards) AS passed_guards,
       coalesce(stddev_samp(CASE WHEN throughput > 0 THEN throughput END), 0.0) AS throughput_stddev FROM tr GROUP BY job, config),
     re AS (SELECT rp.*, dominant_stall FROM rp JOIN sd ON j = job AND c = config)"""
 _PAIRS = f"""{_REP}, pa AS (SELECT a.*, b.throughput AS bt, b.step_ms AS bs, b.repeat_count AS br, b.throughput_stddev AS bd FROM re a JOIN re b ON a.job = b.job AND b.config = 0 WHERE a.config <> 0),
-    pb AS (SELECT *, concat_ws(',', CASE WHEN exit_code <> 0 THEN 'exit_code' END, CASE WHEN step_count < 3 THEN 'too_few_steps' END, CASE WHEN throughput <= 0 THEN 'zero_throughput' END, CASE WHEN memory_ratio > 0.9 THEN 'memory' END, CASE WHEN bs > 0 AND step_ms > 0 AND (step_ms - bs) / bs > 0.1 THEN 'step_time_regression' END) AS guard_failures,
-      CASE WHEN bt > 0 AND throughput > 0 THEN (throughput - bt) / bt ELSE 0.0 END AS delta, greatest(CASE WHEN repeat_count > 1 AND throughput > 0 THEN throughput_stddev / throughput ELSE 0.0 END, CASE WHEN br > 1 AND bt > 0 THEN bd / bt ELSE 0.0 END) AS band, least(repeat_count, br) AS n FROM pa),
-    pc AS (SELECT *, CASE WHEN n < 2 THEN 'low' WHEN delta <= greatest(band, 0.08) THEN 'inconclusive' WHEN n >= 3 AND delta - band >= 0.08 THEN 'high' WHEN delta - band >= 0.04 THEN 'medium' ELSE 'low' END AS confidence_label, n > 1 AND delta > 0 AND delta <= band AS within_noise, guard_failures = '' AND passed_guards AS held, exit_code = 0 AND guard_failures = '' AND passed_guards AS fine FROM pb)"""
+    pb AS (SELECT *, concat_ws(',', CASE WHEN exit_code <> 0 THEN 'exit_code' END, CASE WHEN step_count < 3 THEN 'too_few_steps' END, CASE WHEN throughput <= 0 THEN
+      'zero_throughput' END, CASE WHEN memory_ratio > 0.9 THEN 'memory' END, CASE WHEN bs > 0 AND step_ms > 0 AND (step_ms - bs) / bs > 0.1 THEN 'step_time_regression' END) AS
+      guard_failures,
+      CASE WHEN bt > 0 AND throughput > 0 THEN (throughput - bt) / bt ELSE 0.0 END AS delta, greatest(CASE WHEN repeat_count > 1 AND throughput > 0 THEN throughput_stddev
+      / throughput ELSE 0.0 END, CASE WHEN br > 1 AND bt > 0 THEN bd / bt ELSE 0.0 END) AS band, least(repeat_count, br) AS n FROM pa),
+    pc AS (SELECT *, CASE WHEN n < 2 THEN 'low' WHEN delta <= greatest(band, 0.08) THEN 'inconclusive' WHEN n >= 3 AND delta - band >= 0.08 THEN 'high' WHEN delta - band
+      >= 0.04 THEN 'medium' ELSE 'low' END AS confidence_label, n > 1 AND delta > 0 AND delta <= band AS within_noise, guard_failures = '' AND passed_guards AS held, exit_code
+      = 0 AND guard_failures = '' AND passed_guards AS fine FROM pb)"""
 _VAR = f"{_REP}, va AS (SELECT job, 'v' || config AS variant, throughput FROM re)"
 _TRACE = """WITH tc AS (SELECT user_id AS run_id, CAST(epoch_us(ts) AS DOUBLE) AS ts_us, CASE event_type WHEN 'signup' THEN 21600e6 ELSE value END AS dur_us, event_type, event_id FROM events),
     num AS (SELECT run_id, event_id AS step, ts_us AS start_us, ts_us + dur_us AS end_us FROM tc WHERE event_type = 'signup'),
     ua AS (SELECT * FROM tc WHERE event_type IN ('purchase', 'error') AND run_id NOT IN (SELECT run_id FROM num)),
-    best AS (SELECT run_id, arg_max(event_type, (m, nm)) AS event_type FROM (SELECT run_id, event_type, CASE event_type WHEN 'purchase' THEN 'forward' ELSE 'DataLoader.__next__' END AS nm, avg(dur_us) AS m FROM ua GROUP BY ALL) GROUP BY run_id),
+    best AS (SELECT run_id, arg_max(event_type, (m, nm)) AS event_type FROM (SELECT run_id, event_type, CASE event_type WHEN 'purchase' THEN 'forward' ELSE
+      'DataLoader.__next__' END AS nm, avg(dur_us) AS m FROM ua GROUP BY ALL) GROUP BY run_id),
     steps AS (SELECT * FROM num UNION ALL SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, dur_us), ts_us, ts_us + dur_us FROM ua JOIN best USING (run_id, event_type))"""
 ORACLES = {
     "repeat_aggregate": f"{_REP} SELECT job, config, repeat_count, exit_code, {', '.join(_r(c, 6) + f' AS {c}' for c in ('throughput', 'gpu_util', 'step_ms', 'memory_ratio', 'throughput_stddev'))}, step_count, passed_guards, dominant_stall FROM re",
     "guard_checks": f"{_PAIRS} SELECT job, config, guard_failures FROM pc",
     "noise_band": f"{_PAIRS} SELECT job, config, {_r('delta', 6)} AS throughput_delta, {_r('band', 6)} AS noise_band, confidence_label, within_noise FROM pc",
-    "race_screening": f"""{_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput DESC, config) AS place, row_number() OVER (PARTITION BY job ORDER BY (fine AND throughput > 0)::INT DESC, (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput DESC, config) AS g FROM pc)
+    "race_screening": f"""{_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput DESC,
+      config) AS place, row_number() OVER (PARTITION BY job ORDER BY (fine AND throughput > 0)::INT DESC, (exit_code = 0)::INT DESC, held::INT DESC, delta DESC, throughput
+      DESC, config) AS g FROM pc)
       SELECT job, config, place, CASE WHEN fine AND throughput > 0 AND g <= 2 THEN 'promoted' WHEN fine THEN 'slower' ELSE 'guard_failure' END AS decision FROM o""",
     "select_winner": f"{_PAIRS}, o AS (SELECT *, fine AND throughput > 0 AND delta >= 0.08 AND NOT within_noise AS v FROM pc) SELECT job, max_by(config, CASE WHEN v THEN throughput END) AS winner, count(CASE WHEN v THEN 1 END) AS promoted FROM o GROUP BY job",
     "variant_ranking": f"{_VAR} SELECT job, variant, row_number() OVER (PARTITION BY job ORDER BY throughput DESC, variant) AS place, {_r('throughput / nullif(min(throughput) OVER (PARTITION BY job), 0)', 2)} AS factor FROM va",
     "variant_transitions": f"{_VAR} SELECT job, fv AS from_variant, variant AS to_variant, {_r('throughput / nullif(ft, 0)', 2)} AS factor FROM (SELECT *, lag(variant) OVER w AS fv, lag(throughput) OVER w AS ft FROM va WINDOW w AS (PARTITION BY job ORDER BY throughput, variant)) WHERE fv IS NOT NULL",
     "detect_steps": f"{_TRACE} SELECT * FROM steps",
-    "trace_steps_range_join": f"""{_TRACE}, s AS (SELECT * FROM steps WHERE end_us > start_us), j AS (SELECT s.run_id, s.step, e.event_type, e.dur_us, CAST(floor(e.dur_us * 1000) AS BIGINT) AS ns FROM s JOIN tc e ON e.run_id = s.run_id AND e.ts_us >= s.start_us AND e.ts_us + e.dur_us <= s.end_us + 1),
-      g AS (SELECT run_id AS r, step AS p, max(CASE WHEN event_type = 'error' THEN ns END) AS dl, max(CASE WHEN event_type = 'purchase' THEN ns END) AS fw, count(CASE WHEN event_type IN ('click', 'view') THEN 1 END) AS kc, count(CASE WHEN event_type IN ('click', 'view') AND dur_us < 10 THEN 1 END) AS sk, median(CASE WHEN event_type IN ('click', 'view') THEN dur_us END) AS md FROM j GROUP BY ALL)
-      SELECT run_id, step, coalesce(dl, 0) AS dataloader_ns, 0::BIGINT AS h2d_ns, coalesce(fw, 0) AS forward_ns, 0::BIGINT AS backward_ns, 0::BIGINT AS optimizer_ns, coalesce(kc, 0) AS kernel_count, coalesce(sk, 0) AS small_kernels, {_r('md')} AS median_kernel_us, CAST(floor((end_us - start_us) * 1000) AS BIGINT) AS wall_ns, CASE WHEN kc > 0 THEN {_r('sk / kc')} END AS small_kernel_fraction FROM s LEFT JOIN g ON r = run_id AND p = step""",
-    "map_profiler_to_ir": """SELECT user_id AS run_id, CASE WHEN event_type IN ('click', 'view') THEN 'kernel' WHEN event_type = 'error' THEN 'data_pipeline' ELSE 'cpu' END AS event_family, CASE WHEN event_type IN ('click', 'view') THEN 'cuda_kernel' WHEN event_type = 'error' THEN 'dataloader_event' ELSE 'cpu_span' END AS event_type,
-      CASE event_type WHEN 'click' THEN 'gemm' WHEN 'view' THEN 'reduction' END AS kernel_class, count(*) AS n, max(epoch_us(ts) * 1000 + CAST(trunc(CASE event_type WHEN 'signup' THEN 21600e6 ELSE greatest(value, 0) END * 1000) AS BIGINT)) AS last_ns FROM events GROUP BY ALL""",
-    "unpivot_nvml": f"""WITH {SQL["gs"]}, u AS (SELECT run_id, unnest(['gpu_utilization', 'memory_utilization', 'memory_used_bytes', 'memory_total_bytes', 'temperature_c']) AS metric_name, unnest(['percent', 'percent', 'bytes', 'bytes', 'celsius']) AS metric_unit, unnest([util, mem, used, 100.0, mem]) AS value FROM gs) SELECT run_id, metric_name, metric_unit, count(*) AS n, {_r('max(value)')} AS most FROM u WHERE value IS NOT NULL GROUP BY ALL""",
-    "nvml_health_annotations": f"""WITH {SQL["gs"]}, a AS (SELECT run_id, 'memory_pressure' AS label, {_r('used / 100.0')} AS score FROM gs WHERE used / 100.0 >= 0.9 UNION ALL SELECT run_id, 'thermal_pressure', {_r('least(mem / 100.0, 1.0)')} FROM gs WHERE mem >= 85) SELECT run_id, label, count(*) AS n, max(score) AS score FROM a GROUP BY ALL""",
+    "trace_steps_range_join": f"""{_TRACE}, s AS (SELECT * FROM steps WHERE end_us > start_us), j AS (SELECT s.run_id, s.step, e.event_type, e.dur_us, CAST(floor(e.dur_us
+      * 1000) AS BIGINT) AS ns FROM s JOIN tc e ON e.run_id = s.run_id AND e.ts_us >= s.start_us AND e.ts_us + e.dur_us <= s.end_us + 1),
+      g AS (SELECT run_id AS r, step AS p, max(CASE WHEN event_type = 'error' THEN ns END) AS dl, max(CASE WHEN event_type = 'purchase' THEN ns END) AS fw, count(CASE
+      WHEN event_type IN ('click', 'view') THEN 1 END) AS kc, count(CASE WHEN event_type IN ('click', 'view') AND dur_us < 10 THEN 1 END) AS sk, median(CASE WHEN event_type IN
+      ('click', 'view') THEN dur_us END) AS md FROM j GROUP BY ALL)
+      SELECT run_id, step, coalesce(dl, 0) AS dataloader_ns, 0::BIGINT AS h2d_ns, coalesce(fw, 0) AS forward_ns, 0::BIGINT AS backward_ns, 0::BIGINT AS optimizer_ns,
+      coalesce(kc, 0) AS kernel_count, coalesce(sk, 0) AS small_kernels, {_r('md')} AS median_kernel_us, CAST(floor((end_us - start_us) * 1000) AS BIGINT) AS wall_ns, CASE
+      WHEN kc > 0 THEN {_r('sk / kc')} END AS small_kernel_fraction FROM s LEFT JOIN g ON r = run_id AND p = step""",
+    "map_profiler_to_ir": """SELECT user_id AS run_id, CASE WHEN event_type IN ('click', 'view') THEN 'kernel' WHEN event_type = 'error' THEN 'data_pipeline' ELSE 'cpu'
+      END AS event_family, CASE WHEN event_type IN ('click', 'view') THEN 'cuda_kernel' WHEN event_type = 'error' THEN 'dataloader_event' ELSE 'cpu_span' END AS event_type,
+      CASE event_type WHEN 'click' THEN 'gemm' WHEN 'view' THEN 'reduction' END AS kernel_class, count(*) AS n, max(epoch_us(ts) * 1000 + CAST(trunc(CASE event_type WHEN
+      'signup' THEN 21600e6 ELSE greatest(value, 0) END * 1000) AS BIGINT)) AS last_ns FROM events GROUP BY ALL""",
+    "unpivot_nvml": f"""WITH {SQL["gs"]}, u AS (SELECT run_id, unnest(['gpu_utilization', 'memory_utilization', 'memory_used_bytes', 'memory_total_bytes',
+      'temperature_c']) AS metric_name, unnest(['percent', 'percent', 'bytes', 'bytes', 'celsius']) AS metric_unit, unnest([util, mem, used, 100.0, mem]) AS value FROM gs)
+      SELECT run_id, metric_name, metric_unit, count(*) AS n, {_r('max(value)')} AS most FROM u WHERE value IS NOT NULL GROUP BY ALL""",
+    "nvml_health_annotations": f"""WITH {SQL["gs"]}, a AS (SELECT run_id, 'memory_pressure' AS label, {_r('used / 100.0')} AS score FROM gs WHERE used / 100.0 >= 0.9
+      UNION ALL SELECT run_id, 'thermal_pressure', {_r('least(mem / 100.0, 1.0)')} FROM gs WHERE mem >= 85) SELECT run_id, label, count(*) AS n, max(score) AS score FROM a
+      GROUP BY ALL""",
     "stratified_quota": "SELECT row_key, level, correct FROM (SELECT *, row_number() OVER (PARTITION BY level, correct ORDER BY row_key) AS n FROM (SELECT doc_id AS row_key, doc_id % 3 + 1 AS level, quality = 1 AS correct FROM labels JOIN documents USING (doc_id))) WHERE n <= CASE WHEN correct THEN 20 ELSE 7 END",
     "sample_deterministic": "SELECT doc_id AS row_key, doc_id % 3 + 1 AS level, quality = 1 AS correct FROM labels JOIN documents USING (doc_id) ORDER BY md5(doc_id || '|42'), doc_id LIMIT 50",
 }

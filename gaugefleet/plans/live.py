@@ -114,11 +114,14 @@ def _step_sql(source: str, *by: str) -> str:
       FROM {source} GROUP BY {keys}"""
 
 
-_SESSIONS = f"""{_EV}, f AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 15 MINUTES THEN 0 ELSE 1 END AS fresh FROM e), g AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f),
+_SESSIONS = f"""{_EV}, f AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 15 MINUTES THEN 0 ELSE 1 END AS fresh FROM e), g AS
+      (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f),
     b AS (SELECT run_id, s, min(ts) AS lo, max(ts) + INTERVAL 15 MINUTES AS hi, count(*) AS events FROM g GROUP BY run_id, s), st AS ({_step_sql("g", "s")}),
-    r AS (SELECT run_id, s, count(CASE WHEN ok THEN 1 END) AS completed, coalesce(count(CASE WHEN status = 'ok' THEN 1 END) / (nullif(sum(CASE WHEN ok THEN wall END), 0) / 1e9), 0.0) AS tput, coalesce(avg(CASE WHEN ok THEN wall END), 0.0) AS mean,
+    r AS (SELECT run_id, s, count(CASE WHEN ok THEN 1 END) AS completed, coalesce(count(CASE WHEN status = 'ok' THEN 1 END) / (nullif(sum(CASE WHEN ok THEN wall END), 0)
+      / 1e9), 0.0) AS tput, coalesce(avg(CASE WHEN ok THEN wall END), 0.0) AS mean,
         coalesce(max(CASE WHEN ok THEN wall END), 0) AS longest, coalesce(stddev_pop(CASE WHEN ok THEN wall END) / avg(CASE WHEN ok THEN wall END), 0.0) AS cv,
-        coalesce(avg(CASE WHEN ok THEN least(1.0, loader / wall::DOUBLE) END), 0.0) AS ir, coalesce(avg(CASE WHEN ok THEN least(1.0, h2d / wall::DOUBLE) END), 0.0) AS cr, coalesce(avg(CASE WHEN ok THEN least(1.0, sync / wall::DOUBLE) END), 0.0) AS sr,
+        coalesce(avg(CASE WHEN ok THEN least(1.0, loader / wall::DOUBLE) END), 0.0) AS ir, coalesce(avg(CASE WHEN ok THEN least(1.0, h2d / wall::DOUBLE) END), 0.0) AS cr,
+        coalesce(avg(CASE WHEN ok THEN least(1.0, sync / wall::DOUBLE) END), 0.0) AS sr,
         CASE WHEN greatest(sum(loader), sum(h2d), sum(sync)) <= 0 THEN CASE WHEN sum(fwd) > 0 THEN 'compute_bound' ELSE 'unknown' END
           WHEN sum(loader) >= sum(h2d) AND sum(loader) >= sum(sync) THEN 'input_bound' WHEN sum(h2d) >= sum(sync) THEN 'copy_bound' ELSE 'sync_bound' END AS stall
       FROM (SELECT *, status = 'ok' AND wall > 0 AS ok FROM st) GROUP BY run_id, s),
@@ -127,26 +130,34 @@ _text = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
 def _window_sql(starts: str) -> str:
-    return f"""WITH s AS (SELECT user_id % 50 AS run_id, CAST(event_id % 3 AS BIGINT) AS gpu_id, ts, k * (1 + user_id % 50 % 4) / 4 AS util, (k * 0.7 + (user_id % 50 % 5) * 6) / 100.0 AS m FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)),
+    return f"""WITH s AS (SELECT user_id % 50 AS run_id, CAST(event_id % 3 AS BIGINT) AS gpu_id, ts, k * (1 + user_id % 50 % 4) / 4 AS util, (k * 0.7 + (user_id % 50 % 5)
+      * 6) / 100.0 AS m FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)),
       w AS (SELECT *, {starts} AS b FROM s)
-      SELECT run_id, gpu_id, {_text("b")} AS start, count(*) AS n, {_r("avg(util)")} AS avg_util, {_r("max(util) - min(util)")} AS spread, {_r("max(m)")} AS memory_ratio FROM w WHERE b + INTERVAL 6 HOURS <= {_MARK} GROUP BY run_id, gpu_id, b"""
+      SELECT run_id, gpu_id, {_text("b")} AS start, count(*) AS n, {_r("avg(util)")} AS avg_util, {_r("max(util) - min(util)")} AS spread, {_r("max(m)")} AS memory_ratio
+      FROM w WHERE b + INTERVAL 6 HOURS <= {_MARK} GROUP BY run_id, gpu_id, b"""
 
 
 ORACLES = {
-    "stream_ingest": """WITH e AS (SELECT *, CASE WHEN event_id % 10 = 9 THEN 'step_end' ELSE CASE event_type WHEN 'click' THEN 'dataloader_span' WHEN 'view' THEN 'memcpy_span' WHEN 'purchase' THEN 'sync_wait' WHEN 'signup' THEN 'phase_span' ELSE 'gpu_sample' END END AS typ FROM events)
+    "stream_ingest": """WITH e AS (SELECT *, CASE WHEN event_id % 10 = 9 THEN 'step_end' ELSE CASE event_type WHEN 'click' THEN 'dataloader_span' WHEN 'view' THEN
+      'memcpy_span' WHEN 'purchase' THEN 'sync_wait' WHEN 'signup' THEN 'phase_span' ELSE 'gpu_sample' END END AS typ FROM events)
       SELECT typ AS event_type, event_id // 500 % 50 AS run_id, count(*) AS n, count(*) AS ids FROM e WHERE event_id % 50 NOT IN (7, 8) GROUP BY 1, 2
       UNION ALL SELECT 'aside', -1, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT), 0 FROM e WHERE event_id % 50 IN (7, 8) HAVING count(*) > 0""",
-    "stream_step_metrics": f"""{_EV} SELECT run_id, step_id, status, wall AS step_wall_time_ns, loader AS dataloader_wait_time_ns, h2d AS h2d_copy_time_ns, sync AS sync_wait_time_ns, fwd AS forward_time_ns, 0 AS backward_time_ns, 0 AS optimizer_time_ns,
+    "stream_step_metrics": f"""{_EV} SELECT run_id, step_id, status, wall AS step_wall_time_ns, loader AS dataloader_wait_time_ns, h2d AS h2d_copy_time_ns, sync AS
+      sync_wait_time_ns, fwd AS forward_time_ns, 0 AS backward_time_ns, 0 AS optimizer_time_ns,
       {_r("CASE WHEN wall > 0 THEN least(1.0, fwd / wall::DOUBLE) ELSE 0.0 END")} AS gpu_active_fraction_proxy FROM ({_step_sql("e")})""",
-    "stream_run_sessions": f"""{_SESSIONS} SELECT b.run_id, {_text("lo")} AS start, {_text("hi")} AS "end", events, hi <= {_MARK} AS closed, completed AS completed_steps, {_r("tput")} AS throughput_steps_per_sec, {_r("mean")} AS step_time_avg_ns, longest AS step_time_max_ns, {_r("cv")} AS step_time_cv,
-      stall AS dominant_stall_type, {_r("ir")} AS input_bound_ratio, {_r("cr")} AS copy_bound_ratio, {_r("sr")} AS sync_bound_ratio, {_r("coalesce(util, 0.0)")} AS average_gpu_utilization_pct, 0.0::DOUBLE AS average_memory_utilization_pct, {_r("coalesce(peak, 0.0)")} AS memory_pressure_peak_ratio,
+    "stream_run_sessions": f"""{_SESSIONS} SELECT b.run_id, {_text("lo")} AS start, {_text("hi")} AS "end", events, hi <= {_MARK} AS closed, completed AS completed_steps,
+      {_r("tput")} AS throughput_steps_per_sec, {_r("mean")} AS step_time_avg_ns, longest AS step_time_max_ns, {_r("cv")} AS step_time_cv,
+      stall AS dominant_stall_type, {_r("ir")} AS input_bound_ratio, {_r("cr")} AS copy_bound_ratio, {_r("sr")} AS sync_bound_ratio, {_r("coalesce(util, 0.0)")} AS
+      average_gpu_utilization_pct, 0.0::DOUBLE AS average_memory_utilization_pct, {_r("coalesce(peak, 0.0)")} AS memory_pressure_peak_ratio,
       {_r("coalesce(spread, 0.0)")} AS utilization_instability_pct FROM b LEFT JOIN r ON r.run_id = b.run_id AND r.s = b.s LEFT JOIN p ON p.run_id = b.run_id AND p.s = b.s""",
     "stream_span_pairing": f"""WITH m AS (SELECT event_id // 500 % 50 AS run_id, event_id // 2 AS span, event_id % 2 = 1 AS fin, epoch_us(ts) AS us, ts, 1 + CAST(trunc(value * 1000) AS BIGINT) AS d FROM events WHERE event_id % 14 <> 13),
-      x AS (SELECT coalesce(b.run_id, f.run_id) AS run_id, coalesce(b.span, f.span) AS span, b.ts AS s, f.ts AS f, b.us AS bu, f.us AS fu, f.d AS d, (SELECT max(us) // 1000 FROM m) - 86400000 AS mark FROM (SELECT * FROM m WHERE NOT fin) b FULL JOIN (SELECT * FROM m WHERE fin) f ON b.run_id = f.run_id AND b.span = f.span)
+      x AS (SELECT coalesce(b.run_id, f.run_id) AS run_id, coalesce(b.span, f.span) AS span, b.ts AS s, f.ts AS f, b.us AS bu, f.us AS fu, f.d AS d, (SELECT max(us) //
+      1000 FROM m) - 86400000 AS mark FROM (SELECT * FROM m WHERE NOT fin) b FULL JOIN (SELECT * FROM m WHERE fin) f ON b.run_id = f.run_id AND b.span = f.span)
       SELECT run_id, span::VARCHAR AS span_id, {_text("s")} AS start, {_text("f")} AS "end", d AS duration_ns, true AS closed FROM x WHERE fu - bu <= 300000000
       UNION ALL SELECT run_id, span::VARCHAR, {_text("s")}, NULL, NULL, false FROM x WHERE fu - bu > 300000000 OR (fu IS NULL AND (bu + 300000000) // 1000 < mark)
       UNION ALL SELECT run_id, span::VARCHAR, NULL, {_text("f")}, d, true FROM x WHERE (bu IS NULL OR fu - bu > 300000000) AND (fu + 300000000) // 1000 < mark""",
     "stream_gpu_windows": _window_sql("time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')"),
     "stream_gpu_sliding": _window_sql("unnest([time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOURS * i FOR i IN [0, 1, 2]])"),
-    "stream_health_alerts": f"""WITH {SQL["gs"]} SELECT run_id, label, count(*) AS n FROM (SELECT run_id, 'memory_pressure' AS label FROM gs WHERE used / 100.0 >= 0.9 UNION ALL SELECT run_id, 'thermal_pressure' FROM gs WHERE mem >= 85) GROUP BY ALL""",
+    "stream_health_alerts": f"""WITH {SQL["gs"]} SELECT run_id, label, count(*) AS n FROM (SELECT run_id, 'memory_pressure' AS label FROM gs WHERE used / 100.0 >= 0.9
+      UNION ALL SELECT run_id, 'thermal_pressure' FROM gs WHERE mem >= 85) GROUP BY ALL""",
 }

@@ -185,18 +185,29 @@ def q_kernel_brief(spark, d):
 
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
 
-_IR = f"""ie AS (SELECT user_id % 50 AS run_id, event_id AS seq, {_FAMILY} AS fam, {_TYPE} AS typ, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'step_' || event_id % 9 END AS step_id, CAST(floor(value * CASE WHEN event_type = 'signup' THEN 100000 ELSE 1000 END) AS BIGINT) AS dur, CASE WHEN event_type = 'signup' THEN 'x:[' || event_id % 3 || ', 8]' END AS sig FROM events),
-    ist AS (SELECT run_id, step_id, coalesce(max(CASE WHEN typ = 'training_step' THEN dur END), 0) AS step_wall_time_ns, CAST(coalesce(sum(CASE WHEN fam = 'kernel' THEN dur END), 0) AS BIGINT) AS compute_time_ns, CAST(coalesce(sum(CASE WHEN fam = 'distributed' THEN dur END), 0) AS BIGINT) AS communication_time_ns,
+_IR = f"""ie AS (SELECT user_id % 50 AS run_id, event_id AS seq, {_FAMILY} AS fam, {_TYPE} AS typ, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'step_' || event_id % 9 END AS
+      step_id, CAST(floor(value * CASE WHEN event_type = 'signup' THEN 100000 ELSE 1000 END) AS BIGINT) AS dur, CASE WHEN event_type = 'signup' THEN 'x:[' || event_id % 3 ||
+      ', 8]' END AS sig FROM events),
+    ist AS (SELECT run_id, step_id, coalesce(max(CASE WHEN typ = 'training_step' THEN dur END), 0) AS step_wall_time_ns, CAST(coalesce(sum(CASE WHEN fam = 'kernel' THEN
+      dur END), 0) AS BIGINT) AS compute_time_ns, CAST(coalesce(sum(CASE WHEN fam = 'distributed' THEN dur END), 0) AS BIGINT) AS communication_time_ns,
       CAST(coalesce(sum(CASE WHEN fam = 'data_pipeline' THEN dur END), 0) AS BIGINT) AS data_pipeline_time_ns, max_by(sig, CASE WHEN sig IS NOT NULL THEN seq END) AS shape_signature FROM ie WHERE step_id <> '' GROUP BY ALL),
-    ich AS (SELECT *, coalesce(shape_signature <> last_value(shape_signature IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS changed, CASE WHEN step_wall_time_ns > 0 THEN step_wall_time_ns END AS wall FROM ist),
+    ich AS (SELECT *, coalesce(shape_signature <> last_value(shape_signature IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND
+      1 PRECEDING), false) AS changed, CASE WHEN step_wall_time_ns > 0 THEN step_wall_time_ns END AS wall FROM ist),
     ism AS (SELECT run_id AS rid, avg(util) AS u, avg(mem) AS m, max(used) / 100.0 AS p FROM gs GROUP BY run_id),
-    irn AS (SELECT run_id, coalesce(count(wall) / (sum(wall) / 1e9), 0.0) AS throughput_steps_per_sec, coalesce(avg(wall), 0.0) AS step_time_avg_ns, coalesce(max(wall), 0) AS step_time_max_ns, CASE WHEN count(shape_signature) >= 2 THEN count(CASE WHEN changed THEN 1 END) / (count(shape_signature) - 1) ELSE 0.0 END AS shape_volatility_ratio,
-      CAST(sum(communication_time_ns) AS BIGINT) AS communication_time_ns, CAST(sum(data_pipeline_time_ns) AS BIGINT) AS data_pipeline_time_ns, CAST(sum(compute_time_ns) AS BIGINT) AS compute_time_ns, coalesce(any_value(u), 0.0) AS average_gpu_utilization_pct, coalesce(any_value(m), 0.0) AS average_memory_utilization_pct, coalesce(any_value(p), 0.0) AS memory_pressure_peak_ratio FROM ich LEFT JOIN ism ON rid = run_id GROUP BY run_id)"""
+    irn AS (SELECT run_id, coalesce(count(wall) / (sum(wall) / 1e9), 0.0) AS throughput_steps_per_sec, coalesce(avg(wall), 0.0) AS step_time_avg_ns, coalesce(max(wall),
+      0) AS step_time_max_ns, CASE WHEN count(shape_signature) >= 2 THEN count(CASE WHEN changed THEN 1 END) / (count(shape_signature) - 1) ELSE 0.0 END AS
+      shape_volatility_ratio,
+      CAST(sum(communication_time_ns) AS BIGINT) AS communication_time_ns, CAST(sum(data_pipeline_time_ns) AS BIGINT) AS data_pipeline_time_ns, CAST(sum(compute_time_ns)
+      AS BIGINT) AS compute_time_ns, coalesce(any_value(u), 0.0) AS average_gpu_utilization_pct, coalesce(any_value(m), 0.0) AS average_memory_utilization_pct,
+      coalesce(any_value(p), 0.0) AS memory_pressure_peak_ratio FROM ich LEFT JOIN ism ON rid = run_id GROUP BY run_id)"""
 _ratio = lambda c: f"least(1.0, {c} / step_wall_time_ns)"
 _in, _co, _cp = _ratio("data_pipeline_time_ns"), _ratio("communication_time_ns"), _ratio("compute_time_ns")
 _SPLIT = f"WITH c AS (SELECT user_id % 50 AS run_id, event_id, {_NAME} AS name, event_id % 5 = 0 OR (event_id % 3 = 0 AND (event_id % 2 = 1 OR value = 0)) AS met FROM events)"
-_FAIL = f"""WITH r AS (SELECT *, CASE WHEN event_id % 19 = 0 THEN 'odd' ELSE {_FAMILY} END AS fam FROM events) SELECT concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'empty_event_id' END, CASE WHEN event_id % 23 = 0 AND event_id > 0 THEN 'negative_ts_start_ns' END, CASE WHEN fam = 'odd' THEN 'unknown_event_family' END, CASE WHEN event_id % 29 = 0 AND event_id % 23 <> 0 THEN 'wrong_duration' END,
-    CASE WHEN fam = 'kernel' AND event_id % 3 <> 0 THEN 'kernel_without_device' END, CASE WHEN fam = 'distributed' AND event_id % 2 = 1 THEN 'distributed_without_rank' END, CASE WHEN user_id % 50 <> user_id % 51 THEN 'foreign_run' END) AS failures, count(*) AS n FROM r GROUP BY 1"""
+_FAIL = f"""WITH r AS (SELECT *, CASE WHEN event_id % 19 = 0 THEN 'odd' ELSE {_FAMILY} END AS fam FROM events) SELECT concat_ws(',', CASE WHEN event_id % 13 = 0 THEN
+      'empty_event_id' END, CASE WHEN event_id % 23 = 0 AND event_id > 0 THEN 'negative_ts_start_ns' END, CASE WHEN fam = 'odd' THEN 'unknown_event_family' END, CASE WHEN
+      event_id % 29 = 0 AND event_id % 23 <> 0 THEN 'wrong_duration' END,
+    CASE WHEN fam = 'kernel' AND event_id % 3 <> 0 THEN 'kernel_without_device' END, CASE WHEN fam = 'distributed' AND event_id % 2 = 1 THEN 'distributed_without_rank'
+      END, CASE WHEN user_id % 50 <> user_id % 51 THEN 'foreign_run' END) AS failures, count(*) AS n FROM r GROUP BY 1"""
 _missing = lambda names: "concat_ws(',', " + ", ".join(f"CASE WHEN NOT list_contains(held, '{m}') THEN '{m}' END" for m in names) + ")"
 ORACLES = {
     "split_profiler_metrics": f"{_SPLIT} SELECT run_id, 'event' AS name, '' AS unit, count(*) AS n, 0.0::DOUBLE AS total FROM c WHERE NOT met GROUP BY run_id UNION ALL SELECT run_id, CASE WHEN name = 'GPU Util' THEN 'gpu_utilization' WHEN name = 'Memory used' THEN 'memory_value' ELSE name END, CASE WHEN event_id % 6 = 0 THEN 'pct' WHEN name = 'GPU Util' THEN 'percent' ELSE 'unknown' END, count(*), sum(CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END)::DOUBLE FROM c WHERE met GROUP BY 1, 2, 3",
@@ -208,10 +219,15 @@ ORACLES = {
     "schema_version_gate": "SELECT event_id, CASE event_id % 7 WHEN 1 THEN '2.0.0' WHEN 4 THEN '1.x.0' WHEN 5 THEN '0.1.0' ELSE '1.0.0' END AS schema_version, CASE event_id % 7 WHEN 2 THEN 'us!' WHEN 3 THEN 'ms!' ELSE 'us' END AS unit, CASE event_id % 7 WHEN 1 THEN 'future' WHEN 2 THEN 'migrated' WHEN 3 THEN 'migrated' WHEN 4 THEN 'malformed' WHEN 5 THEN 'no_path' ELSE 'current' END AS route FROM events",
     "ir_step_summary": f"WITH {SQL['gs']}, {_IR} SELECT * FROM ist",
     "ir_run_summary": f"WITH {SQL['gs']}, {_IR} SELECT run_id, step_time_max_ns, communication_time_ns, data_pipeline_time_ns, compute_time_ns, {', '.join(_r(c) + f' AS {c}' for c in ('throughput_steps_per_sec', 'step_time_avg_ns', 'shape_volatility_ratio', 'average_gpu_utilization_pct', 'average_memory_utilization_pct', 'memory_pressure_peak_ratio'))} FROM irn",
-    "ir_step_labels": f"""WITH {SQL['gs']}, {_IR}, w AS (SELECT * FROM ist WHERE step_wall_time_ns > 0) SELECT run_id, step_id AS target_id, 'input_bound' AS label, {_r(_in)} AS score FROM w WHERE {_in} >= 0.2 UNION ALL SELECT run_id, step_id, 'communication_bound', {_r(_co)} FROM w WHERE {_co} >= 0.15
-      UNION ALL SELECT run_id, step_id, 'compute_bound', {_r(_cp)} FROM w WHERE {_cp} >= 0.6 AND {_in} < 0.1 AND {_co} < 0.1 UNION ALL SELECT run_id, run_id::VARCHAR, 'memory_pressure', {_r('memory_pressure_peak_ratio')} FROM irn WHERE memory_pressure_peak_ratio >= 0.9 UNION ALL SELECT run_id, run_id::VARCHAR, 'shape_instability', {_r('shape_volatility_ratio')} FROM irn WHERE shape_volatility_ratio >= 0.3""",
-    "trace_kernel_stats": f"""WITH t AS (SELECT user_id % 50 AS run_id, event_type IN ('click', 'view') AND value > 0 AS k, value FROM events), n AS (SELECT run_id AS rid, greatest(count(*) % 7, 1) AS steps FROM t GROUP BY 1), l AS (SELECT run_id, list_sort(list(value)) AS v FROM t WHERE k GROUP BY 1)
-      SELECT run_id, len(v) AS kernel_count_total, {_r('len(v) / steps', 2)} AS kernel_count, {_r('v[len(v) // 2 + 1]', 3)} AS median_cuda_kernel_duration_us, {_r('len(list_filter(v, lambda x: x < 10)) / len(v)')} AS small_kernel_fraction FROM l JOIN n ON rid = run_id""",
+    "ir_step_labels": f"""WITH {SQL['gs']}, {_IR}, w AS (SELECT * FROM ist WHERE step_wall_time_ns > 0) SELECT run_id, step_id AS target_id, 'input_bound' AS label,
+      {_r(_in)} AS score FROM w WHERE {_in} >= 0.2 UNION ALL SELECT run_id, step_id, 'communication_bound', {_r(_co)} FROM w WHERE {_co} >= 0.15
+      UNION ALL SELECT run_id, step_id, 'compute_bound', {_r(_cp)} FROM w WHERE {_cp} >= 0.6 AND {_in} < 0.1 AND {_co} < 0.1 UNION ALL SELECT run_id, run_id::VARCHAR,
+      'memory_pressure', {_r('memory_pressure_peak_ratio')} FROM irn WHERE memory_pressure_peak_ratio >= 0.9 UNION ALL SELECT run_id, run_id::VARCHAR, 'shape_instability',
+      {_r('shape_volatility_ratio')} FROM irn WHERE shape_volatility_ratio >= 0.3""",
+    "trace_kernel_stats": f"""WITH t AS (SELECT user_id % 50 AS run_id, event_type IN ('click', 'view') AND value > 0 AS k, value FROM events), n AS (SELECT run_id AS
+      rid, greatest(count(*) % 7, 1) AS steps FROM t GROUP BY 1), l AS (SELECT run_id, list_sort(list(value)) AS v FROM t WHERE k GROUP BY 1)
+      SELECT run_id, len(v) AS kernel_count_total, {_r('len(v) / steps', 2)} AS kernel_count, {_r('v[len(v) // 2 + 1]', 3)} AS median_cuda_kernel_duration_us,
+      {_r('len(list_filter(v, lambda x: x < 10)) / len(v)')} AS small_kernel_fraction FROM l JOIN n ON rid = run_id""",
     "infer_batch_dims": f"WITH {SQL['ev']} SELECT batch::BIGINT AS batch_size, 128::BIGINT AS sequence_length, count(*) AS n FROM ev WHERE batch IS NOT NULL GROUP BY 1",
     "metric_status": f"{P._SUMMARY}, t AS ("
     + " UNION ALL ".join(f"SELECT run_id, '{m}' AS metric, {m} AS value, CASE WHEN {m} {'>=' if up else '<='} {good} THEN 'OK' WHEN {m} {'>=' if up else '<='} {bad} THEN '{'LOW' if up else 'ELEVATED'}' ELSE '{word}' END AS status FROM rs WHERE {m} IS NOT NULL" for m, (up, good, bad, word) in S.BANDS.items())
@@ -221,21 +237,37 @@ ORACLES = {
     + ") SELECT *, missing = '' AS complete FROM x",
     "filter_metrics_for_arch": f"{P._PIVOT}, s AS (SELECT run_id, metric FROM tall) SELECT run_id, count(*) AS n FROM s WHERE NOT (run_id % 3 = 1 AND metric = 'warp_stall_long_scoreboard') GROUP BY run_id",
     "threshold_override_join": f"WITH {P._ARCH} SELECT run_id, CASE WHEN arch = 'sm_90' THEN 0.3 ELSE 0.2 END::DOUBLE AS input_bound_ratio, CASE WHEN arch = 'sm_90' THEN 35.0 ELSE 40.0 END::DOUBLE AS ncu_l1_hit_low_pct, CASE WHEN arch = 'sm_75' THEN 60.0 ELSE 45.0 END::DOUBLE AS fat_high_threshold, CASE WHEN arch IN ('sm_90', 'sm_75') THEN 'defaults+arch_overrides' ELSE 'defaults' END AS threshold_source, "
-    + "left(sha256(CASE arch " + " ".join(f"""WHEN '{k}' THEN '{json.dumps(S.THRESHOLDS | o, sort_keys=True)}'""" for k, o in _OVERRIDES.items()) + f""" ELSE '{json.dumps(S.THRESHOLDS, sort_keys=True)}' END), 12) AS thresholds_hash FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5""",
+    + "left(sha256(CASE arch " + " ".join(f"""WHEN '{k}' THEN '{json.dumps(S.THRESHOLDS | o, sort_keys=True)}'""" for k, o in _OVERRIDES.items()) + f""" ELSE
+      '{json.dumps(S.THRESHOLDS, sort_keys=True)}' END), 12) AS thresholds_hash FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5""",
     "tolerant_number": "SELECT event_id % 5 NOT IN (1, 3) AS missing, count(*) AS n, coalesce(sum(CASE event_id % 5 WHEN 1 THEN event_id WHEN 3 THEN 100 END), 0)::DOUBLE AS total FROM events GROUP BY 1",
     "shape_signature": "SELECT 'a:[7]|b:[' || event_id % 3 || ', 4]' AS signature, count(*) AS n FROM events GROUP BY 1",
     "quality_aggregate": f"WITH q AS (SELECT o_custkey % 40 AS config_id, o_orderkey % 3 AS nan, o_totalprice AS p FROM orders) SELECT config_id, 'nan_count' AS metric, sum(nan)::DOUBLE AS value FROM q GROUP BY 1 UNION ALL SELECT config_id, 'max_loss', {_r('max(p)')} FROM q GROUP BY 1 UNION ALL SELECT config_id, 'min_loss', {_r('min(p)')} FROM q GROUP BY 1 UNION ALL SELECT config_id, 'final_loss', {_r('median(p / 7)')} FROM q GROUP BY 1",
     "run_brief": f"""{A._SQL}, ch AS (SELECT r.* FROM runs r LEFT JOIN (SELECT run_id AS rid FROM runs WHERE scope = 'steady' AND completed > 0) s ON rid = r.run_id WHERE r.scope = CASE WHEN rid IS NOT NULL THEN 'steady' ELSE 'run' END),
-      fr AS (SELECT run_id AS frid, scope AS fsc, max(CASE WHEN label = 'input_bound' THEN score END) AS i, max(CASE WHEN label = 'copy_bound' THEN score END) AS c, max(CASE WHEN label = 'sync_bound' THEN score END) AS s FROM lab GROUP BY ALL), tr AS (SELECT run_id AS trid, string_agg(rec, ',' ORDER BY place) AS recs FROM od WHERE place <= 3 GROUP BY 1)
-      SELECT ch.run_id, ch.scope, completed AS steps, user_facing_bottleneck, secondary_bottlenecks, confidence_score, CASE WHEN confidence_score >= 0.75 THEN 'high' WHEN confidence_score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_level, i AS input_bound_fraction, c AS copy_bound_fraction, s AS sync_bound_fraction, {_r("util")} AS average_gpu_utilization_pct, {_r("tput")} AS throughput_steps_per_sec,
-        coalesce(recs, '') AS top_recommendations, concat_ws(',', CASE WHEN win = 0 THEN 'profiler' END, CASE WHEN util = 0 THEN 'gpu_samples' END) AS missing_data FROM ch JOIN diag ON diag.run_id = ch.run_id AND diag.scope = ch.scope LEFT JOIN fr ON frid = ch.run_id AND fsc = ch.scope LEFT JOIN tr ON trid = ch.run_id""",
-    "kernel_brief": f"""{A._SQL}, op0 AS (SELECT ks.*, ar.*, coalesce(dram_throughput_pct, 0.0) AS d, coalesce(tensor_core_utilization_pct, 0.0) AS t, coalesce(issue_slot_utilization_pct, 0.0) AS i FROM ks JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')),
+      fr AS (SELECT run_id AS frid, scope AS fsc, max(CASE WHEN label = 'input_bound' THEN score END) AS i, max(CASE WHEN label = 'copy_bound' THEN score END) AS c,
+      max(CASE WHEN label = 'sync_bound' THEN score END) AS s FROM lab GROUP BY ALL), tr AS (SELECT run_id AS trid, string_agg(rec, ',' ORDER BY place) AS recs FROM od WHERE
+      place <= 3 GROUP BY 1)
+      SELECT ch.run_id, ch.scope, completed AS steps, user_facing_bottleneck, secondary_bottlenecks, confidence_score, CASE WHEN confidence_score >= 0.75 THEN 'high' WHEN
+      confidence_score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_level, i AS input_bound_fraction, c AS copy_bound_fraction, s AS sync_bound_fraction, {_r("util")} AS
+      average_gpu_utilization_pct, {_r("tput")} AS throughput_steps_per_sec,
+        coalesce(recs, '') AS top_recommendations, concat_ws(',', CASE WHEN win = 0 THEN 'profiler' END, CASE WHEN util = 0 THEN 'gpu_samples' END) AS missing_data FROM
+        ch JOIN diag ON diag.run_id = ch.run_id AND diag.scope = ch.scope LEFT JOIN fr ON frid = ch.run_id AND fsc = ch.scope LEFT JOIN tr ON trid = ch.run_id""",
+    "kernel_brief": f"""{A._SQL}, op0 AS (SELECT ks.*, ar.*, coalesce(dram_throughput_pct, 0.0) AS d, coalesce(tensor_core_utilization_pct, 0.0) AS t,
+      coalesce(issue_slot_utilization_pct, 0.0) AS i FROM ks JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')),
       op1 AS (SELECT *, d <> 0 OR t <> 0 OR i <> 0 AS known, CASE WHEN t > 5 THEN fp16 ELSE fp32 END AS peak, CASE WHEN t > 5 THEN t * fp16 ELSE i * fp32 END / 100.0 AS tf, d / 100.0 * bw AS abw FROM op0),
-      op2 AS (SELECT *, CASE WHEN known AND CASE WHEN abw > 0 THEN {_r("tf / abw * 1000.0")} END < peak / bw * 1000.0 THEN 'memory_bound' END AS region, CASE WHEN known THEN {_r("tf / fp32 * 100.0", 2)} END AS kmfu, {_r("kernel_duration_us / sum(kernel_duration_us) OVER (PARTITION BY run_id) * 100.0", 2)} AS rs_pct FROM op1),
-      op3 AS (SELECT run_id, kernel_name, {_r("coalesce(rs_pct / 100.0, 1.0) * CASE WHEN region = 'memory_bound' THEN 1.0 WHEN kmfu < 20 THEN 0.85 WHEN achieved_occupancy_pct > 0 AND achieved_occupancy_pct < 30 THEN 0.7 WHEN d > 60 THEN 0.65 ELSE 0.4 END * greatest(0.0, coalesce(1.0 - least(kmfu, 100.0) / 100.0, 1.0 - greatest(d, i) / 100.0 * 0.7))")} AS s FROM op2),
-      tk AS (SELECT run_id AS tkid, string_agg(kernel_name, ',' ORDER BY place) AS names FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, kernel_name) AS place FROM op3) WHERE place <= 5 GROUP BY 1), tr AS (SELECT run_id - {A.KERNEL_RUNS} AS trid, string_agg(rec, ',' ORDER BY place) AS recs FROM od WHERE place <= 3 AND run_id >= {A.KERNEL_RUNS} GROUP BY 1),
-      pd AS (SELECT run_id AS pid, CASE WHEN list_contains(sig, 'uncoalesced_global_loads=true') THEN 'inefficient_global_memory_access' WHEN list_contains(sig, 'occupancy_limited_by_registers=true') AND list_contains(sig, 'occupancy_good=false') THEN 'register_pressure' WHEN list_contains(sig, 'tensor_core_underutilized=true') THEN 'tensor_core_underutilization'
-        WHEN list_contains(sig, 'memory_bandwidth_saturated=true') THEN 'memory_bandwidth_saturation' WHEN roofline_region = 'memory_bound' THEN 'roofline_memory_bound' WHEN list_contains(sig, 'warp_stall_is_sync=true') THEN 'excessive_synchronization' WHEN mfu_pct < 20 THEN 'roofline_low_mfu' END AS p FROM ksg),
+      op2 AS (SELECT *, CASE WHEN known AND CASE WHEN abw > 0 THEN {_r("tf / abw * 1000.0")} END < peak / bw * 1000.0 THEN 'memory_bound' END AS region, CASE WHEN known
+      THEN {_r("tf / fp32 * 100.0", 2)} END AS kmfu, {_r("kernel_duration_us / sum(kernel_duration_us) OVER (PARTITION BY run_id) * 100.0", 2)} AS rs_pct FROM op1),
+      op3 AS (SELECT run_id, kernel_name, {_r("coalesce(rs_pct / 100.0, 1.0) * CASE WHEN region = 'memory_bound' THEN 1.0 WHEN kmfu < 20 THEN 0.85 WHEN achieved_occupancy_pct > 0 AND achieved_occupancy_pct < 30 THEN 0.7 WHEN d > 60 THEN 0.65 ELSE 0.4 END * greatest(0.0, coalesce(1.0 - least(kmfu, 100.0) / 100.0, 1.0 - greatest(d, i) / 100.0 * 0.7))")}
+      AS s FROM op2),
+      tk AS (SELECT run_id AS tkid, string_agg(kernel_name, ',' ORDER BY place) AS names FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC,
+      kernel_name) AS place FROM op3) WHERE place <= 5 GROUP BY 1), tr AS (SELECT run_id - {A.KERNEL_RUNS} AS trid, string_agg(rec, ',' ORDER BY place) AS recs FROM od WHERE
+      place <= 3 AND run_id >= {A.KERNEL_RUNS} GROUP BY 1),
+      pd AS (SELECT run_id AS pid, CASE WHEN list_contains(sig, 'uncoalesced_global_loads=true') THEN 'inefficient_global_memory_access' WHEN list_contains(sig,
+      'occupancy_limited_by_registers=true') AND list_contains(sig, 'occupancy_good=false') THEN 'register_pressure' WHEN list_contains(sig, 'tensor_core_underutilized=true')
+      THEN 'tensor_core_underutilization'
+        WHEN list_contains(sig, 'memory_bandwidth_saturated=true') THEN 'memory_bandwidth_saturation' WHEN roofline_region = 'memory_bound' THEN 'roofline_memory_bound'
+        WHEN list_contains(sig, 'warp_stall_is_sync=true') THEN 'excessive_synchronization' WHEN mfu_pct < 20 THEN 'roofline_low_mfu' END AS p FROM ksg),
       tl AS (SELECT run_id AS lid, label FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, rule_no) AS k FROM klab) WHERE k = 1)
-      SELECT kr.run_id, coalesce(p, tl.label) AS primary_diagnosis, {", ".join(f"{_r(m)} AS {m}" for m in S.BANDS)}, CASE WHEN dominant_warp_stall <> 'unknown' THEN dominant_warp_stall END AS dominant_warp_stall, coalesce(names, '') AS top_kernels, coalesce(recs, '') AS top_recommendations FROM kr LEFT JOIN pd ON pid = kr.run_id LEFT JOIN tl ON lid = kr.run_id LEFT JOIN tk ON tkid = kr.run_id LEFT JOIN tr ON trid = kr.run_id""",
+      SELECT kr.run_id, coalesce(p, tl.label) AS primary_diagnosis, {", ".join(f"{_r(m)} AS {m}" for m in S.BANDS)}, CASE WHEN dominant_warp_stall <> 'unknown' THEN
+      dominant_warp_stall END AS dominant_warp_stall, coalesce(names, '') AS top_kernels, coalesce(recs, '') AS top_recommendations FROM kr LEFT JOIN pd ON pid = kr.run_id
+      LEFT JOIN tl ON lid = kr.run_id LEFT JOIN tk ON tkid = kr.run_id LEFT JOIN tr ON trid = kr.run_id""",
 }

@@ -37,8 +37,12 @@ ORACLES = {
     "bottleneck_diff": f"{P._DIFF} SELECT * FROM bd",
     "metric_deltas": f"{P._SUMMARY}, dl AS ({P._delta}) SELECT pair_id, metric, before, after, delta, CASE WHEN abs(delta) < 0.001 THEN 'neutral' WHEN (delta > 0) = up THEN 'improved' ELSE 'regressed' END AS direction FROM dl",
     "headline_metric": f"{P._SUMMARY}, dl AS ({P._delta}) SELECT pair_id, metric, abs(delta) AS abs_delta FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY abs(delta) DESC, metric DESC) AS n FROM dl) WHERE n = 1",
-    "kernel_diff_verdict": f"""{P._DIFF}, n AS (SELECT pair_id AS p, count(CASE WHEN status = 'resolved' THEN 1 END) AS gone, count(CASE WHEN status = 'new' THEN 1 END) AS new, count(CASE WHEN status = 'improved' THEN 1 END) AS imp FROM bd GROUP BY 1),
-      v AS (SELECT a.run_id // 2 AS pair_id, CASE WHEN a.total_kernel_duration_us > 0 AND b.total_kernel_duration_us > 0 THEN {_r('a.total_kernel_duration_us / b.total_kernel_duration_us')} END AS time_ratio FROM rs a JOIN rs b ON a.run_id // 2 = b.run_id // 2 WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1),
-      w AS (SELECT pair_id, time_ratio, CASE WHEN gone > 0 AND new = 0 THEN 'improved' WHEN new > 0 AND gone = 0 THEN 'regressed' WHEN gone > 0 AND new > 0 THEN 'mixed' WHEN imp > 0 THEN 'improved' ELSE 'neutral' END AS label_outcome FROM v LEFT JOIN n ON p = pair_id)
+    "kernel_diff_verdict": f"""{P._DIFF}, n AS (SELECT pair_id AS p, count(CASE WHEN status = 'resolved' THEN 1 END) AS gone, count(CASE WHEN status = 'new' THEN 1 END)
+      AS new, count(CASE WHEN status = 'improved' THEN 1 END) AS imp FROM bd GROUP BY 1),
+      v AS (SELECT a.run_id // 2 AS pair_id, CASE WHEN a.total_kernel_duration_us > 0 AND b.total_kernel_duration_us > 0 THEN
+      {_r('a.total_kernel_duration_us / b.total_kernel_duration_us')} END AS time_ratio FROM rs a JOIN rs b ON a.run_id // 2 = b.run_id // 2 WHERE a.run_id % 2 = 0 AND
+      b.run_id % 2 = 1),
+      w AS (SELECT pair_id, time_ratio, CASE WHEN gone > 0 AND new = 0 THEN 'improved' WHEN new > 0 AND gone = 0 THEN 'regressed' WHEN gone > 0 AND new > 0 THEN 'mixed'
+      WHEN imp > 0 THEN 'improved' ELSE 'neutral' END AS label_outcome FROM v LEFT JOIN n ON p = pair_id)
       SELECT *, CASE WHEN time_ratio >= 1.05 THEN 'improved' WHEN time_ratio <= 0.95 THEN 'regressed' WHEN time_ratio IS NOT NULL THEN 'neutral' ELSE label_outcome END AS outcome FROM w""",
 }

@@ -145,21 +145,29 @@ _PIVOT = f"""WITH slot(slot, metric) AS (VALUES {_values}),
     m AS (SELECT run_id, kernel_name, metric, max_by(value, seq) AS v, CAST(sum(floor(value)) AS BIGINT) AS total, avg(value) AS mean, count(*) AS n FROM tall GROUP BY ALL),
     k0 AS (SELECT run_id, kernel_name, {", ".join(_one(x) for x in (*K.COUNTERS, *K.OTHERS))}, CAST({_one("registers_per_thread").split(" AS ")[0]} AS BIGINT) AS registers_per_thread, {_one("shared_memory_per_block_bytes", "total")},
       CAST({_one("threads_per_block").split(" AS ")[0]} AS BIGINT) AS threads_per_block, {", ".join(_one(f"warp_stall_{s}") for s in ("long_scoreboard", "barrier", "short_scoreboard"))} FROM m GROUP BY ALL),
-    k1 AS (SELECT *, greatest(stall_long_scoreboard, stall_barrier, stall_short_scoreboard) AS dominant_warp_stall_pct, num_stalls > 0 AS has FROM (SELECT *, (stall_long_scoreboard IS NOT NULL)::INT + (stall_barrier IS NOT NULL)::INT + (stall_short_scoreboard IS NOT NULL)::INT AS num_stalls FROM k0)),
-    k2 AS (SELECT *, CASE WHEN stall_barrier = dominant_warp_stall_pct THEN 'barrier' WHEN stall_long_scoreboard = dominant_warp_stall_pct THEN 'long_scoreboard' WHEN stall_short_scoreboard = dominant_warp_stall_pct THEN 'short_scoreboard' END AS dominant_warp_stall,
+    k1 AS (SELECT *, greatest(stall_long_scoreboard, stall_barrier, stall_short_scoreboard) AS dominant_warp_stall_pct, num_stalls > 0 AS has FROM (SELECT *,
+      (stall_long_scoreboard IS NOT NULL)::INT + (stall_barrier IS NOT NULL)::INT + (stall_short_scoreboard IS NOT NULL)::INT AS num_stalls FROM k0)),
+    k2 AS (SELECT *, CASE WHEN stall_barrier = dominant_warp_stall_pct THEN 'barrier' WHEN stall_long_scoreboard = dominant_warp_stall_pct THEN 'long_scoreboard' WHEN
+      stall_short_scoreboard = dominant_warp_stall_pct THEN 'short_scoreboard' END AS dominant_warp_stall,
       CASE WHEN threads_per_block > 0 THEN 32 END AS b_blocks, CASE WHEN threads_per_block > 0 AND registers_per_thread > 0 THEN 65536 // (registers_per_thread * threads_per_block) END AS b_registers,
       CASE WHEN threads_per_block > 0 AND shared_memory_per_block_bytes > 0 THEN 102400 // shared_memory_per_block_bytes END AS b_shared, CASE WHEN threads_per_block > 0 THEN 2048 // threads_per_block END AS b_threads FROM k1),
     k3 AS (SELECT *, least(b_blocks, b_registers, b_shared, b_threads) AS active_blocks FROM k2),
     k4 AS (SELECT *, {_r("least(active_blocks * threads_per_block / 2048.0::DOUBLE, 1.0) * 100.0", 2)} AS estimated_occupancy_pct, CASE WHEN threads_per_block > 0 THEN
-      concat_ws(',', CASE WHEN b_blocks = active_blocks THEN 'blocks' END, CASE WHEN b_registers = active_blocks THEN 'registers' END, CASE WHEN b_shared = active_blocks THEN 'shared_memory' END, CASE WHEN b_threads = active_blocks THEN 'threads' END) ELSE 'unknown_threads_per_block' END AS limiters FROM k3),
-    ks AS (SELECT *, {_r("estimated_occupancy_pct - achieved_occupancy_pct", 2)} AS gap, CASE WHEN estimated_occupancy_pct > 0 THEN {_r("achieved_occupancy_pct / estimated_occupancy_pct * 100.0", 1)} END AS eff, split_part(limiters, ',', 1) AS first_limiter FROM k4)"""
+      concat_ws(',', CASE WHEN b_blocks = active_blocks THEN 'blocks' END, CASE WHEN b_registers = active_blocks THEN 'registers' END, CASE WHEN b_shared = active_blocks
+      THEN 'shared_memory' END, CASE WHEN b_threads = active_blocks THEN 'threads' END) ELSE 'unknown_threads_per_block' END AS limiters FROM k3),
+    ks AS (SELECT *, {_r("estimated_occupancy_pct - achieved_occupancy_pct", 2)} AS gap, CASE WHEN estimated_occupancy_pct > 0 THEN
+      {_r("achieved_occupancy_pct / estimated_occupancy_pct * 100.0", 1)} END AS eff, split_part(limiters, ',', 1) AS first_limiter FROM k4)"""
 _means = [c for c in K.COUNTERS if c != "achieved_occupancy_pct"] + list(K.OTHERS[:4]) + list(K.LAUNCH)
 _frac = lambda c: f"coalesce({_r(f'sum(CASE WHEN has THEN coalesce({c}, 0) END) / (100.0 * nullif(count(CASE WHEN has THEN 1 END), 0))')}, 0.0)"
 _SUMMARY = f"""{_PIVOT},
-    base AS (SELECT run_id, count(*) AS kernel_count, count(coalesce({", ".join(K.COUNTERS)}, CASE WHEN has THEN 0 END)) AS kernels_with_data, {_r("sum(kernel_duration_us)")} AS total_kernel_duration_us, count(kernel_duration_us) AS kernels_with_duration,
+    base AS (SELECT run_id, count(*) AS kernel_count, count(coalesce({", ".join(K.COUNTERS)}, CASE WHEN has THEN 0 END)) AS kernels_with_data,
+      {_r("sum(kernel_duration_us)")} AS total_kernel_duration_us, count(kernel_duration_us) AS kernels_with_duration,
       {", ".join(f"{_r(f'avg({c})', 2)} AS avg_{c}" for c in _means)}, {_r("avg(coalesce(achieved_occupancy_pct, estimated_occupancy_pct))", 2)} AS avg_occupancy_pct, count(CASE WHEN has THEN 1 END) AS kernels_with_stalls,
-      {_frac("stall_long_scoreboard")} AS memory_stall_fraction, {_frac("stall_short_scoreboard")} AS compute_stall_fraction, (SELECT string_agg(DISTINCT f, ',' ORDER BY f) FROM (SELECT run_id AS r, unnest(string_split(limiters, ',')) AS f FROM ks) WHERE r = ks.run_id) AS limit_causes FROM ks GROUP BY run_id),
-    sm AS (SELECT run_id AS rid, s AS stall, {_r("sum(v) / max(ns)", 2)} AS mean FROM (SELECT run_id, count(CASE WHEN has THEN 1 END) OVER (PARTITION BY run_id) AS ns, unnest(['long_scoreboard', 'barrier', 'short_scoreboard']) AS s, unnest([stall_long_scoreboard, stall_barrier, stall_short_scoreboard]) AS v FROM ks) WHERE v IS NOT NULL GROUP BY run_id, s),
+      {_frac("stall_long_scoreboard")} AS memory_stall_fraction, {_frac("stall_short_scoreboard")} AS compute_stall_fraction, (SELECT string_agg(DISTINCT f, ',' ORDER BY
+      f) FROM (SELECT run_id AS r, unnest(string_split(limiters, ',')) AS f FROM ks) WHERE r = ks.run_id) AS limit_causes FROM ks GROUP BY run_id),
+    sm AS (SELECT run_id AS rid, s AS stall, {_r("sum(v) / max(ns)", 2)} AS mean FROM (SELECT run_id, count(CASE WHEN has THEN 1 END) OVER (PARTITION BY run_id) AS ns,
+      unnest(['long_scoreboard', 'barrier', 'short_scoreboard']) AS s, unnest([stall_long_scoreboard, stall_barrier, stall_short_scoreboard]) AS v FROM ks) WHERE v IS NOT NULL
+      GROUP BY run_id, s),
     tops AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY mean DESC, stall) AS n, coalesce(sum(CASE WHEN stall IN ('barrier', 'wait') THEN mean END) OVER (PARTITION BY rid), 0.0) AS sync FROM sm),
     rs AS (SELECT base.*, coalesce(stall, 'unknown') AS dominant_warp_stall, coalesce(mean, 0.0) AS dominant_warp_stall_pct, coalesce(sync, 0.0) AS sync_stall_pct FROM base LEFT JOIN tops ON rid = run_id AND n = 1)"""
 _unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
@@ -182,7 +190,8 @@ _RULES = [
     ("low_issue_efficiency", "avg_issue_slot_utilization_pct < 60", _unit("1.0 - avg_issue_slot_utilization_pct / 100.0")),
 ]
 _CLASSES = f"""{_SUMMARY}, lab AS ({" UNION ALL ".join(f"SELECT run_id, '{n}' AS label, {_r(s)} AS score, {i}::BIGINT AS rule_no FROM (SELECT *, kernels_with_data > 0 AS data FROM rs) WHERE {c}" for i, (n, c, s) in enumerate(_RULES))})"""
-_DIFF = f"""{_CLASSES}, bd AS (SELECT coalesce(a.p, b.p) AS pair_id, coalesce(a.label, b.label) AS label, a.score AS score_before, b.score AS score_after, CASE WHEN b.score IS NULL THEN 'resolved' WHEN a.score IS NULL THEN 'new' WHEN a.score - b.score > 0.02 THEN 'improved' ELSE 'persistent' END AS status
+_DIFF = f"""{_CLASSES}, bd AS (SELECT coalesce(a.p, b.p) AS pair_id, coalesce(a.label, b.label) AS label, a.score AS score_before, b.score AS score_after, CASE WHEN
+      b.score IS NULL THEN 'resolved' WHEN a.score IS NULL THEN 'new' WHEN a.score - b.score > 0.02 THEN 'improved' ELSE 'persistent' END AS status
     FROM (SELECT *, run_id // 2 AS p FROM lab WHERE run_id % 2 = 0) a FULL JOIN (SELECT *, run_id // 2 AS p FROM lab WHERE run_id % 2 = 1) b ON a.p = b.p AND a.label = b.label)"""
 _delta = " UNION ALL ".join(
     f"SELECT a.run_id // 2 AS pair_id, '{m}' AS metric, a.{m} AS before, b.{m} AS after, {_r(f'b.{m} - a.{m}')} AS delta, {'true' if up else 'false'} AS up FROM rs a JOIN rs b ON a.run_id // 2 = b.run_id // 2 WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1 AND a.{m} IS NOT NULL AND b.{m} IS NOT NULL"
@@ -197,7 +206,8 @@ _ROOF = f"""{_PIVOT}, {_ARCH}, pr AS (SELECT ks.*, ar.* FROM ks JOIN dv ON n = r
     rf AS (SELECT *, CASE WHEN known THEN {_r("tf")} END AS achieved_tflops, ai AS arithmetic_intensity, CASE WHEN known THEN CASE WHEN ai < peak / bw * 1000.0 THEN 'memory_bound' ELSE 'compute_bound' END END AS roofline_region,
       CASE WHEN known THEN CASE WHEN ai IS NULL THEN peak ELSE {_r("least(peak, bw * ai / 1000.0)")} END END AS roofline_ceiling_tflops, CASE WHEN known THEN {_r("tf / fp32 * 100.0", 2)} END AS mfu_pct,
       {_r("kernel_duration_us / sum(kernel_duration_us) OVER (PARTITION BY run_id) * 100.0", 2)} AS rs_pct, count(kernel_duration_us) OVER (PARTITION BY run_id) > 0 AS timed FROM r2),
-    tcs AS (SELECT *, coalesce(t > 5, false) AS tc_active, tc AND (i > 20 OR t > 1) AS tc_eligible, tc AND (i > 20 OR t > 1) AND NOT t > 5 AND i > 20 AS fallback, tc AND (i > 20 OR t > 1) AND NOT t > 10 AND (bf16 OR fp8) AS mixed_precision_opportunity,
+    tcs AS (SELECT *, coalesce(t > 5, false) AS tc_active, tc AND (i > 20 OR t > 1) AS tc_eligible, tc AND (i > 20 OR t > 1) AND NOT t > 5 AND i > 20 AS fallback, tc AND
+      (i > 20 OR t > 1) AND NOT t > 10 AND (bf16 OR fp8) AS mixed_precision_opportunity,
       CASE WHEN tensor_core_utilization_pct IS NULL THEN 'no_data' WHEN t > 50 THEN 'efficient' WHEN t > 5 THEN 'underutilized' WHEN tc AND (i > 20 OR t > 1) THEN 'inactive' ELSE 'no_data' END AS tc_label FROM rf)"""
 _stalls = "stall_long_scoreboard, stall_barrier, stall_short_scoreboard"
 ORACLES = {
@@ -211,13 +221,22 @@ ORACLES = {
     "arch_profile_join": f"WITH {_ARCH} SELECT run_id, ar.arch, CASE WHEN ar.arch = 'sm_75' THEN 9.0 ELSE fp32 END AS peak_fp32, CASE gpu_model WHEN 't4' THEN 60.0 WHEN 'h100' THEN 900.0 ELSE fp16 END AS peak_fp16, 1500.0::DOUBLE AS peak_bw, bf16, fp8 FROM (SELECT DISTINCT l_suppkey % 20 AS run_id FROM lineitem) JOIN dv ON n = run_id % 5 JOIN ar ON ar.arch = coalesce(dv.arch, 'sm_80')",
     "roofline": f"{_ROOF} SELECT run_id, kernel_name, achieved_tflops, arithmetic_intensity, roofline_region, roofline_ceiling_tflops, mfu_pct FROM rf",
     "tensor_efficiency": f"{_ROOF} SELECT run_id, kernel_name, tc_active, tc_eligible, fallback, mixed_precision_opportunity, tc_label FROM tcs",
-    "tensor_rollup": f"""{_ROOF}, a AS (SELECT run_id, count(tensor_core_utilization_pct) AS kernels_with_tc, count(CASE WHEN tc_active THEN 1 END) AS kernels_tc_active, count(CASE WHEN tc_eligible AND NOT tc_active THEN 1 END) AS eligible_inactive, count(CASE WHEN fallback THEN 1 END) AS fallbacks, {_r('avg(tensor_core_utilization_pct)', 2)} AS avg_tc_pct, bool_or(mixed_precision_opportunity) AS any_opportunity FROM tcs GROUP BY run_id)
-      SELECT *, CASE WHEN kernels_with_tc = 0 THEN 'no_data' WHEN fallbacks > 0 OR eligible_inactive > 0 THEN 'inactive' WHEN avg_tc_pct > 50 THEN 'efficient' WHEN kernels_tc_active > 0 THEN 'underutilized' ELSE 'no_data' END AS overall_label FROM a""",
-    "occupancy_rollup": f"""{_PIVOT}, lim AS (SELECT run_id, f, count(*) AS n FROM (SELECT run_id, unnest(string_split(limiters, ',')) AS f FROM ks) GROUP BY ALL), one AS (SELECT run_id AS rid, f FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, f) AS k FROM lim) WHERE k = 1)
-      SELECT run_id, count(achieved_occupancy_pct) AS kernels_with_occupancy, count(CASE WHEN achieved_occupancy_pct < 40 THEN 1 END) AS kernels_low_occupancy, {_r('avg(achieved_occupancy_pct)', 2)} AS avg_achieved_occupancy_pct, {_r('avg(gap)', 2)} AS avg_occupancy_gap_pct, {_r('avg(eff)', 2)} AS avg_occupancy_efficiency_pct, any_value(f) AS dominant_limiter FROM ks JOIN one ON rid = run_id GROUP BY run_id""",
+    "tensor_rollup": f"""{_ROOF}, a AS (SELECT run_id, count(tensor_core_utilization_pct) AS kernels_with_tc, count(CASE WHEN tc_active THEN 1 END) AS kernels_tc_active,
+      count(CASE WHEN tc_eligible AND NOT tc_active THEN 1 END) AS eligible_inactive, count(CASE WHEN fallback THEN 1 END) AS fallbacks,
+      {_r('avg(tensor_core_utilization_pct)', 2)} AS avg_tc_pct, bool_or(mixed_precision_opportunity) AS any_opportunity FROM tcs GROUP BY run_id)
+      SELECT *, CASE WHEN kernels_with_tc = 0 THEN 'no_data' WHEN fallbacks > 0 OR eligible_inactive > 0 THEN 'inactive' WHEN avg_tc_pct > 50 THEN 'efficient' WHEN
+      kernels_tc_active > 0 THEN 'underutilized' ELSE 'no_data' END AS overall_label FROM a""",
+    "occupancy_rollup": f"""{_PIVOT}, lim AS (SELECT run_id, f, count(*) AS n FROM (SELECT run_id, unnest(string_split(limiters, ',')) AS f FROM ks) GROUP BY ALL), one AS
+      (SELECT run_id AS rid, f FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, f) AS k FROM lim) WHERE k = 1)
+      SELECT run_id, count(achieved_occupancy_pct) AS kernels_with_occupancy, count(CASE WHEN achieved_occupancy_pct < 40 THEN 1 END) AS kernels_low_occupancy,
+      {_r('avg(achieved_occupancy_pct)', 2)} AS avg_achieved_occupancy_pct, {_r('avg(gap)', 2)} AS avg_occupancy_gap_pct, {_r('avg(eff)', 2)} AS avg_occupancy_efficiency_pct,
+      any_value(f) AS dominant_limiter FROM ks JOIN one ON rid = run_id GROUP BY run_id""",
     "kernel_run_summary": f"{_SUMMARY} SELECT * FROM rs",
     "classify_kernels_run": f"{_CLASSES} SELECT * FROM lab",
     "runtime_share": f"{_PIVOT} SELECT run_id, kernel_name, {_r('kernel_duration_us / sum(kernel_duration_us) OVER (PARTITION BY run_id) * 100.0', 2)} AS runtime_share_pct FROM ks",
-    "kernel_opportunity": f"""{_ROOF}, op AS (SELECT *, {_r("coalesce(rs_pct / 100.0, 1.0) * CASE WHEN roofline_region = 'memory_bound' THEN 1.0 WHEN mfu_pct < 20 THEN 0.85 WHEN achieved_occupancy_pct > 0 AND achieved_occupancy_pct < 30 THEN 0.7 WHEN d > 60 THEN 0.65 ELSE 0.4 END * greatest(0.0, coalesce(1.0 - least(mfu_pct, 100.0) / 100.0, 1.0 - greatest(d, i) / 100.0 * 0.7))")} AS s FROM rf)
-      SELECT run_id, kernel_name, s AS opportunity_score, CASE WHEN s > CASE WHEN timed THEN 0.25 ELSE 0.55 END THEN 'high' WHEN s > CASE WHEN timed THEN 0.08 ELSE 0.25 END THEN 'medium' ELSE 'low' END AS opportunity, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, kernel_name) AS place FROM op) WHERE place <= 5""",
+    "kernel_opportunity": f"""{_ROOF}, op AS (SELECT *, {_r("coalesce(rs_pct / 100.0, 1.0) * CASE WHEN roofline_region = 'memory_bound' THEN 1.0 WHEN mfu_pct < 20 THEN 0.85 WHEN achieved_occupancy_pct > 0 AND achieved_occupancy_pct < 30 THEN 0.7 WHEN d > 60 THEN 0.65 ELSE 0.4 END * greatest(0.0, coalesce(1.0 - least(mfu_pct, 100.0) / 100.0, 1.0 - greatest(d, i) / 100.0 * 0.7))")}
+      AS s FROM rf)
+      SELECT run_id, kernel_name, s AS opportunity_score, CASE WHEN s > CASE WHEN timed THEN 0.25 ELSE 0.55 END THEN 'high' WHEN s > CASE WHEN timed THEN 0.08 ELSE 0.25
+      END THEN 'medium' ELSE 'low' END AS opportunity, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, kernel_name) AS place FROM op) WHERE place
+      <= 5""",
 }

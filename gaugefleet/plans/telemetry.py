@@ -113,7 +113,8 @@ def _summary(steps: str, scope: str) -> str:
       {ratio('loader')} AS ir, {ratio('h2d')} AS cr, {ratio('sync')} AS sr,
       CASE WHEN greatest(sum(loader), sum(h2d), sum(sync)) <= 0 THEN CASE WHEN sum(fwd + bwd + opt) > 0 THEN 'compute_bound' ELSE 'unknown' END
            WHEN sum(loader) >= sum(h2d) AND sum(loader) >= sum(sync) THEN 'input_bound' WHEN sum(h2d) >= sum(sync) THEN 'copy_bound' ELSE 'sync_bound' END AS stall
-    FROM (SELECT *, sig IS NOT NULL AND sig <> prev AS changed FROM (SELECT *, last_value(sig IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {steps})) GROUP BY run_id"""
+    FROM (SELECT *, sig IS NOT NULL AND sig <> prev AS changed FROM (SELECT *, last_value(sig IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN
+      UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {steps})) GROUP BY run_id"""
 
 
 _STEPS = f"""WITH {SQL["ev"]}, {SQL["gs"]},
@@ -137,15 +138,19 @@ _STEPS = f"""WITH {SQL["ev"]}, {SQL["gs"]},
       SELECT run_id, scope, 'insufficient_telemetry', 1.0, 7 FROM runs WHERE completed > 0 AND util <= 0 AND stall = 'unknown')),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, scope ORDER BY score DESC, rule_no) AS place FROM lab),
     agg AS (SELECT run_id AS rid, scope AS sc, max(CASE WHEN place = 1 THEN label END) AS p, max(CASE WHEN place = 1 THEN score END) AS top, coalesce(max(CASE WHEN place = 2 THEN score END), 0.0) AS second, count(*) AS n,
-      concat_ws(',', max(CASE WHEN place = 2 THEN label END), max(CASE WHEN place = 3 THEN label END)) AS sec, bool_or(label = 'input_bound') AS i, bool_or(label = 'copy_bound') AS c, bool_or(label = 'sync_bound') AS s FROM ranked GROUP BY 1, 2),
+      concat_ws(',', max(CASE WHEN place = 2 THEN label END), max(CASE WHEN place = 3 THEN label END)) AS sec, bool_or(label = 'input_bound') AS i, bool_or(label =
+      'copy_bound') AS c, bool_or(label = 'sync_bound') AS s FROM ranked GROUP BY 1, 2),
     diag AS (SELECT run_id, scope, coalesce(p, CASE WHEN win > 0 THEN 'inconclusive' END) AS primary_bottleneck,
-      coalesce(CASE WHEN p IN ('underutilized_gpu', 'launch_bound') THEN CASE WHEN i THEN 'input_bound' WHEN c THEN 'copy_bound' WHEN s THEN 'sync_bound' ELSE p END ELSE p END, CASE WHEN win > 0 THEN 'inconclusive' END) AS user_facing_bottleneck,
-      coalesce(sec, '') AS secondary_bottlenecks, coalesce({_r("least(1.0, greatest(0.0, top + (CASE WHEN n = 1 THEN 0.15 ELSE 0.0 END + CASE WHEN top - second >= 0.25 THEN 0.15 WHEN top - second >= 0.1 THEN 0.1 WHEN top - second > 0 THEN 0.05 ELSE 0.0 END + CASE WHEN stall = p THEN 0.1 WHEN stall NOT IN ('unknown', 'compute_bound') THEN -0.05 ELSE 0.0 END)))")}, 0.0) AS confidence_score
+      coalesce(CASE WHEN p IN ('underutilized_gpu', 'launch_bound') THEN CASE WHEN i THEN 'input_bound' WHEN c THEN 'copy_bound' WHEN s THEN 'sync_bound' ELSE p END ELSE
+      p END, CASE WHEN win > 0 THEN 'inconclusive' END) AS user_facing_bottleneck,
+      coalesce(sec, '') AS secondary_bottlenecks, coalesce({_r("least(1.0, greatest(0.0, top + (CASE WHEN n = 1 THEN 0.15 ELSE 0.0 END + CASE WHEN top - second >= 0.25 THEN 0.15 WHEN top - second >= 0.1 THEN 0.1 WHEN top - second > 0 THEN 0.05 ELSE 0.0 END + CASE WHEN stall = p THEN 0.1 WHEN stall NOT IN ('unknown', 'compute_bound') THEN -0.05 ELSE 0.0 END)))")},
+      0.0) AS confidence_score
       FROM runs LEFT JOIN agg ON rid = run_id AND sc = scope)"""
 
 _SUMMARY_COLUMNS = f"""run_id, completed AS completed_steps, {_r("tput")} AS throughput_steps_per_sec, {_r("wall_avg")} AS step_time_avg_ns, wall_max AS step_time_max_ns, {_r("cv")} AS step_time_cv,
     win AS profiler_windows_exported, {_r("kc")} AS kernel_count_per_step, {_r("med")} AS median_cuda_kernel_duration_us, {_r("sf")} AS small_kernel_fraction, {_r("vol")} AS shape_volatility_ratio, stall AS dominant_stall_type,
-    {_r("ir")} AS input_bound_ratio, {_r("cr")} AS copy_bound_ratio, {_r("sr")} AS sync_bound_ratio, {_r("util")} AS average_gpu_utilization_pct, {_r("mem")} AS average_memory_utilization_pct, {_r("peak")} AS memory_pressure_peak_ratio, {_r("inst")} AS utilization_instability_pct, scope"""
+    {_r("ir")} AS input_bound_ratio, {_r("cr")} AS copy_bound_ratio, {_r("sr")} AS sync_bound_ratio, {_r("util")} AS average_gpu_utilization_pct, {_r("mem")} AS
+      average_memory_utilization_pct, {_r("peak")} AS memory_pressure_peak_ratio, {_r("inst")} AS utilization_instability_pct, scope"""
 
 _over = {k: f"CASE WHEN {c} >= {t} THEN {_r(c)} ELSE 0.0 END" for k, c, t in (("i", "ir", 0.2), ("c", "cr", 0.15), ("s", "sr", 0.1))}
 _SIGNALS = [
@@ -155,28 +160,42 @@ _SIGNALS = [
 ]
 
 ORACLES = {
-    "step_metrics": f"""{_STEPS} SELECT run_id, step_id, status, wall AS step_wall_time_ns, loader AS dataloader_wait_time_ns, h2d AS h2d_copy_time_ns, sync AS sync_wait_time_ns, fwd AS forward_time_ns, bwd AS backward_time_ns, opt AS optimizer_time_ns,
-      sig AS shape_signature, batch AS batch_size, win AS profiler_windows_exported, kc AS kernel_count, {_r("med")} AS median_cuda_kernel_duration_us, {_r("sf")} AS small_kernel_fraction, {_r("CASE WHEN wall > 0 THEN least(1.0, (fwd + bwd + opt) / CAST(wall AS DOUBLE)) ELSE 0.0 END")} AS gpu_active_fraction_proxy FROM steps""",
+    "step_metrics": f"""{_STEPS} SELECT run_id, step_id, status, wall AS step_wall_time_ns, loader AS dataloader_wait_time_ns, h2d AS h2d_copy_time_ns, sync AS
+      sync_wait_time_ns, fwd AS forward_time_ns, bwd AS backward_time_ns, opt AS optimizer_time_ns,
+      sig AS shape_signature, batch AS batch_size, win AS profiler_windows_exported, kc AS kernel_count, {_r("med")} AS median_cuda_kernel_duration_us, {_r("sf")} AS
+      small_kernel_fraction, {_r("CASE WHEN wall > 0 THEN least(1.0, (fwd + bwd + opt) / CAST(wall AS DOUBLE)) ELSE 0.0 END")} AS gpu_active_fraction_proxy FROM steps""",
     "run_summary": f"{_STEPS} SELECT {_SUMMARY_COLUMNS} FROM runs WHERE scope = 'run'",
     "scoped_summary": f"{_STEPS} SELECT {_SUMMARY_COLUMNS} FROM runs WHERE scope = 'steady'",
     "dominant_stall": f"{_STEPS} SELECT run_id, stall AS dominant_stall_type FROM runs WHERE scope = 'run'",
     "steady_state_steps": f"{_STEPS} SELECT run_id, step_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_id DESC) AS m FROM steady) WHERE m <= 100",
-    "shape_changes": f"""{_STEPS} SELECT run_id, step_id, sig AS shape_signature, coalesce(sig <> prev, false) AS shape_changed FROM (SELECT *, last_value(sig IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM steps)""",
-    "worst_steps": f"""{_STEPS}, l AS (SELECT run_id, step_id, 'input_bound' AS label, least(1.0, loader / CAST(wall AS DOUBLE)) AS v FROM steps WHERE status = 'ok' AND wall > 0 UNION ALL SELECT run_id, step_id, 'copy_bound', least(1.0, h2d / CAST(wall AS DOUBLE)) FROM steps WHERE status = 'ok' AND wall > 0
-      UNION ALL SELECT run_id, step_id, 'sync_bound', least(1.0, sync / CAST(wall AS DOUBLE)) FROM steps WHERE status = 'ok' AND wall > 0) SELECT run_id, step_id, label, {_r("v")} AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY v DESC, step_id) AS place FROM l WHERE v > 0) WHERE place <= 3""",
-    "measurement_window": f"""{_STEPS} SELECT run_id, count(*) AS step_count, {_r("avg(wall)")} AS step_time_avg_ns, {_r("count(*) / (sum(wall) / 1e9)")} AS throughput_steps_per_sec, {_r("count(CASE WHEN sig <> prev THEN 1 END) / CAST(count(*) AS DOUBLE)")} AS shape_volatility_ratio
-      FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_id) AS n FROM (SELECT *, last_value(sig IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM steps) WHERE status = 'ok' AND wall > 0) WHERE n BETWEEN 3 AND 12 GROUP BY run_id""",
+    "shape_changes": f"""{_STEPS} SELECT run_id, step_id, sig AS shape_signature, coalesce(sig <> prev, false) AS shape_changed FROM (SELECT *, last_value(sig IGNORE
+      NULLS) OVER (PARTITION BY run_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM steps)""",
+    "worst_steps": f"""{_STEPS}, l AS (SELECT run_id, step_id, 'input_bound' AS label, least(1.0, loader / CAST(wall AS DOUBLE)) AS v FROM steps WHERE status = 'ok' AND
+      wall > 0 UNION ALL SELECT run_id, step_id, 'copy_bound', least(1.0, h2d / CAST(wall AS DOUBLE)) FROM steps WHERE status = 'ok' AND wall > 0
+      UNION ALL SELECT run_id, step_id, 'sync_bound', least(1.0, sync / CAST(wall AS DOUBLE)) FROM steps WHERE status = 'ok' AND wall > 0) SELECT run_id, step_id, label,
+      {_r("v")} AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY v DESC, step_id) AS place FROM l WHERE v > 0) WHERE place <= 3""",
+    "measurement_window": f"""{_STEPS} SELECT run_id, count(*) AS step_count, {_r("avg(wall)")} AS step_time_avg_ns, {_r("count(*) / (sum(wall) / 1e9)")} AS
+      throughput_steps_per_sec, {_r("count(CASE WHEN sig <> prev THEN 1 END) / CAST(count(*) AS DOUBLE)")} AS shape_volatility_ratio
+      FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_id) AS n FROM (SELECT *, last_value(sig IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY
+      step_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM steps) WHERE status = 'ok' AND wall > 0) WHERE n BETWEEN 3 AND 12 GROUP BY run_id""",
     "classify_run": f"{_STEPS} SELECT run_id, scope, label, score, CAST(rule_no AS BIGINT) AS rule_no FROM lab",
     "rank_bottlenecks": f"{_STEPS} SELECT run_id, label, score, place FROM ranked WHERE scope = 'run'",
     "diagnose_run": f"{_STEPS} SELECT *, CASE WHEN confidence_score >= 0.75 THEN 'high' WHEN confidence_score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_level FROM diag",
     "steady_vs_run": f"{_STEPS} SELECT a.run_id, a.primary_bottleneck AS run_primary, b.primary_bottleneck AS steady_primary, a.primary_bottleneck IS DISTINCT FROM b.primary_bottleneck AS diagnosis_changed FROM diag a LEFT JOIN diag b ON a.run_id = b.run_id AND b.scope = 'steady' WHERE a.scope = 'run'",
-    "framework_tax": f"""{_STEPS}, t AS (SELECT run_id, greatest(0.0, (1.0 - least(1.0, greatest(0.0, util / 100.0))) - ({_over["i"]} + {_over["c"]} + {_over["s"]})) AS i, {_over["i"]} + {_over["c"]} + {_over["s"]} AS pipe, sf AS s, vol AS v, kc AS k, least(1.0, 0.6 * sf + 0.4 * least(1.0, kc / 200.0)) AS p FROM runs WHERE scope = 'run' AND win > 0),
+    "framework_tax": f"""{_STEPS}, t AS (SELECT run_id, greatest(0.0, (1.0 - least(1.0, greatest(0.0, util / 100.0))) - ({_over["i"]} + {_over["c"]} + {_over["s"]})) AS
+      i, {_over["i"]} + {_over["c"]} + {_over["s"]} AS pipe, sf AS s, vol AS v, kc AS k, least(1.0, 0.6 * sf + 0.4 * least(1.0, kc / 200.0)) AS p FROM runs WHERE scope = 'run'
+      AND win > 0),
       u AS (SELECT *, CAST(floor(least(100.0, 100.0 * i * (0.5 + 0.5 * p)) + 0.5) AS BIGINT) AS score FROM t),
-      w AS (SELECT run_id, 0 AS n, floor(100 * p + 0.5) AS o, 'launch_fragmentation' AS name FROM u WHERE score >= 20 AND i >= 0.05 AND p > 0.1 UNION ALL SELECT run_id, 1, floor(100.0 * (i * (0.5 + 0.5 * p)) + 0.5), 'graph_capture' FROM u WHERE score >= 20 AND i >= 0.05 AND v < 0.3 AND k >= 30
-        UNION ALL SELECT run_id, 2, floor(100.0 * (s * 0.5) + 0.5), 'unfused_elementwise' FROM u WHERE score >= 20 AND i >= 0.05 AND s >= 0.4 UNION ALL SELECT run_id, 3, floor(100.0 * v + 0.5), 'dynamic_shapes' FROM u WHERE score >= 20 AND i >= 0.05 AND v >= 0.3)
+      w AS (SELECT run_id, 0 AS n, floor(100 * p + 0.5) AS o, 'launch_fragmentation' AS name FROM u WHERE score >= 20 AND i >= 0.05 AND p > 0.1 UNION ALL SELECT run_id,
+      1, floor(100.0 * (i * (0.5 + 0.5 * p)) + 0.5), 'graph_capture' FROM u WHERE score >= 20 AND i >= 0.05 AND v < 0.3 AND k >= 30
+        UNION ALL SELECT run_id, 2, floor(100.0 * (s * 0.5) + 0.5), 'unfused_elementwise' FROM u WHERE score >= 20 AND i >= 0.05 AND s >= 0.4 UNION ALL SELECT run_id, 3,
+        floor(100.0 * v + 0.5), 'dynamic_shapes' FROM u WHERE score >= 20 AND i >= 0.05 AND v >= 0.3)
       SELECT u.run_id, {_r("i")} AS overhead_idle_fraction, {_r("pipe")} AS pipeline_idle_fraction, score, CASE WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'moderate' ELSE 'low' END AS severity, coalesce(c, '') AS contributors
       FROM u LEFT JOIN (SELECT run_id, string_agg(name, ',' ORDER BY o DESC, n) AS c FROM w GROUP BY run_id) x ON x.run_id = u.run_id""",
-    "extract_signals": f"""{_STEPS}, o AS (SELECT *, {_over["i"]} AS i, {_over["c"]} AS c, {_over["s"]} AS s FROM runs WHERE scope = 'run') SELECT run_id, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in sorted(_SIGNALS))}) AS signals, {_r("i")} AS input_frac, {_r("c")} AS h2d_frac, {_r("s")} AS sync_frac, {_r("cv")} AS step_time_cv FROM o""",
-    "union_sources": f"""WITH {SQL["ev"]}, {SQL["gs"]}, t AS (SELECT run_id, CASE WHEN k = 1 THEN 'dataloader_span' WHEN k = 2 THEN 'memcpy_span' WHEN k = 6 THEN 'sync_wait' WHEN k = 7 THEN CASE WHEN win THEN 'profiler_window' ELSE 'shape_snapshot' END ELSE 'phase_span' END AS event_type, NULL::DOUBLE AS u FROM ev
+    "extract_signals": f"""{_STEPS}, o AS (SELECT *, {_over["i"]} AS i, {_over["c"]} AS c, {_over["s"]} AS s FROM runs WHERE scope = 'run') SELECT run_id, concat_ws(',',
+      {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in sorted(_SIGNALS))}) AS signals, {_r("i")} AS input_frac, {_r("c")} AS h2d_frac, {_r("s")} AS sync_frac, {_r("cv")}
+      AS step_time_cv FROM o""",
+    "union_sources": f"""WITH {SQL["ev"]}, {SQL["gs"]}, t AS (SELECT run_id, CASE WHEN k = 1 THEN 'dataloader_span' WHEN k = 2 THEN 'memcpy_span' WHEN k = 6 THEN
+      'sync_wait' WHEN k = 7 THEN CASE WHEN win THEN 'profiler_window' ELSE 'shape_snapshot' END ELSE 'phase_span' END AS event_type, NULL::DOUBLE AS u FROM ev
       UNION ALL SELECT o_custkey % 50, unnest(['step_start', 'step_end']), NULL FROM orders UNION ALL SELECT run_id, 'gpu_sample', util FROM gs) SELECT run_id, event_type, count(*) AS n, count(u) AS n_util FROM t GROUP BY ALL""",
 }

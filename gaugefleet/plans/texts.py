@@ -22,12 +22,15 @@ from gaugefleet.plans.views import table
 RUNS = 20
 _PTX = r"""concat('.version 8.0\n.target sm_80\n.visible .entry k', p_partkey, '(\n)\n{\n .reg .pred %p<4>;\n .reg .b32 %r<', p_size * 2, '>;\n .reg .f64 %fd<', p_partkey % 40, '>;\n',
     CASE WHEN p_partkey % 37 = 0 THEN ' .local .align 4 .b8 loc[64];\n ld.local.f32 %f1, [loc];\n' ELSE '' END, repeat(' ld.global.f32 %f1, [%rd1];\n', p_size % 9), repeat(' ld.global.v4.f32 {%f1, %f2, %f3, %f4}, [%rd1];\n', p_partkey % 3),
-    repeat(' st.global.f64 [%rd2], %fd1;\n', CASE WHEN p_partkey % 20 < 10 THEN p_partkey % 4 ELSE 0 END), repeat(' add.f32 %f1, %f1, %f2;\n', p_size), repeat(' fma.rn.f64 %fd1, %fd1, %fd2, %fd3;\n', CASE WHEN p_partkey % 20 < 5 THEN p_partkey % 2 ELSE 0 END),
+    repeat(' st.global.f64 [%rd2], %fd1;\n', CASE WHEN p_partkey % 20 < 10 THEN p_partkey % 4 ELSE 0 END), repeat(' add.f32 %f1, %f1, %f2;\n', p_size),
+      repeat(' fma.rn.f64 %fd1, %fd1, %fd2, %fd3;\n', CASE WHEN p_partkey % 20 < 5 THEN p_partkey % 2 ELSE 0 END),
     '$L1:\n', repeat(' @%p1 bra $L1;\n', p_partkey % 5), repeat(' ld.shared.f32 %f1, [%rd3];\n', CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END), ' ret;\n}\n')"""
 _CUDA = r"""concat('// __global__ void none() { }\n__global__ void k', p_partkey, '(float* a, const float* b, int n) {\n', CASE WHEN p_partkey % 5 <> 4 THEN '  int idx = blockIdx.x * blockDim.x + threadIdx.x;\n' ELSE '  int idx = 0;\n' END,
-    CASE p_partkey % 6 WHEN 0 THEN '  __shared__ float tile[32][16];\n' WHEN 2 THEN '  __shared__ float tile[32][26];\n' WHEN 4 THEN '  __shared__ float tile[32][32];\n' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '  if (idx < n) n = n - 1;\n' ELSE '' END,
+    CASE p_partkey % 6 WHEN 0 THEN '  __shared__ float tile[32][16];\n' WHEN 2 THEN '  __shared__ float tile[32][26];\n' WHEN 4 THEN '  __shared__ float tile[32][32];\n'
+      ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '  if (idx < n) n = n - 1;\n' ELSE '' END,
     repeat('  a[idx] = b[idx];\n', p_size % 4), repeat('  for (int j = 0; j < n; ++j) {\n    a[j] += b[j];\n    __syncthreads();\n  }\n', p_partkey % 4), CASE WHEN p_partkey % 7 = 0 THEN '  a[idx * stride] = 0;\n' ELSE '' END,
-    CASE WHEN p_partkey % 11 = 0 THEN '  if (threadIdx.x % 2 == 0) n = 0;\n' ELSE '' END, '}\nvoid run() { k', p_partkey, '<<<grid, ', CASE p_partkey % 4 WHEN 0 THEN '128' WHEN 1 THEN 'dim3(16, 3)' WHEN 2 THEN '20' ELSE 'bs' END, '>>>(a, b, n); }\n')"""
+    CASE WHEN p_partkey % 11 = 0 THEN '  if (threadIdx.x % 2 == 0) n = 0;\n' ELSE '' END, '}\nvoid run() { k', p_partkey, '<<<grid, ', CASE p_partkey % 4 WHEN 0 THEN
+      '128' WHEN 1 THEN 'dim3(16, 3)' WHEN 2 THEN '20' ELSE 'bs' END, '>>>(a, b, n); }\n')"""
 
 
 def texts(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -168,18 +171,26 @@ def q_primary_reconciled(spark, d):
 QUERIES = {name.removeprefix("q_"): f for name, f in globals().items() if name.startswith("q_")}
 
 _P = f"""pt AS (SELECT p_partkey AS pk, p_size AS sz, p_partkey % {RUNS} AS run_id, p_partkey % 20 AS m FROM part),
-    px0 AS (SELECT *, sz % 9 + 4 * (pk % 3) AS gl, CASE WHEN m < 10 THEN pk % 4 ELSE 0 END AS gs, CASE WHEN pk % 3 = 0 THEN 2 ELSE 0 END AS sl, CASE WHEN pk % 37 = 0 THEN 1 ELSE 0 END AS ll, pk % 5 AS cb, CASE WHEN m < 5 THEN pk % 2 ELSE 0 END AS f64,
+    px0 AS (SELECT *, sz % 9 + 4 * (pk % 3) AS gl, CASE WHEN m < 10 THEN pk % 4 ELSE 0 END AS gs, CASE WHEN pk % 3 = 0 THEN 2 ELSE 0 END AS sl, CASE WHEN pk % 37 = 0 THEN
+      1 ELSE 0 END AS ll, pk % 5 AS cb, CASE WHEN m < 5 THEN pk % 2 ELSE 0 END AS f64,
       sz * 2 + 2 * (pk % 40) AS regs, CASE WHEN pk % 37 = 0 THEN 64 ELSE 0 END AS loc FROM pt),
     px AS (SELECT *, ll + sz % 9 + pk % 3 + gs + sz + f64 + cb + sl + 1 AS ins FROM px0),
-    ps AS (SELECT run_id, count(*) AS kernel_count, CAST(sum(ins) AS BIGINT) AS total_instructions, {_r("avg(regs)", 1)} AS avg_register_count, CAST(max(regs) AS BIGINT) AS max_register_count, count(CASE WHEN loc > 0 THEN 1 END) AS kernels_with_spills,
-      CAST(sum(ll) AS BIGINT) AS total_spill_loads, 0::BIGINT AS total_spill_stores, count(CASE WHEN f64 > 0 THEN 1 END) AS kernels_with_fp64, count(CASE WHEN gs > 0 THEN 1 END) AS kernels_with_fp64_data_movement, CAST(sum(gs) AS BIGINT) AS total_fp64_data_movement_ops,
-      0::BIGINT AS kernels_with_tensor_ops, {_r("max((gl + gs) / ins)")} AS max_global_memory_ratio, {_r("avg((gl + gs) / ins)")} AS avg_global_memory_ratio, count(CASE WHEN (gl + gs) / ins > 0.4 THEN 1 END) AS kernels_with_high_global_memory_ratio,
-      count(CASE WHEN sl = 0 THEN 1 END) AS kernels_without_shared_memory, {_r("max(cb / ins)")} AS max_branch_density, count(CASE WHEN cb / ins > 0.15 THEN 1 END) AS kernels_with_high_branch_density, sum(gl) AS t_global_loads, sum(gs) AS t_global_stores, sum(sz) AS t_fp32_ops, sum(cb + 1) AS t_control_flow FROM px GROUP BY run_id),
+    ps AS (SELECT run_id, count(*) AS kernel_count, CAST(sum(ins) AS BIGINT) AS total_instructions, {_r("avg(regs)", 1)} AS avg_register_count, CAST(max(regs) AS BIGINT)
+      AS max_register_count, count(CASE WHEN loc > 0 THEN 1 END) AS kernels_with_spills,
+      CAST(sum(ll) AS BIGINT) AS total_spill_loads, 0::BIGINT AS total_spill_stores, count(CASE WHEN f64 > 0 THEN 1 END) AS kernels_with_fp64, count(CASE WHEN gs > 0 THEN
+      1 END) AS kernels_with_fp64_data_movement, CAST(sum(gs) AS BIGINT) AS total_fp64_data_movement_ops,
+      0::BIGINT AS kernels_with_tensor_ops, {_r("max((gl + gs) / ins)")} AS max_global_memory_ratio, {_r("avg((gl + gs) / ins)")} AS avg_global_memory_ratio, count(CASE
+      WHEN (gl + gs) / ins > 0.4 THEN 1 END) AS kernels_with_high_global_memory_ratio,
+      count(CASE WHEN sl = 0 THEN 1 END) AS kernels_without_shared_memory, {_r("max(cb / ins)")} AS max_branch_density, count(CASE WHEN cb / ins > 0.15 THEN 1 END) AS
+      kernels_with_high_branch_density, sum(gl) AS t_global_loads, sum(gs) AS t_global_stores, sum(sz) AS t_fp32_ops, sum(cb + 1) AS t_control_flow FROM px GROUP BY run_id),
     pl AS (SELECT run_id, 'ptx_register_spills' AS label, {_r("least(1.0, 0.95 + least(0.05, 0.01 * kernels_with_spills))")} AS score, 0::BIGINT AS rule_no FROM ps WHERE kernels_with_spills > 0 UNION ALL
-      SELECT run_id, 'ptx_register_pressure', CASE WHEN max_register_count > 128 THEN {_r("0.75 + least(0.15, (max_register_count - 128) / 512)")} ELSE {_r("0.5 + least(0.2, (max_register_count - 64) / 320)")} END, 1 FROM ps WHERE max_register_count > 64 UNION ALL
-      SELECT run_id, 'ptx_global_memory_heavy', {_r("0.45 + least(0.35, max_global_memory_ratio - 0.4)")}, 2 FROM ps WHERE max_global_memory_ratio > 0.4 UNION ALL SELECT run_id, 'ptx_fp64_usage', CASE WHEN kernels_with_fp64 > 0 THEN 0.45 ELSE 0.35 END, 3 FROM ps WHERE kernels_with_fp64 + kernels_with_fp64_data_movement > 0 UNION ALL
+      SELECT run_id, 'ptx_register_pressure', CASE WHEN max_register_count > 128 THEN {_r("0.75 + least(0.15, (max_register_count - 128) / 512)")} ELSE
+      {_r("0.5 + least(0.2, (max_register_count - 64) / 320)")} END, 1 FROM ps WHERE max_register_count > 64 UNION ALL
+      SELECT run_id, 'ptx_global_memory_heavy', {_r("0.45 + least(0.35, max_global_memory_ratio - 0.4)")}, 2 FROM ps WHERE max_global_memory_ratio > 0.4 UNION ALL SELECT
+      run_id, 'ptx_fp64_usage', CASE WHEN kernels_with_fp64 > 0 THEN 0.45 ELSE 0.35 END, 3 FROM ps WHERE kernels_with_fp64 + kernels_with_fp64_data_movement > 0 UNION ALL
       SELECT run_id, 'ptx_branch_divergence_risk', {_r("0.4 + least(0.3, max_branch_density - 0.15)")}, 4 FROM ps WHERE max_branch_density > 0.15)"""
-_C = f"""cs AS (SELECT p_partkey AS pk, p_partkey % {RUNS} AS run_id, 'p' || p_partkey || '.cu' AS path, 'k' || p_partkey AS name, p_partkey % 4 AS loops, p_size % 4 AS loads, p_partkey % 5 <> 4 AS grid, p_partkey % 2 = 0 AS sh, p_partkey % 3 = 0 AS guard, p_partkey % 7 = 0 AS strided, p_partkey % 11 = 0 AS diverge,
+_C = f"""cs AS (SELECT p_partkey AS pk, p_partkey % {RUNS} AS run_id, 'p' || p_partkey || '.cu' AS path, 'k' || p_partkey AS name, p_partkey % 4 AS loops, p_size % 4 AS
+      loads, p_partkey % 5 <> 4 AS grid, p_partkey % 2 = 0 AS sh, p_partkey % 3 = 0 AS guard, p_partkey % 7 = 0 AS strided, p_partkey % 11 = 0 AS diverge,
       CASE p_partkey % 6 WHEN 0 THEN 16 WHEN 2 THEN 26 WHEN 4 THEN 32 ELSE 0 END AS dim, CASE p_partkey % 4 WHEN 0 THEN 128 WHEN 1 THEN 48 WHEN 2 THEN 20 END AS block, p_size FROM part),
     cn AS (SELECT *, sh::INT + 2 * loads + 2 * loops + strided::INT AS accesses, guard::INT + diverge::INT AS branches, 1 + loops AS locals, 128 * dim AS bytes, grid OR diverge AS threads, loads > 0 OR strided AS indexed FROM cs),
     fi AS ({" UNION ALL ".join(f"SELECT run_id, path, name, '{rule}' AS rule, '{severity}' AS severity FROM cn WHERE {cond}" for rule, severity, cond in (
@@ -200,7 +211,8 @@ _PTX_SIGNALS = [
 def _advice_sql() -> str:
     shared = f"CASE WHEN bytes > 0 THEN {K.LIMITS['shared']} // bytes END"
     return f"""WITH {_C}, b AS (SELECT run_id, path, name, bytes, unnest([128, 256, 512]) AS t FROM cn), o AS (SELECT *, 32 AS bb, {shared} AS bs, 2048 // t AS bt FROM b), a AS (SELECT *, least(bb, bs, bt) AS act FROM o)
-      SELECT run_id, path, name, t::BIGINT AS block_size, {_r("least(act * t / 2048.0::DOUBLE, 1.0) * 100.0", 2)} AS estimated_occupancy_pct, concat_ws(',', CASE WHEN bb = act THEN 'blocks' END, CASE WHEN bs = act THEN 'shared_memory' END, CASE WHEN bt = act THEN 'threads' END) AS limiters FROM a"""
+      SELECT run_id, path, name, t::BIGINT AS block_size, {_r("least(act * t / 2048.0::DOUBLE, 1.0) * 100.0", 2)} AS estimated_occupancy_pct, concat_ws(',', CASE WHEN bb
+      = act THEN 'blocks' END, CASE WHEN bs = act THEN 'shared_memory' END, CASE WHEN bt = act THEN 'threads' END) AS limiters FROM a"""
 
 
 from gaugefleet.plans.advice import _KERNEL  # noqa: E402
@@ -208,20 +220,29 @@ from gaugefleet.plans.advice import _KERNEL  # noqa: E402
 _has = lambda column, name: f"list_contains({column}, '{name}')"
 _LAYER = f"""{_KERNEL}, {T._STEPS.removeprefix("WITH ")}, {_P}, {_C},
     l_source AS (SELECT run_id, bool_or(strided) AS strided, bool_or(loops > 0 AND NOT sh) AS syncs FROM cn GROUP BY run_id),
-    l_runs AS (SELECT run_id, bool_or(label = 'sync_bound') AS sync FROM (SELECT run_id, NULL AS label FROM runs WHERE scope = 'run' AND run_id < 10 UNION ALL SELECT run_id, label FROM lab WHERE scope = 'run' AND run_id < 10) GROUP BY run_id),
+    l_runs AS (SELECT run_id, bool_or(label = 'sync_bound') AS sync FROM (SELECT run_id, NULL AS label FROM runs WHERE scope = 'run' AND run_id < 10 UNION ALL SELECT
+      run_id, label FROM lab WHERE scope = 'run' AND run_id < 10) GROUP BY run_id),
     l_ncu AS (SELECT run_id, sig, roofline_region, mfu_pct, coalesce(roofline_region = 'memory_bound', false) AS mem FROM ksg),
     tried AS (
       SELECT run_id, 'inefficient_global_memory_access' AS label, 'source' AS layer, strided AS ok FROM l_source UNION ALL SELECT run_id, 'excessive_synchronization', 'source', syncs FROM l_source UNION ALL
-      SELECT run_id, 'inefficient_global_memory_access', 'ptx', max_global_memory_ratio > 0.4 OR kernels_without_shared_memory = kernel_count FROM ps UNION ALL SELECT run_id, 'register_pressure', 'ptx', kernels_with_spills > 0 OR max_register_count > 64 FROM ps UNION ALL
+      SELECT run_id, 'inefficient_global_memory_access', 'ptx', max_global_memory_ratio > 0.4 OR kernels_without_shared_memory = kernel_count FROM ps UNION ALL SELECT
+      run_id, 'register_pressure', 'ptx', kernels_with_spills > 0 OR max_register_count > 64 FROM ps UNION ALL
       SELECT run_id, 'memory_bandwidth_saturation', 'ptx', max_global_memory_ratio > 0.4 FROM ps UNION ALL SELECT run_id, 'warp_divergence_risk', 'ptx', max_branch_density > 0.15 FROM ps UNION ALL
-      SELECT run_id, 'inefficient_global_memory_access', 'ncu', {_has("sig", "uncoalesced_global_loads=true")} FROM l_ncu UNION ALL SELECT run_id, 'excessive_synchronization', 'ncu', {_has("sig", "warp_stall_is_sync=true")} FROM l_ncu UNION ALL
-      SELECT run_id, 'register_pressure', 'ncu', {_has("sig", "occupancy_limited_by_registers=true")} AND {_has("sig", "occupancy_good=false")} FROM l_ncu UNION ALL SELECT run_id, 'tensor_core_underutilization', 'ncu', {_has("sig", "tensor_core_underutilized=true")} FROM l_ncu UNION ALL
-      SELECT run_id, 'memory_bandwidth_saturation', 'ncu', {_has("sig", "memory_bandwidth_saturated=true")} FROM l_ncu UNION ALL SELECT run_id, 'roofline_memory_bound', 'ncu', mem FROM l_ncu UNION ALL SELECT run_id, 'roofline_low_mfu', 'ncu', coalesce(mfu_pct < 20, false) AND NOT mem FROM l_ncu UNION ALL
+      SELECT run_id, 'inefficient_global_memory_access', 'ncu', {_has("sig", "uncoalesced_global_loads=true")} FROM l_ncu UNION ALL SELECT run_id,
+      'excessive_synchronization', 'ncu', {_has("sig", "warp_stall_is_sync=true")} FROM l_ncu UNION ALL
+      SELECT run_id, 'register_pressure', 'ncu', {_has("sig", "occupancy_limited_by_registers=true")} AND {_has("sig", "occupancy_good=false")} FROM l_ncu UNION ALL
+      SELECT run_id, 'tensor_core_underutilization', 'ncu', {_has("sig", "tensor_core_underutilized=true")} FROM l_ncu UNION ALL
+      SELECT run_id, 'memory_bandwidth_saturation', 'ncu', {_has("sig", "memory_bandwidth_saturated=true")} FROM l_ncu UNION ALL SELECT run_id, 'roofline_memory_bound',
+      'ncu', mem FROM l_ncu UNION ALL SELECT run_id, 'roofline_low_mfu', 'ncu', coalesce(mfu_pct < 20, false) AND NOT mem FROM l_ncu UNION ALL
       SELECT run_id, 'excessive_synchronization', 'profiler', coalesce(sync, false) FROM l_runs),
-    di0 AS (SELECT run_id, label, count(CASE WHEN ok THEN 1 END) AS n, count(*) AS n_available, string_agg(CASE WHEN ok THEN layer END, ',' ORDER BY layer) AS layers_confirming FROM tried GROUP BY ALL HAVING count(CASE WHEN ok THEN 1 END) > 0),
-    di AS (SELECT *, CASE WHEN label IN ('excessive_synchronization', 'warp_divergence_risk', 'roofline_low_mfu') THEN 'medium' ELSE 'high' END AS severity, CASE WHEN n >= 3 THEN 'confirmed' WHEN n = 2 AND n_available = 2 THEN 'high' WHEN n = 2 THEN 'medium-high' WHEN n_available <= 1 THEN 'medium' ELSE 'low-medium' END AS confidence FROM di0),
+    di0 AS (SELECT run_id, label, count(CASE WHEN ok THEN 1 END) AS n, count(*) AS n_available, string_agg(CASE WHEN ok THEN layer END, ',' ORDER BY layer) AS
+      layers_confirming FROM tried GROUP BY ALL HAVING count(CASE WHEN ok THEN 1 END) > 0),
+    di AS (SELECT *, CASE WHEN label IN ('excessive_synchronization', 'warp_divergence_risk', 'roofline_low_mfu') THEN 'medium' ELSE 'high' END AS severity, CASE WHEN n
+      >= 3 THEN 'confirmed' WHEN n = 2 AND n_available = 2 THEN 'high' WHEN n = 2 THEN 'medium-high' WHEN n_available <= 1 THEN 'medium' ELSE 'low-medium' END AS confidence
+      FROM di0),
     nl AS (SELECT run_id AS rid, count(*) AS layers FROM (SELECT run_id FROM l_source UNION ALL SELECT run_id FROM ps UNION ALL SELECT run_id FROM l_ncu UNION ALL SELECT run_id FROM l_runs) GROUP BY run_id),
-    ll AS (SELECT DISTINCT run_id, 'source' AS layer, rule AS label FROM fi WHERE rule NOT LIKE 'poor%' UNION ALL SELECT run_id, 'ptx', label FROM pl UNION ALL SELECT run_id, 'ncu', label FROM klab UNION ALL SELECT run_id, 'profiler', label FROM lab WHERE scope = 'run' AND run_id < 10)"""
+    ll AS (SELECT DISTINCT run_id, 'source' AS layer, rule AS label FROM fi WHERE rule NOT LIKE 'poor%' UNION ALL SELECT run_id, 'ptx', label FROM pl UNION ALL SELECT
+      run_id, 'ncu', label FROM klab UNION ALL SELECT run_id, 'profiler', label FROM lab WHERE scope = 'run' AND run_id < 10)"""
 _metrics = {label: ",".join(sorted({m for x, _, m in E.NEEDED if x == label})) for label, *_ in E.DIAGNOSES}
 ORACLES = {
     "scan_ptx_kernels": f"WITH {_P} SELECT run_id, 'p' || pk || '.ptx' AS path, 0::BIGINT AS kernel_no, 'k' || pk AS kernel_name, '8.0' AS version, 'sm_80' AS target, regs::BIGINT AS registers, loc::BIGINT AS local_bytes FROM px",
@@ -231,14 +252,21 @@ ORACLES = {
     "classify_ptx": f"WITH {_P} SELECT run_id, label, score::DOUBLE AS score, rule_no FROM pl",
     "extract_ptx_signals": f"WITH {_P} SELECT run_id, {_names(_PTX_SIGNALS)} AS signals, max_register_count::DOUBLE AS registers FROM ps",
     "scan_cuda_kernels": f"WITH {_C} SELECT run_id, path, 'kernel' AS kind, name, 2::BIGINT AS line, loops::BIGINT AS syncs_in_loops, NULL::BIGINT AS block_size FROM cn UNION ALL SELECT run_id, path, 'launch', name, 5 + sh::INT + guard::INT + loads + 4 * loops + strided::INT + diverge::INT, NULL, block FROM cn",
-    "source_signals": f"""WITH {_C} SELECT path, {_names(sorted(_SIGNAL_SQL))} AS signals, loops::BIGINT AS sync_count, loops::BIGINT AS sync_in_loop_count, loops::BIGINT AS for_count, accesses::BIGINT AS global_access_count, branches::BIGINT AS branch_count, guard::BIGINT AS bounds_check_count, locals::BIGINT AS local_var_count, bytes::BIGINT AS max_shared_bytes,
-      CASE WHEN loads = 0 AND NOT strided AND NOT sh THEN CASE WHEN accesses > 0 THEN 'indexed_global_or_local_memory' ELSE '' END ELSE {_names([("likely_coalesced_1d", "loads > 0"), ("strided_or_pitched", "strided"), ("shared_memory_tiling", "sh")])} END AS styles, CASE WHEN grid THEN '1d_grid_stride_index' WHEN diverge THEN 'thread_x_indexing' ELSE '' END AS indexing FROM cn""",
+    "source_signals": f"""WITH {_C} SELECT path, {_names(sorted(_SIGNAL_SQL))} AS signals, loops::BIGINT AS sync_count, loops::BIGINT AS sync_in_loop_count, loops::BIGINT
+      AS for_count, accesses::BIGINT AS global_access_count, branches::BIGINT AS branch_count, guard::BIGINT AS bounds_check_count, locals::BIGINT AS local_var_count,
+      bytes::BIGINT AS max_shared_bytes,
+      CASE WHEN loads = 0 AND NOT strided AND NOT sh THEN CASE WHEN accesses > 0 THEN 'indexed_global_or_local_memory' ELSE '' END ELSE
+      {_names([("likely_coalesced_1d", "loads > 0"), ("strided_or_pitched", "strided"), ("shared_memory_tiling", "sh")])} END AS styles, CASE WHEN grid THEN
+      '1d_grid_stride_index' WHEN diverge THEN 'thread_x_indexing' ELSE '' END AS indexing FROM cn""",
     "source_rule_match": f"WITH {_C} SELECT * FROM fi",
     "launch_advice": _advice_sql(),
     "launch_kernel_join": f"WITH {_C} SELECT run_id, path, name, 2::BIGINT AS line, coalesce(block::VARCHAR, '') AS block_sizes FROM cn",
     "source_scan_summary": f"WITH {_C}, k AS (SELECT run_id, count(*) AS n FROM cn GROUP BY run_id), f AS (SELECT run_id AS r, count(*) AS findings, count(CASE WHEN severity = 'high' THEN 1 END) AS high_findings FROM fi GROUP BY 1) SELECT run_id, n AS kernels, n AS launches, coalesce(findings, 0) AS findings, coalesce(high_findings, 0) AS high_findings FROM k LEFT JOIN f ON r = run_id",
     "reconcile_layers": f"{_LAYER} SELECT run_id, label, severity, confidence, layers_confirming, n_available FROM di",
     "missing_evidence": f"{_LAYER} SELECT run_id, label, CASE label {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in _metrics.items())} END AS metrics, CASE WHEN n + 1 >= 3 THEN 'confirmed' WHEN n + 1 = 2 AND greatest(layers, n) = 2 THEN 'high' WHEN n + 1 = 2 THEN 'medium-high' WHEN greatest(layers, n) <= 1 THEN 'medium' ELSE 'low-medium' END AS confidence_if_confirmed FROM di JOIN nl ON rid = run_id WHERE NOT contains(layers_confirming, 'ncu')",
-    "unreconciled_findings": f"""{_LAYER}, cl(d, cy, c) AS (VALUES {", ".join(str(x) for x in E.CLAIMS)}) SELECT run_id, layer, label FROM ll WHERE NOT EXISTS (SELECT 1 FROM di JOIN cl ON d = di.label AND contains(di.layers_confirming, cy) WHERE di.run_id = ll.run_id AND cy = ll.layer AND c = ll.label)""",
-    "primary_reconciled": f"""{_LAYER}, o(l, k) AS (VALUES {", ".join(f"('{x[0]}', {i})" for i, x in enumerate(E.DIAGNOSES))}) SELECT run_id, label, confidence, severity FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE confidence WHEN 'confirmed' THEN 0 WHEN 'high' THEN 1 WHEN 'medium-high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, severity = 'medium', k) AS p FROM di JOIN o ON l = label) WHERE p = 1""",
+    "unreconciled_findings": f"""{_LAYER}, cl(d, cy, c) AS (VALUES {", ".join(str(x) for x in E.CLAIMS)}) SELECT run_id, layer, label FROM ll WHERE NOT EXISTS (SELECT 1
+      FROM di JOIN cl ON d = di.label AND contains(di.layers_confirming, cy) WHERE di.run_id = ll.run_id AND cy = ll.layer AND c = ll.label)""",
+    "primary_reconciled": f"""{_LAYER}, o(l, k) AS (VALUES {", ".join(f"('{x[0]}', {i})" for i, x in enumerate(E.DIAGNOSES))}) SELECT run_id, label, confidence, severity
+      FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE confidence WHEN 'confirmed' THEN 0 WHEN 'high' THEN 1 WHEN 'medium-high' THEN 2 WHEN 'medium' THEN 3
+      ELSE 4 END, severity = 'medium', k) AS p FROM di JOIN o ON l = label) WHERE p = 1""",
 }
