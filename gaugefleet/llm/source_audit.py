@@ -80,30 +80,36 @@ class _Part:
     """Documents of a part as they are read: the number of each chunk, and for each time that a document holds one the pair of both numbers."""
 
     def __init__(self, most: int) -> None:
-        self.most = most
         self.chunks = _Numbers()
         self.groups: dict[tuple[str, str], list[int]] = {}
-        self.held, self.n, self.size, self.full = [], 0, 0, False
+        self.keys, self.n, self.size = np.empty(most, np.int64), 0, 0  # memory is taken as it is filled
 
-    def add(self, lang: str, source: str, text: bytes) -> None:
+    def add(self, lang: str, source: str, text: bytes) -> bool:
+        """Take a document in, unless it is for the next part; an empty part takes any."""
         words = text.split()
         if not words:
-            return
-        chunks = self.chunks
+            return True
+        n, group = self.n + len(words), self.groups.get((lang, source))
+        full = n > len(self.keys) or self.size > _BYTES or len(self.chunks) > _CHUNKS or (group[1] if group else len(self.groups) << 1) == 1 << 16
+        if full and self.n:
+            return False
+        if n > len(self.keys):
+            self.keys = np.empty(n, np.int64)
         group = self.groups.setdefault((lang, source), [len(self.groups), 0])
-        numbers = np.fromiter(map(chunks.__getitem__, words), np.int64, len(words))
-        self.held.append(numbers << 32 | group[0] << 16 | group[1])
+        keys = self.keys[self.n : n]
+        keys[:] = np.fromiter(map(self.chunks.__getitem__, words), np.int64, len(words))
+        keys <<= 32
+        keys |= group[0] << 16 | group[1]
         group[1] += 1
-        self.n, self.size = self.n + len(words), self.size + len(text)
-        self.full = len(chunks) > _CHUNKS or self.n > self.most or self.size > _BYTES or group[1] == 1 << 16 or len(self.groups) == 1 << 15
+        self.n, self.size = n, self.size + len(text)
+        return True
 
     def written(self, part: int) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate(self.held)
-        self.held = []
+        keys = self.keys[: self.n]
         keys.sort()
         new = np.append(True, keys[1:] != keys[:-1])
         starts = np.searchsorted(keys, np.arange(len(self.chunks)) << 32)
-        n_docs = np.add.reduceat(new.astype(np.int64), starts)
+        n_docs = np.add.reduceat(new, starts, dtype=np.int64)
         names = list(self.chunks)
         for i in range(0, len(names), 20_000):
             mine = starts[i : i + 20_000]
@@ -121,17 +127,18 @@ def count_chunks(docs: DataFrame, most: int = _HELD) -> DataFrame:
     """(part, chunk, docs, n_docs, lang, source, number): the documents of a part that hold a chunk, once for each time that they do, and how many they are.
 
     A document is a number: the upper 16 bits are its group's number in the part, the lower its place there. Rows
-    without chunk name the groups: lang, source and number. A part holds at most ``most`` words and one document more.
+    without chunk name the groups: lang, source and number. A part holds at most ``most`` words, or one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = TaskContext.get().partitionId() << 32, _Part(most)
         for batch in batches:
             for lang, source, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-                part.add(lang, source, text.as_py())
-                if part.full:
+                text = text.as_py()
+                if not part.add(lang, source, text):
                     yield from part.written(number)
                     number, part = number + 1, _Part(most)
+                    part.add(lang, source, text)
         if part.chunks:
             yield from part.written(number)
 
