@@ -229,6 +229,25 @@ def test_short_lines_are_lines_too(spark):
     assert (got[2].text, got[2].n_dropped) == ("\nAll rights observed.\n  ", 3)
 
 
+def test_odd_white_space_between_words(spark):
+    """Lines that need the pattern and lines that don't have the same words."""
+    line = "Five words are in here"
+    odd = [line.replace(" ", x) for x in ("  ", "\t", "\x0b", "\f", "\r", " \t ")] + [f"\r {line}", f"{line} \t", f"  {line}\r", line.upper()]
+    other = [line.replace(" ", "\u00a0"), "\t", " ", "\r \x0b", ""]
+    rows = [(1, line), (2, "\n".join([*odd, *other]))]
+    got = unique(LD.drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert (got[2].text, got[2].n_dropped) == ("\n".join(other), len(odd))
+    words = {(r.doc_id, r.line_no): r.words for r in LD._lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert words == {(i, k): SPACED.findall(x.lower()) for i, t in rows for k, x in enumerate(t.split("\n")) if SPACED.search(x)}
+
+
+def test_lines_are_split_into_words_once(docs):
+    """No filter on words, which would split a line again for each mention; lines with single spaces need no pattern."""
+    plan = LD._lines(docs)._jdf.queryExecution().executedPlan().toString().split("+- ")
+    assert not [x for x in plan if "Filter" in x and "split(" in x]
+    assert sum(x.count("[\\x20\\x09-\\x0D]+") for x in plan) == 1
+
+
 def test_quality_base_counts(spark, docs, no_docs):
     target = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
     got = NQ.quality_rules(docs, target).collect()
