@@ -1,8 +1,14 @@
 """Source and compiled texts, rules over them and gold failures, worked out by hand."""
 
+import random
+import re
+from collections import Counter
+
 from gaugefleet.operators import evaluate as EV
 from gaugefleet.operators import ptx as PX
 from gaugefleet.operators import source as SR
+from gaugefleet.plans import texts as TX
+from gaugefleet.plans.catalog import QUERIES
 
 
 def test_barriers_in_loops():
@@ -54,3 +60,52 @@ def test_gold_failures(spark):
     got = sorted(tuple(r) for r in EV.gold_failures(joined).collect())
     assert got == [("a", "confidence_ceiling", "medium", "high"), ("a", "correctness_warning", "false", "true"), ("a", "primary", "register_pressure", "roofline_low_mfu"), ("b", "correctness_warning", "true", "false")]
     assert EV.gold_score(joined).first().failures == len(got)
+
+
+def old_mix(body):
+    """Mix, instructions, branches and loops line by line with the patterns of the categories."""
+    lines = [x.strip(" \t\x0b\f") for x in re.split(r"\r\n|\r|\n", body)]
+    label = re.compile(r"\$?[\w.]+:", re.A)
+    ops = [(i, x) for i, x in enumerate(lines) if x and not label.fullmatch(x) and not x.startswith(".")]
+    mix = Counter()
+    for _, x in ops:
+        c = next((n for n, p in PX.CATEGORIES if re.search(p, x, re.A)), "other")
+        wide = re.search(r"(?i)\.v([248])\.", x) if c in ("global_loads", "global_stores") else None
+        mix[c] += int(wide[1]) if wide else 1
+        if c in ("global_loads", "global_stores", "local_loads", "local_stores") and ".f64" in x:
+            mix["fp64_memory_ops"] += int(wide[1]) if wide else 1
+    jumps = [(i, x) for i, x in ops if re.search(r"\bbra\b", x)]
+    last = {x[:-1]: i for i, x in enumerate(lines) if label.fullmatch(x)}
+    loops = {m[1] for i, x in jumps if (m := re.search(r"\bbra(?:\.uni)?\s+(\$?[\w.]+)", x)) and last.get(m[1], i) < i}
+    return dict(mix), len(ops), len(jumps), len(loops)
+
+
+def test_instruction_mix_of_odd_lines():
+    odd = [
+        "  ld.global.v4.f64 {a, b}, [c];", "st.global.v2.f32 [a], {b};", "LD.GLOBAL.V4.F32 x;", "ld.global.nc.V8.f32 x;", "ld.local.f64 a;", "$L1:  ", ".L2:", "@%p1 bra $L1;", "@!%p bra.uni .L2;", "bra $L9;", "$L9:", "bra;", "  ", ".reg .b32 %r<4>;", "// bra in a note",
+        "call (r), f;", "cvt.f32.f64 a;", "setp.lt.s32 p;", "fma.rn.f64 a;", "add.bf16 a;", "atom.global.add.u32 a;", "mov.b64 a;", "nothing", "L1: add.f32 a;", "\tst.local.f64 a;\t", "sin.approx.f32 a;", "bar.sync 0;",
+    ]
+    rng, seen = random.Random(5), {}
+    for end in ("\n", "\r\n", "\r"):
+        for _ in range(60):
+            body = end.join(rng.choices(odd, k=rng.randrange(0, 40)))
+            n, mix, branches, conditional, loops = PX.instruction_mix(body, seen)
+            assert (mix, n, branches, loops) == old_mix(body) and conditional == len(re.findall(r"@%\w+\s+bra\b", body))
+
+
+def test_compiled_texts_are_read_once_and_by_many_tasks(spark, tmp_path):
+    """One pass over the texts for both sides of a pair, in as many tasks as shuffles have; instructions cost no expression over arrays."""
+    spark.range(1, 41).selectExpr("id AS p_partkey", "int(id % 50 + 1) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = QUERIES["ptx_instruction_mix"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "rlike" not in plan.lower()
+    assert TX.texts(spark, str(tmp_path), "ptx").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    diff = QUERIES["instruction_mix_diff"](spark, str(tmp_path))
+    assert "Map" not in diff._jdf.queryExecution().optimizedPlan().toString()
+    sizes = {r.category: (r.before, r.after) for r in diff.where("pair_id = 0").collect()}
+    assert sizes["fp32_ops"] == (21 + 41, 2 + 22)  # parts 20 and 40, 1 and 21, of which each has its size in additions
+
+
+def test_a_kernel_without_body(spark):
+    kernels = spark.createDataFrame([(1, None), (2, " ret;")], "id long, body string")
+    rows = {r.id: r for r in PX.ptx_instruction_mix(kernels).collect()}
+    assert rows[1].instructions is None and rows[1].mix == {} and (rows[2].instructions, rows[2].mix) == (1, {"control_flow": 1})
