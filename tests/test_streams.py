@@ -162,6 +162,26 @@ def test_a_span_is_the_same_in_one_batch_or_many(spark, tmp_path):
     assert one == many and len(one) > 100
 
 
+def test_many_spans_of_a_bucket_keep_their_own_times(spark, tmp_path):
+    """Spans of one bucket and of many: each is told once, by its own time, over batches and restarts."""
+    rows = [(f"r{k % 3}", f"s{k}", minutes(k % 50 - 25), 0) for k in range(300)] + [(f"r{k % 3}", f"s{k}", minutes(k % 50 - 25 + k % 45), 5 + k) for k in range(0, 300, 2)]
+    late = [("r", "clock", minutes(70), 0)]
+    found = []
+    for n in (1, 7, 512):
+        write(spark, rows, MARKER, tmp_path / f"{n}" / "in")
+        run = lambda: SM.run_to_table(SM.stream_span_pairing(stream(spark, tmp_path / f"{n}" / "in", MARKER), "30 minutes", "1 minute", n), str(tmp_path / f"{n}" / "out"))  # noqa: B023, E731
+        some = run().count()
+        write(spark, late, MARKER, tmp_path / f"{n}" / "in")
+        found.append(plain(run()))
+        forget_last_batch(tmp_path / f"{n}" / "out" / "state")
+        assert plain(run()) == found[-1] and some < sum(found[-1].values())
+    assert found[0] == found[1] == found[2] and max(found[0].values()) == 1
+    inside = [k for k in range(0, 300, 2) if k % 45 <= 30]
+    closed = {r[1]: r[4] for r in found[0] if r[5] and r[2] is not None}
+    assert closed == {f"s{k}": 5 + k for k in inside}  # both markers within half an hour
+    assert {r[1] for r in found[0] if not r[5]} == {f"s{k}" for k in range(300) if k not in inside}
+
+
 @pytest.mark.parametrize(("width", "slide"), [(60, None), (60, 20)])
 def test_device_windows(spark, tmp_path, width, slide):
     rows = [("r", k % 2, T + timedelta(seconds=7 * k), float(k * (1 + k % 2)), float(k), 200.0) for k in range(120)]
