@@ -49,10 +49,11 @@ def q_read_kernel_csv(spark, d):
 
 
 def q_read_chrome_trace(spark, d):
+    """A trace for each run, several after each other in a file, as a file for each would be a file to list, open and commit for each run."""
     path = _folder(spark)
     event = F.struct("name", "cat", F.lit("X").alias("ph"), F.col("ts_us").alias("ts"), F.col("dur_us").alias("dur"), F.create_map(F.lit("run"), F.col("run_id").cast("string")).alias("args"))
     traces = X._trace(spark, d).groupBy("run_id").agg(F.collect_list(event).alias("traceEvents"))
-    traces.select(F.to_json(F.struct("traceEvents")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    traces.select(F.to_json(F.struct("traceEvents")).alias("value")).write.text(path)
     got = SO.read_chrome_trace(spark, path)
     return _rounded(got.groupBy(F.col("args")["run"].alias("run"), "cat").agg(F.count("*").alias("n"), F.max("dur_us").alias("dur_us")))
 

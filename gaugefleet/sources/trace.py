@@ -1,8 +1,9 @@
-"""Chrome traces of any size: one JSON document, read by many tasks.
+"""Chrome traces of any size: JSON documents, one or several after each other in a file, read by many tasks.
 
 A document is cut at every closing brace, which Spark's text reader does within the splits of a file. What a split
 begins with (how deep, within a text or not, in which array) follows from the splits before it: a first pass sums up
-each split for both cases, within a text or not, into one row, and these rows are chained per file. The second pass then
+each split for both cases, within a text or not, into one row, and these rows are chained per file; files that are one
+split begin with nothing before them, and are left out of it. The second pass then
 knows where it is, gives out the objects of the ``traceEvents`` array, and those that run over the end of a split are
 put together by the place where they began.
 """
@@ -94,12 +95,15 @@ class _Start(NamedTuple):
     event: int
 
 
+_BEGIN = _Start(0, False, False, -1)
+
+
 def _starts(rows: list) -> dict[tuple[str, int], _Start]:
     """Chains the splits of each file."""
-    out, last, state = {}, None, _Start(0, False, False, -1)
+    out, last, state = {}, None, _BEGIN
     for r in sorted(rows, key=lambda r: (r.file, r.block)):
         if r.file != last:
-            last, state = r.file, _Start(0, False, False, -1)
+            last, state = r.file, _BEGIN
         out[r.file, r.block] = state
         s = r.inside if state.within else r.outside
         opened = {o.depth + state.depth: o for o in s.opened}
@@ -112,12 +116,16 @@ def _starts(rows: list) -> dict[tuple[str, int], _Start]:
 def read_chrome_trace(spark: SparkSession, path: str) -> DataFrame:
     """One row per event of Chrome trace files: file, idx (rises along the file), name, cat, ph, ts_us, dur_us, pid, tid, args.
 
-    Files are read in splits; only one row for each split comes to the driver, between the two passes. Objects outside
-    the top-level array ``traceEvents`` are left out.
+    Files are read in splits; one row for each split of a file that has several comes to the driver, between the two passes, and
+    nothing of other files. A file may hold several documents after each other, as lines or not. Objects outside
+    the top-level array ``traceEvents`` of a document are left out.
     """
-    text = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    at = lambda c: F.col(f"_metadata.file_{c}")
+    whole = (at("block_start") == 0) & (at("block_length") >= at("size"))
+    text = spark.read.option("lineSep", "}").text(path).select(at("path").alias("file"), at("block_start").alias("block"), "value", whole.alias("whole"))
     one = "within boolean, depth long, opened array<struct<depth long, events boolean, piece long>>"
-    starts = _starts(text.mapInArrow(_sum_up, f"file string, block long, outside struct<{one}>, inside struct<{one}>").collect())
+    cut, text = text.where("not whole").drop("whole"), text.drop("whole")
+    starts = _starts(cut.mapInArrow(_sum_up, f"file string, block long, outside struct<{one}>, inside struct<{one}>").collect())
     schema = pa.schema([("file", pa.string()), ("idx", pa.int64()), ("block", pa.int64()), ("json", pa.string())])
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +134,7 @@ def read_chrome_trace(spark: SparkSession, path: str) -> DataFrame:
             if (file, block) != here:
                 if held:
                     rows.append((here[0], idx, here[1], "".join(held)))
-                here, start = (file, block), starts[file, block]
+                here, start = (file, block), starts.get((file, block), _BEGIN)
                 walk, held, idx = _Walk(start.depth, start.within), [], start.event
                 inside, array = start.depth > 2 and start.events, start.events
             number, begun = walk.pieces, False

@@ -125,3 +125,40 @@ def test_a_run_written_again_replaces_that_run_only(spark, tmp_path):
     SO.write_run_summary(frame((1, "a", "x"), (2, "b", "x"), (1, "c", "y")), path, ("day", "run_id"))
     SO.write_run_summary(frame((1, "d", "x")), path, ("day", "run_id"))
     assert rows() == [(1, "c", "y"), (1, "d", "x"), (2, "b", "x")]
+
+
+def test_several_traces_in_a_file(spark, tmp_path):
+    import random
+
+    rng, want, lines = random.Random(7), [], []
+    for k in range(12):
+        events, document = odd_trace(rng, rng.randrange(0, 30))
+        want += [(e["name"], e["ts"], e["args"]["k"]) for e in events]
+        lines += [json.dumps(document), '{"meta": {"name": "no"}, "list": [{"name": "no"}]}']
+    for end in ("\n", "", "\n\n "):
+        path = tmp_path / f"t{len(end)}.json"
+        path.write_text(end.join(lines))
+        for size in (300, 7_000, 10_000_000):  # splits within a document, over several, one
+            old = small_splits(spark, size)
+            try:
+                rows = SO.read_chrome_trace(spark, str(path)).orderBy("idx").collect()
+            finally:
+                restore(spark, old)
+            assert [(r.name, r.ts_us, int(r.args["k"])) for r in rows] == want and len({r.idx for r in rows}) == len(rows)
+
+
+def test_files_of_one_split_send_nothing_to_the_driver(spark, tmp_path, monkeypatch):
+    from gaugefleet.sources import trace as TR
+
+    (tmp_path / "in").mkdir()
+    for k in range(30):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"traceEvents": [{"name": f"{k}-{i}", "args": {"a": 1}} for i in range(k * 10)]}))
+    sent, chain = [], TR._starts
+    monkeypatch.setattr(TR, "_starts", lambda rows: sent.append({r.file.rsplit("/", 1)[1] for r in rows}) or chain(rows))
+    for size, cut in ((100_000, set()), (8_000, {f"{k}.json" for k in range(30) if (tmp_path / "in" / f"{k}.json").stat().st_size > 8_000})):
+        old = small_splits(spark, size)
+        try:
+            names = sorted(r.name for r in SO.read_chrome_trace(spark, str(tmp_path / "in")).collect())
+        finally:
+            restore(spark, old)
+        assert names == sorted(f"{k}-{i}" for k in range(30) for i in range(k * 10)) and sent.pop() == cut
