@@ -51,3 +51,13 @@ def test_two_raw_names_of_one_metric(spark):
     assert (r.kernel_duration_us, r.shared_memory_per_block_bytes, r.memory_busy_pct) == (7.0, 12, None)
     (line,) = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "regexp_extract" in x]
     assert "Aggregate [" in line and "metric_name" in line.split("]")[0]  # names are looked up in what the sum by raw name gives out
+
+
+@tables
+@pytest.mark.parametrize("name", ["unreconciled_findings"])
+def test_only_the_steps_that_count_are_put_together(spark, monkeypatch, name):
+    def never(self):
+        raise AssertionError("steps of all runs")
+
+    monkeypatch.setattr(Shared, "steps", never)
+    assert TX.QUERIES[name](spark, str(DATA)).count() > 0
