@@ -54,7 +54,7 @@ def test_two_raw_names_of_one_metric(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["unreconciled_findings", "missing_evidence"])
+@pytest.mark.parametrize("name", ["unreconciled_findings", "missing_evidence", "primary_reconciled"])
 def test_only_the_steps_that_count_are_put_together(spark, monkeypatch, name):
     def never(self):
         raise AssertionError("steps of all runs")
